@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, licenses, line_dedup, mixing, packing, secrets
 
 
 def op1_packing(spark, sf_dir):
@@ -12,6 +14,12 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_secret_scan(spark, sf_dir):
+    """A source is an owner; its documents in one language are a repository."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, F.struct("source", "lang"), F.col("source"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -20,7 +28,16 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
+def op7_line_dedup(spark, sf_dir):
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_removed", "text")
+
+
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_license_scan": op8_license_scan, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
