@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import table
-from . import exact_dedup, licenses, line_dedup, mixing, packing, secrets
+from . import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, packing, quality, secrets
 
 
 def op1_packing(spark, sf_dir):
@@ -24,6 +24,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,16 @@ def op8_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_license_scan": op8_license_scan, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark, sf_dir):
+    rows = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op4_html_text": op4_html_text, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_license_scan": op8_license_scan, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
