@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import table
-from . import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, packing, quality, secrets
+from . import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets
 
 
 def op1_packing(spark, sf_dir):
@@ -32,6 +32,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark, sf_dir):
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_removed", "text")
@@ -50,7 +54,7 @@ def op10_quality(spark, sf_dir):
     return rows.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op4_html_text": op4_html_text, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_license_scan": op8_license_scan, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_html_text": op4_html_text, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_license_scan": op8_license_scan, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
