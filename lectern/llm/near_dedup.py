@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, materialize
 
-SHINGLE, THRESHOLD, SKETCH, RETAINED, HOT_LIST = 5, 85, 64, 12, 200
+SHINGLE, THRESHOLD, SKETCH, RETAINED, HOT_LIST = 5, 85, 32, 12, 200
 CACHE_ENTRIES = 300_000
+SIGN = np.uint64(2**63)  # flipped in sketches, so that signed longs sort as the unsigned hashes
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
@@ -67,7 +68,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
             rows = []
             for d, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text)
-                rows.append((None if pd.isna(d) else int(d), len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, s[:SKETCH].view(np.int64)))
+                rows.append((None if pd.isna(d) else int(d), len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, (s[:SKETCH] ^ SIGN).view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class_id", "sketch"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, class_id binary, sketch array<long>")
@@ -99,12 +100,10 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose union sketch leaves similarity 0.85 possible (over five standard errors of slack)."""
     a, b = (sketches.select(F.col("class_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
-    # Sketches hold unsigned hashes as signed longs: flipping the sign bit sorts them as unsigned.
-    flip = lambda c: F.transform(c, lambda v: v.bitwiseXOR(F.lit(-(2**63))))
-    union = F.slice(F.array_sort(F.array_union(flip("sa"), flip("sb"))), 1, F.least(F.lit(SKETCH), F.greatest(F.size("sa"), F.size("sb"))))
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, F.least(F.lit(SKETCH), F.greatest(F.size("sa"), F.size("sb"))))
     both = both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD).withColumn("union", union)
-    shared = F.size(F.array_intersect("union", F.array_intersect(flip("sa"), flip("sb"))))
-    return both.filter(shared >= 0.6 * F.size("union")).select("a", "b")
+    shared = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
+    return both.filter(shared >= 0.5 * F.size("union")).select("a", "b")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
