@@ -45,9 +45,11 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        for w in set(words) - self.known.keys():
-            self.known[w] = self.hash(w.encode("utf-8", "replace"))
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        known = self.known
+        for w in set(words):
+            if w not in known:
+                known[w] = self.hash(w.encode("utf-8", "replace"))
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):

@@ -40,7 +40,7 @@ class ChunkEncoder:
 
     def __call__(self, text: str) -> bytes:
         chunks = self.chunks(text)
-        new = list(set(chunks) - self.known.keys())
+        new = [c for c in set(chunks) if c not in self.known]
         if new:
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
