@@ -21,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_prefix_sum
+from .common import ASCII_LOWER, materialize, with_prefix_sum
 
 CAPACITY, STEP, END_ID = 4096, 8, 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -39,13 +39,14 @@ class ChunkEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(tokenizer_path), {}
 
     def __call__(self, text: str) -> bytes:
-        chunks = self.chunks(text)
+        # The tokenizer lower-cases too; only the strings of its special tokens must stay as written.
+        chunks = self.chunks(text if "<|" in text else text.translate(ASCII_LOWER))
         new = [c for c in set(chunks) if c not in self.known]
         if new:
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
                 new = list(set(chunks))
-            for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[chunk] = array("I", e.ids).tobytes()
         return b"".join(map(self.known.__getitem__, chunks))
 
