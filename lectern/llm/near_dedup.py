@@ -7,7 +7,11 @@
 3. In each list and size band every class is compared with the band's leader; the union sketch filters, then the
    full sets decide. Connected classes need no further comparison, so a large group is joined by stars and never
    by all its pairs.
-4. The lists are joined once more, for classes of different components only, which restores every other link.
+4. In long lists, shingles that no other class of such lists has bound a class's overlap with any of them; a class
+   whose bound excludes all links leaves those lists, twice over, as each leaving makes more shingles single. The
+   rest of each long list is compared with its class of the highest bound, the most central of the copies.
+5. The lists are joined once more, for classes of different components whose bounds allow a link, at the first of
+   the values that they share in a row, which restores every other link.
 
 Two sets of similarity 0.85 share none of 12 listed values with a chance of about 1e-10; a hot list can raise that to 1e-5.
 Null text and a text without words have the empty set, linked with nothing; rows that repeat a doc_id share the
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, materialize
 
-SHINGLE, THRESHOLD, SKETCH, RETAINED, HOT_LIST = 5, 85, 32, 12, 200
+SHINGLE, THRESHOLD, SKETCH, RETAINED, HOT_LIST, LONG_LIST = 5, 85, 32, 12, 200, 64
+ROUNDS = 2  # of the bound; more would only tighten it
 CACHE_ENTRIES = 300_000
 SIGN = np.uint64(2**63)  # flipped in sketches, so that signed longs sort as the unsigned hashes
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -108,11 +113,17 @@ def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.filter(shared >= 0.5 * F.size("union")).select("a", "b")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def sets_for(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The written full sets of the classes (class_id)."""
+    return materialize(full_sets(docs, classes.distinct().join(reps.select("class_id", "rep"), "class_id")), "sets")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("class_id"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 85 * union."""
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct().join(reps.select("class_id", "rep"), "class_id")
-    sets = materialize(full_sets(docs, needed), "sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -127,6 +138,28 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(both.filter(linked("x", "y")).select("a", "b"), "links")
 
 
+def shared_bound(sets: DataFrame) -> DataFrame:
+    """class_id, most: at most so many shingles are in another class of `sets` that may have a link here; 0 means no link."""
+
+    def run(batches):
+        for batch in batches:
+            for c, s in zip(batch["class_id"], batch["shingles"], strict=True):
+                h, hi_lo = np.frombuffer(s, np.int64), np.frombuffer(c, ">i8")
+                yield pd.DataFrame({"hi": hi_lo[0], "lo": hi_lo[1], "shingle": h})
+
+    left = sets
+    for _ in range(ROUNDS):
+        rows = left.select("class_id", "shingles").mapInPandas(run, "hi long, lo long, shingle long")
+        single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.max("hi").alias("hi"), F.max("lo").alias("lo")).filter("n = 1")
+        owned = single.groupBy("hi", "lo").agg(F.count("*").alias("single"))
+        key = [F.conv(F.hex(F.substring("class_id", i, 8)), 16, -10).cast("long").alias(k) for i, k in ((1, "hi"), (9, "lo"))]
+        marked = left.select("class_id", "shingles", *key).join(owned, ["hi", "lo"], "left")
+        size = F.octet_length("shingles") / 8
+        marked = marked.withColumn("most", (size - F.coalesce("single", F.lit(0))).cast("long"))
+        left = materialize(marked.filter(F.col("most") * 100 >= size * THRESHOLD).select("class_id", "shingles", "most"), "bounded")
+    return sets.select("class_id").join(left.select("class_id", "most"), "class_id", "left").select("class_id", F.coalesce("most", F.lit(0)).alias("most"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """class_id, component: links are contracted to the smaller neighbour, with a pointer jump, until none is left."""
     labels, edges = nodes.select("class_id", F.col("class_id").alias("component")), links
@@ -141,8 +174,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links between classes."""
+    if links.isEmpty():
+        return labels
+    x, y = (labels.select(F.col("class_id").alias(a), F.col("component").alias(c)) for a, c in ("ax", "by"))
+    bridges = links.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    bridges = materialize(bridges, "bridges")
+    nodes = bridges.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    merged = components(nodes, bridges).toDF("component", "final")
+    return materialize(labels.join(merged, "component", "left").select("class_id", F.coalesce("final", "component").alias("component")), "labels")
+
+
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """value, class_id, n_shingles: lists of two classes or more."""
+    """value, before (the class's listed value before it), class_id, n_shingles, long: lists of two classes or more."""
     every = reps.select("class_id", "n_shingles", F.explode("sketch").alias("value"))
     hot = every.groupBy("value").count().filter(F.col("count") > HOT_LIST).select("value")
     hot_of = every.join(hot, "value").groupBy("class_id").agg(F.collect_set("value").alias("hot"))  # at most SKETCH values
@@ -150,11 +195,23 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     share = F.size("cool") / F.size("sketch")
     none = F.array().cast("array<long>")
     kept = F.array_union(F.when(share >= 0.4, F.slice("cool", 1, RETAINED)).otherwise(none), F.when(share < 0.65, F.slice("sketch", 1, RETAINED)).otherwise(none))
-    rows = marked.select("class_id", "n_shingles", F.explode(kept).alias("value"))
-    shared = rows.groupBy("value").count().filter("count > 1").select("value")
+    listed = marked.select("class_id", "n_shingles", F.array_sort(kept).alias("kept"))
+    rows = listed.select("class_id", "n_shingles", "kept", F.posexplode("kept").alias("at", "value"))
+    rows = rows.select("value", F.get("kept", F.col("at") - 1).alias("before"), "class_id", "n_shingles")
+    shared = rows.groupBy("value").count().filter("count > 1").select("value", (F.col("count") > LONG_LIST).alias("long"))
     return rows.join(shared, "value")
 
 
+def bounded_lists(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lists with `most`, without the entries of long lists whose bound excludes all links."""
+    crowd = lists.filter("long").select("class_id").distinct()
+    if crowd.isEmpty():
+        return lists.withColumn("most", F.col("n_shingles"))
+    bounds = shared_bound(materialize(sets.join(crowd, "class_id", "left_semi"), "crowd"))
+    most = F.when(F.col("long"), F.coalesce("most", "n_shingles")).otherwise(F.col("n_shingles"))
+    return lists.join(bounds, "class_id", "left").withColumn("most", most).filter("most > 0")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = materialize(classes_of(docs), "classes")
@@ -169,21 +226,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
     banded = lists.withColumn("band", band)
     leaders = banded.groupBy("value", "band").agg(F.min("class_id").alias("leader"))
     stars = banded.join(leaders, ["value", "band"]).filter(F.col("class_id") != F.col("leader")).select(*ordered("class_id", "leader")).distinct()
-    links = verified(estimated(stars, reps), reps, docs)
-    labels = components(reps, links)
-
-    placed = lists.join(labels, "class_id")
-    mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
-    placed = materialize(placed.join(mixed, "value"), "placed")
-    x, y = placed.toDF("value", "class_x", "n_x", "c_x"), placed.toDF("value", "class_y", "n_y", "c_y")
-    near = (F.col("c_x") < F.col("c_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * THRESHOLD)
-    rest = x.join(y, "value").filter(near).select(*ordered("class_x", "class_y")).distinct()
-    more = verified(estimated(rest, reps), reps, docs)
-    if not more.isEmpty():
-        names = labels.select(F.col("class_id").alias("a"), F.col("component").alias("x")), labels.select(F.col("class_id").alias("b"), F.col("component").alias("y"))
-        bridges = more.join(names[0], "a").join(names[1], "b").select(*ordered("x", "y")).distinct()
-        merged = components(labels.select(F.col("component").alias("class_id")).distinct(), materialize(bridges, "bridges")).toDF("component", "final")
-        labels = labels.join(merged, "component").select("class_id", F.col("final").alias("component"))
+    stars = materialize(estimated(stars, reps), "stars")
+    sets = sets_for(ends(stars).union(lists.filter("long").select("class_id")), reps, docs)
+    labels = components(reps, verified(stars, sets))
+
+    bounded = materialize(bounded_lists(lists, sets).withColumn("band", band), "bounded")
+    near = F.least("most_x", "most_y") * (100 + THRESHOLD) >= (F.col("n_x") + F.col("n_y")) * THRESHOLD
+    fields = ("before", "class", "n", "most", "c")
+
+    def placed(labels, lists):
+        rows = lists.join(labels, "class_id")
+        mixed = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
+        return rows.join(mixed, "value").select("value", "band", "before", "class_id", "n_shingles", "most", "component")
+
+    crowds = materialize(placed(labels, bounded.filter("long")), "crowds")
+    if not crowds.isEmpty():
+        central = crowds.groupBy("value", "band").agg(F.max(F.struct(F.col("most") / F.col("n_shingles"), "before", "class_id", "n_shingles", "most", "component")).alias("top"))
+        central = central.select("value", "band", *(F.col(f"top.{c}").alias(f"{k}_y") for c, k in zip(("before", "class_id", "n_shingles", "most", "component"), fields, strict=True)))
+        x = crowds.toDF("value", "band", *(f"{k}_x" for k in fields))
+        spokes = x.join(central, ["value", "band"]).filter((F.col("c_x") != F.col("c_y")) & near).select(*ordered("class_x", "class_y")).distinct()
+        labels = joined(labels, verified(estimated(spokes, reps), sets))
+
+    rows_left = materialize(placed(labels, bounded), "placed").drop("band")
+    x, y = (rows_left.toDF("value", *(f"{k}_{side}" for k in fields)) for side in "xy")
+    # With at most `most` shingles in common, similarity can reach the threshold; for whole sets this is the rule on sizes.
+    first = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))  # else the pair meets at that value too
+    rest = x.join(y, "value").filter((F.col("c_x") < F.col("c_y")) & near & first).select(*ordered("class_x", "class_y")).distinct()
+    rest = materialize(estimated(rest, reps), "rest")
+    labels = joined(labels, verified(rest, sets_for(ends(rest), reps, docs)))
     smallest = labels.join(reps.select("class_id", "rep"), "class_id").groupBy("component").agg(F.min("rep").alias("smallest"))
     ids = labels.join(smallest, "component").select("class_id", "smallest")
     out = rows.select("doc_id", "n_shingles", "class_id").join(ids.hint("merge"), "class_id", "left")
