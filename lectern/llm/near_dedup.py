@@ -36,13 +36,25 @@ SIGN = np.uint64(2**63)  # flipped in sketches, so that signed longs sort as the
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
+class WordHashes(dict):
+    """Hash of each word, computed when first asked for."""
+
+    def __init__(self, hash_of):
+        super().__init__()
+        self.hash_of = hash_of
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = self.hash_of(word.encode("utf-8", "replace"))
+        return h
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles."""
 
     def __init__(self, width: int = SHINGLE):
         import xxhash
 
-        self.hash, self.known, self.width = xxhash.xxh64_intdigest, {}, width
+        self.known, self.width = WordHashes(xxhash.xxh64_intdigest), width
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = words_of((text or "").translate(ASCII_LOWER) if text and not text.islower() else text or "")
@@ -50,18 +62,16 @@ class Shingler:
             return np.zeros(0, np.uint64)
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = self.hash(w.encode("utf-8", "replace"))
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         k = min(self.width, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
         out *= np.uint64(0xD6E8FEB86659FD93)
-        return np.unique(out ^ (out >> np.uint64(29)))
+        out ^= out >> np.uint64(29)
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
