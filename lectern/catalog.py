@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import scalar, sessions
+from .operators import records, scalar, sessions, text
 
-QUERIES = {**sessions.QUERIES, **scalar.QUERIES}
-ORACLE_SQL = {**sessions.ORACLE_SQL, **scalar.ORACLE_SQL}
+QUERIES = {**sessions.QUERIES, **scalar.QUERIES, **text.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**sessions.ORACLE_SQL, **scalar.ORACLE_SQL, **text.ORACLE_SQL, **records.ORACLE_SQL}
