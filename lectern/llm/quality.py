@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, RANK, NEIGHBOURS, POWER, THRESHOLD = 4000, 24, 15, 8, 0.7
+MAX_LABELLED, RANK, NEIGHBOURS, POWER, THRESHOLD, ITERATIONS = 4000, 24, 15, 8, 0.7, 16
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -46,21 +46,31 @@ def features(text: str) -> np.ndarray:
     return out
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
 class Model:
-    """Trained on rows of features and their labels."""
+    """Trained on rows of features, which it centres in place, and their labels.
+
+    The decomposition is a subspace iteration, so besides the rows it needs only a few columns of memory.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean = x.mean(axis=0)
-        centred = x - self.mean
-        values, vectors = np.linalg.eigh(centred @ centred.T if len(x) <= x.shape[1] else centred.T @ centred)
+        x -= self.mean
+        q = np.random.default_rng(0).standard_normal((x.shape[1], min(RANK + 8, len(x)))).astype(np.float32)
+        for _ in range(ITERATIONS):
+            q = np.linalg.qr(x.T @ (x @ q))[0]
+        within = x @ q
+        values, vectors = np.linalg.eigh(within.T @ within)
         top = np.argsort(-values)[:RANK]
         top = top[values[top] > 1e-9]
-        self.axes = (centred.T @ vectors[:, top] / np.sqrt(values[top]) if len(x) <= x.shape[1] else vectors[:, top]).astype(np.float32)
-        self.labelled, self.y = self.project(x), y.astype(np.float32)
+        self.axes = (q @ vectors[:, top]).astype(np.float32)
+        self.labelled, self.y = unit(x @ self.axes), y.astype(np.float32)
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        v = (x - self.mean) @ self.axes
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        return unit((x - self.mean) @ self.axes)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         near = self.project(x) @ self.labelled.T
@@ -83,7 +93,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model
     if rows.empty:
         return None
     rows = rows.sort_values("doc_id").drop_duplicates("doc_id")
-    return Model(np.stack([np.frombuffer(x, np.float16) for x in rows["x"]]).astype(np.float32), rows["quality"].to_numpy())
+    y, packed_rows = rows["quality"].to_numpy(), rows.pop("x").tolist()
+    x = np.empty((len(packed_rows), WIDTH + 6), np.float32)
+    for i in range(len(x)):
+        x[i], packed_rows[i] = np.frombuffer(packed_rows[i], np.float16), None
+    return Model(x, y)
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
