@@ -4,7 +4,7 @@
 2. A sketch is the SKETCH smallest hashes. The first RETAINED of them that are not on a hot list go to inverted
    lists; a class with mostly hot values (a large group of near copies) lists its plain smallest ones, and one in
    between lists both, so that two linked classes always list by the same rule.
-3. In each list and size band every class is compared with the band's leader; the union sketch filters, then the
+3. In each short list and size band every class is compared with the band's leader; the union sketch filters, then the
    full sets decide. Connected classes need no further comparison, so a large group is joined by stars and never
    by all its pairs.
 4. In long lists, shingles that no other class of such lists has bound a class's overlap with any of them; a class
@@ -233,7 +233,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
     band = F.floor(F.log(F.col("n_shingles")) / -np.log(THRESHOLD / 100))
-    banded = lists.withColumn("band", band)
+    banded = lists.filter("not long").withColumn("band", band)
     leaders = banded.groupBy("value", "band").agg(F.min("class_id").alias("leader"))
     stars = banded.join(leaders, ["value", "band"]).filter(F.col("class_id") != F.col("leader")).select(*ordered("class_id", "leader")).distinct()
     stars = materialize(estimated(stars, reps), "stars")
