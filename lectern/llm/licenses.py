@@ -2,7 +2,8 @@
 
 The automaton holds every template's words. A document's words stream through it and give matching statistics
 (the longest run ending here that some template holds); long matches of one template that follow each other in
-order are chained into a covered span, and a chain that covers enough of a template adds its label. Base phrases
+order are chained into a covered span (template, first word, last word); a span that covers enough of its template
+adds its label. Base phrases
 are counted exactly. Null text counts as empty, giving no words; repeated rows have a result each.
 """
 
@@ -12,6 +13,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER
 
@@ -27,7 +29,8 @@ TEMPLATES = {
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
 }
 LONG, GAP, COVER = 4, 8, 0.6  # words of a long match, words between chained matches, share of a template
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, spans array<struct<label: string, template: int, start: int, stop: int, share: double>>"
+NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "spans"]
 words_of = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 
@@ -89,9 +92,9 @@ class Scanner:
         self.phrases = [(p.split(), label) for p, label in phrases.items()]
         self.known = frozenset(self.automaton.next[0])
 
-    def covered(self, words: list[str]) -> dict[str, float]:
-        """The largest covered share of a template, by label."""
-        at, known, chains, found = 0, self.known, {}, {}
+    def covered(self, words: list[str]) -> list[tuple[str, int, int, int, float]]:
+        """The covered spans: (label, template, first word, word after the last, covered share of the template)."""
+        at, known, chains, found = 0, self.known, {}, []
         flags = [w in known for w in words] + [False]
         while True:
             try:
@@ -102,16 +105,18 @@ class Scanner:
             if end - at >= LONG:
                 for start, size, ends in self.automaton.matches(words[at:end]):
                     for k, stop in ends:
-                        done, last, place = chains.get(k, (0, -1, 0))
+                        first, done, last, place = chains.get(k, (0, 0, -1, 0))
                         follows = last >= 0 and 0 <= at + start - last <= GAP and stop - size >= place
-                        done = (done if follows else 0) + size
-                        chains[k] = done, at + start + size, stop
-                        label, own = self.names[k]
-                        found[label] = max(found.get(label, 0), done / len(own))
+                        if last >= 0 and not follows:
+                            found.append((k, first, last, done))
+                        first, done = (first if follows else at + start), (done if follows else 0) + size
+                        chains[k] = first, done, at + start + size, stop
             at = end
-        return found
+        found += [(k, first, last, done) for k, (first, done, last, _) in chains.items()]
+        return [(self.names[k][0], k, first, last, done / len(self.names[k][1])) for k, first, last, done in sorted(found, key=lambda s: (s[1], s[0], s[2]))]
 
-    def __call__(self, text: str) -> tuple:
+    def find(self, text: str) -> tuple:
+        """(n_words, n_base, first_word, last_word, base labels, spans)."""
         words = words_of(text.translate(ASCII_LOWER))
         starts, labels = [], set()
         for phrase, label in self.phrases:
@@ -125,20 +130,32 @@ class Scanner:
                     if words[at : at + len(phrase)] == phrase:
                         starts.append(at)
                         labels.add(label)
-        cover = self.covered(words)
-        more = labels | {label for label, share in cover.items() if share >= COVER}
-        score = min(1.0, max([0.0, *cover.values(), *([0.5] if labels else [])]))
-        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), score
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), self.covered(words)
+
+    def __call__(self, text: str) -> tuple:
+        """The same with labels and score in place of the spans, as with_labels() derives them."""
+        *base, labels, spans = self.find(text)
+        more = {label for label in labels.split(",") if label} | {s[0] for s in spans if s[4] >= COVER}
+        return *base, labels, ",".join(sorted(more)), min(1.0, max([0.0, *(s[4] for s in spans), *([0.5] if labels else [])]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document, by SCHEMA."""
+    """One row per document, by SCHEMA, with labels and score."""
 
     def run(batches):
         scanner = Scanner()
         for batch in batches:
-            rows = [(d, *scanner(t or "")) for d, t in zip(batch["doc_id"], batch["text"], strict=True)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            rows = [(d, *scanner.find(t or "")) for d, t in zip(batch["doc_id"], batch["text"], strict=True)]
+            out = pd.DataFrame(rows, columns=NAMES)
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(run, SCHEMA).transform(with_labels)
+
+
+def with_labels(rows: DataFrame) -> DataFrame:
+    """Labels of base phrases and of spans that cover enough, and the score, from the spans."""
+    base = F.filter(F.split("base_labels", ","), lambda label: label != "")
+    enough = F.transform(F.filter("spans", lambda s: s["share"] >= COVER), lambda s: s["label"])
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0))
+    score = F.least(F.lit(1.0), F.greatest(best, F.when(F.col("base_labels") != "", 0.5).otherwise(0.0)))
+    return rows.withColumn("labels", F.array_join(F.array_sort(F.array_union(base, enough)), ",")).withColumn("score", score)

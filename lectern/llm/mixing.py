@@ -3,7 +3,8 @@
 Words are packed into blocks of fixed length, source by source. A pseudorandom permutation of all output slots
 deals the source quotas to output shards, so each shard's source counts are the multinomial draw conditioned on
 the corpus totals: no shard waits for another, and the totals come out exactly. A slot's index within its source
-runs through that source's own permutation (a keyed Feistel network), and blocks are joined by index.
+runs through that source's own permutation (a keyed Feistel network), and blocks are joined by index. The result is
+the blocks by shard and slot; what each document gave to them is counted from their words.
 
 Null text counts as no words; a null source is a source of its own, last in order; repeated rows are separate
 documents; an empty table gives no rows.
@@ -11,12 +12,14 @@ documents; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, with_prefix_sum
+from .common import WORD_CLASS, materialize, with_prefix_sum
 
 BLOCK, CAP, WEIGHTS, SHARD_SLOTS = 64, 3, (5, 2, 1), 4096
 
@@ -58,7 +61,7 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def slots(spark, blocks: list[int], quotas: list[int], seed: int) -> DataFrame:
-    """One row per output slot: shard, source_index, block."""
+    """One row per output slot: shard, slot, source_index, block."""
     ends, n_blocks, total = np.cumsum(quotas), np.array(blocks, np.int64), int(sum(quotas))
 
     def draw(batches):
@@ -69,18 +72,14 @@ def slots(spark, blocks: list[int], quotas: list[int], seed: int) -> DataFrame:
             k = dealt - (ends[source] - np.array(quotas)[source])
             n = n_blocks[source]
             block = permute(k % n, n, source * 1000003 + (k // n) + seed)
-            yield pd.DataFrame({"shard": slot // SHARD_SLOTS, "source_index": source.astype("int32"), "block": block})
-
-    return spark.range(total).mapInPandas(draw, "shard long, source_index int, block long")
+            yield pd.DataFrame({"shard": slot // SHARD_SLOTS, "slot": slot, "source_index": source.astype("int32"), "block": block})
 
+    return spark.range(total).mapInPandas(draw, "shard long, slot long, source_index int, block long")
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """One row per document: its columns doc_id and source with size, source_size, target, taken."""
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("_h"), F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"))
-    from .common import materialize
 
-    sized = materialize(sized, "sizes").withColumn("_row", F.monotonically_increasing_id())
+def plan(docs: DataFrame, weights, cap: float, block: int) -> tuple[DataFrame, DataFrame | None, list[int], list[int]]:
+    """Sizes per document, sources with their targets (none for an empty table), blocks and quotas by source."""
+    sized = materialize(with_size(docs), "sizes")
     totals = sorted(((r[0], int(r[1])) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     weight = [float(weights[i % len(weights)]) for i in range(len(totals))]
     sizes = [s for _, s in totals]
@@ -88,13 +87,64 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK,
     blocks = [-(-s // block) for s in sizes]
     # The last block of a source may be short: quotas count words a block holds on average, and stay within cap runs.
     quotas = [min(int(cap) * n, round(t * n / s)) if s else 0 for n, s, t in zip(blocks, sizes, aims, strict=True)]
-    if not totals:
+    sources = docs.sparkSession.createDataFrame([(i, s, n, t) for i, ((s, n), t) in enumerate(zip(totals, aims, strict=True))], "source_index int, _source string, source_size long, target double") if totals else None
+    return sized, sources, blocks, quotas
+
+
+def with_size(docs: DataFrame, *more: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("_h"), size.alias("size"), *more)
+
+
+def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """With `_from`, the place of a document's first word in its source; rows alike in doc_id and text take any order."""
+    known = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # a row per source
+    return with_prefix_sum(known, "source_index", ["doc_id", "_h"], "size", "_from")
+
+
+def cut_blocks(known: DataFrame, block: int) -> DataFrame:
+    """One row per block of a source: its parts (at, from, doc_id, said) in order; `from` tells rows of a source apart."""
+
+    def cut(batches):
+        words_of, names = re.compile(WORD_CLASS).findall, ["source_index", "block", "at", "from", "doc_id", "said"]
+        for batch in batches:
+            rows = []
+            for source, first, doc_id, text in zip(batch["source_index"], batch["_from"], batch["doc_id"], batch["text"], strict=True):
+                words, at, doc_id = words_of(text), first, None if pd.isna(doc_id) else int(doc_id)
+                while at < first + len(words):
+                    end = min(first + len(words), (at // block + 1) * block)
+                    rows.append((source, at // block, at, first, doc_id, " ".join(words[at - first : end - first])))
+                    at = end
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
+    rows = known.filter("size > 0").select("source_index", "_from", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = rows.mapInPandas(cut, "source_index int, block long, at long, from long, doc_id long, said string")
+    return parts.groupBy("source_index", "block").agg(F.array_sort(F.collect_list(F.struct("at", "from", "doc_id", "said"))).alias("parts"))  # at most `block` parts
+
+
+def dealt(docs: DataFrame, sources: DataFrame, blocks: list[int], quotas: list[int], block: int, seed: int) -> DataFrame:
+    words = cut_blocks(placed(with_size(docs, "text"), sources), block)
+    drawn = slots(docs.sparkSession, blocks, quotas, seed).join(words.hint("merge"), ["source_index", "block"])
+    return drawn.select("shard", "slot", "source_index", "block", F.array_join(F.transform("parts", lambda p: p["said"]), " ").alias("text"), "parts")
+
+
+def deal(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """The mixed corpus, one row per output slot: shard, slot, source, block, text, parts."""
+    _, sources, blocks, quotas = plan(docs, weights, cap, block)
+    if sources is None:
+        part = "array<struct<at: long, from: long, doc_id: long, said: string>>"
+        return docs.sparkSession.createDataFrame([], f"shard long, slot long, source string, block long, text string, parts {part}")
+    names = F.broadcast(sources.select("source_index", F.col("_source").alias("source")))  # a row per source
+    return dealt(docs, sources, blocks, quotas, block, seed).join(names, "source_index").select("shard", "slot", "source", "block", "text", "parts")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """One row per document: its columns doc_id and source with size, source_size, target, taken (words in the dealt blocks)."""
+    sized, sources, blocks, quotas = plan(docs, weights, cap, block)
+    if sources is None:
         return sized.select("doc_id", "source", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
-    sources = spark.createDataFrame([(i, s, n, t) for i, ((s, n), t) in enumerate(zip(totals, aims, strict=True))], "source_index int, _source string, source_size long, target double")
-    known = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    known = with_prefix_sum(known, "source_index", ["doc_id", "_h", "_row"], "size", "_from")
-    parts = known.filter("size > 0").select("_row", "source_index", "_from", "size", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block))).alias("block"))
-    drawn = slots(spark, blocks, quotas, seed).groupBy("source_index", "block").agg(F.count("*").alias("_times"))
-    overlap = F.least((F.col("block") + 1) * block, F.col("_from") + F.col("size")) - F.greatest(F.col("block") * block, F.col("_from"))
-    taken = parts.join(drawn, ["source_index", "block"]).groupBy("_row").agg(F.sum(overlap * F.col("_times")).alias("taken"))
-    return known.join(taken, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    parts = dealt(docs, sources, blocks, quotas, block, seed).select("source_index", F.explode("parts").alias("p"))
+    taken = parts.groupBy(F.col("source_index").alias("_s"), F.col("p.from").alias("_f")).agg(F.sum(F.size(F.split("p.said", " "))).alias("taken"))
+    known = placed(sized, sources)
+    out = known.join(taken.hint("merge"), (F.col("source_index") == F.col("_s")) & (F.col("_from") == F.col("_f")) & (F.col("size") > 0), "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -4,7 +4,8 @@ Documents are cut at every 4096 tokens; the tails (1 to 4095 tokens) are the ite
 steps of 8 tokens (at most 512 counts, whatever the corpus) goes to the driver, where a linear program over
 patterns is solved by column generation: a knapsack dynamic program prices new columns from the duals. Rounded
 patterns, and a best-fit packing of the few items that rounding leaves, own consecutive ranks of each length
-class; every tail finds its sequence from its rank. Nothing per document reaches the driver.
+class; every tail finds its sequence from its rank. Nothing per document reaches the driver. Each piece keeps its
+ids, and the pieces of a sequence in order of offset are its tokens.
 
 Null text counts as empty and packs as the single end id; repeated rows pack once each; an empty table gives no
 rows; other columns are ignored.
@@ -13,19 +14,19 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ASCII_LOWER, materialize, with_prefix_sum
 
 CAPACITY, STEP, END_ID = 4096, 8, 2
 CACHE_ENTRIES = 1_000_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 class ChunkEncoder:
@@ -52,7 +53,7 @@ class ChunkEncoder:
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of at most `capacity` ids."""
+    """One row per piece of at most `capacity` ids, packed as little-endian 32-bit numbers."""
 
     def cut(batches):
         encode, end = ChunkEncoder(tokenizer_path), array("I", [END_ID]).tobytes()
@@ -63,8 +64,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), start, len(piece) // 4, zlib.crc32(piece), n))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    rows.append((None if pd.isna(doc_id) else int(doc_id), start, len(piece) // 4, n, piece))
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
             yield out.astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
@@ -129,8 +130,10 @@ def solve(units: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = materialize(cut_pieces(docs, tokenizer_path, capacity), "pieces")
+    """One row per piece: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset, ids."""
+    cut = cut_pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids")).withColumn("_piece", F.monotonically_increasing_id())
+    written = materialize(cut, "pieces")
+    pieces = written.drop("ids")  # places are found without the ids, which join at the end
     tails = pieces.filter(F.col("length") < capacity).withColumn("_class", F.ceil(F.col("length") / STEP).cast("int")).withColumn("_one", F.lit(1))
     histogram = sorted((r[0], r[1]) for r in tails.groupBy("_class").count().collect())  # at most capacity / STEP rows
     units, demand = np.array([u for u, _ in histogram], np.int64), np.array([d for _, d in histogram], float)
@@ -155,8 +158,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             yield batch.assign(sequence_id=sequence)
 
     ranked = with_prefix_sum(tails, "_class", ["doc_id", "start", "ids_crc32"], "_one", "_rank").drop("_one")
-    placed = ranked.mapInPandas(place, f"{PIECES}, _class int, _rank long, sequence_id long")
+    placed = ranked.mapInPandas(place, T.StructType([*ranked.schema, T.StructField("sequence_id", T.LongType())]))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("_class", "_rank")
     whole = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(sequences).cast("long") + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return placed.unionByName(whole)
+    places = placed.unionByName(whole)
+    return places.join(written.select("_piece", "ids").hint("merge"), "_piece").drop("_piece")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row per sequence of pack(): sequence_id, length, ids (binary), pieces (doc_id, start, offset, length)."""
+    own = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids")))  # at most `capacity` ids
+    rows = packed.groupBy("sequence_id").agg(own.alias("_own"))
+    ids = F.aggregate("_own", F.lit(b""), lambda joined, p: F.concat(joined, p["ids"]))
+    pieces = F.transform("_own", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["offset"].alias("offset"), p["length"].alias("length")))
+    return rows.select("sequence_id", (F.length(ids) / 4).cast("long").alias("length"), ids.alias("ids"), pieces.alias("pieces"))

@@ -11,7 +11,8 @@ from . import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing
 def op1_packing(spark, sf_dir):
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_secret_scan(spark, sf_dir):
@@ -42,7 +43,8 @@ def op7_line_dedup(spark, sf_dir):
 
 
 def op8_license_scan(spark, sf_dir):
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op9_fingerprints(spark, sf_dir):

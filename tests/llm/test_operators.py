@@ -165,3 +165,43 @@ def test_quality_scores_every_text(docs, labels):
     rows = quality.classify(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_packing_keeps_the_ids(docs):
+    from tokenizers import Tokenizer
+
+    packed = packing.pack(docs.filter("doc_id is not null and doc_id <> 4"), PATH)
+    tokenizer, own = Tokenizer.from_file(PATH), {}
+    for s in packing.sequences(packed).collect():
+        ids = np.frombuffer(s.ids, "<u4")
+        assert s.length == len(ids) == sum(p.length for p in s.pieces) <= 4096
+        for p in s.pieces:
+            own[p.doc_id, p.start] = ids[p.offset : p.offset + p.length].tolist()
+    for d in {d for d, _ in own}:
+        got = sum((ids for (e, _), ids in sorted(own.items()) if e == d), [])
+        assert got == tokenizer.encode(TEXTS[d] or "", add_special_tokens=False).ids + [2]
+
+
+def test_mixing_deals_the_words(docs):
+    rows = mixing.deal(docs, block=8).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and all(r.shard == r.slot // mixing.SHARD_SLOTS for r in rows)
+    assert all(len(r.text.split(" ")) <= 8 and r.text == " ".join(p.said for p in r.parts) for r in rows)
+    taken, texts = {}, {i: re.findall(mixing.WORD_CLASS, t or "") for i, t in enumerate(TEXTS)} | {None: ["one", "two"]}
+    for r in rows:
+        for p in r.parts:
+            said = p.said.split(" ")
+            assert texts[p.doc_id][p["at"] - p["from"] :][: len(said)] == said
+            taken[p.doc_id] = taken.get(p.doc_id, 0) + len(said)
+    want = {}
+    for r in mixing.mix(docs, block=8).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert {d: n for d, n in want.items() if n} == taken
+
+
+def test_license_spans(spark):
+    bsd = licenses.TEMPLATES["bsd"][0]
+    got = licenses.scan(spark.createDataFrame([(1, f"before it {bsd} then {bsd}"), (2, "mit license"), (3, None)], "doc_id long, text string")).collect()
+    spans = {r.doc_id: [(s.label, s.start, s.stop, s.share) for s in r.spans] for r in got}
+    n = len(bsd.split())
+    assert spans == {1: [("bsd", 2, 2 + n, 1.0), ("bsd", 3 + n, 3 + 2 * n, 1.0)], 2: [], 3: []}
+    assert [(r.labels, r.score) for r in sorted(got, key=lambda r: r.doc_id)] == [("bsd", 1.0), ("mit", 0.5), ("", 0.0)]
