@@ -3,13 +3,15 @@
 A signature is a common word (anchor) and the chain of the next content words. A fingerprint is the sorted set of
 32-bit signature hashes, eight hex digits each, so equal texts have equal fingerprints; texts without an anchor
 use chains at every word. Likeness is the Jaccard similarity of two sets; pairs whose set lengths alone rule
-out the asked likeness are pruned. Null text counts as empty (empty fingerprint; two empty ones have likeness 1);
+out the asked likeness are pruned. near_pairs() finds all pairs of fingerprint classes that are alike enough: sets are
+partitioned by length and meet over their rarest signatures, of which a pair shares one at least. Null text counts as empty (empty fingerprint; two empty ones have likeness 1);
 rows are ordered by descending doc_id, ties by text, a null doc_id last; a table of one row is its own next one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -17,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Frequent function words of English, French, German and Spanish.
 ANCHORS = frozenset("the a an is was are be of to and in that it for with le la les un une des du de et en est que qui der die das ein eine und ist den dem nicht zu el los las una y es por para con".split())
 CHAIN, SPACING = 2, 1
@@ -98,3 +102,53 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     # Own rows first, then the row that follows the range (the first of its copies: ties by text).
     return dealt.repartition(n, "part").sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("doc_id"), "text").mapInPandas(run, SCHEMA)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class (digest of its fingerprint), signs."""
+
+    def run(batches):
+        for batch in batches:
+            signs = [signatures(t or "") for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "class": [hashlib.sha256(written(s).encode()).hexdigest() for s in signs], "signs": [sorted(s) for s in signs]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, class string, signs array<long>")
+
+
+def band(length: int, least: float) -> int:
+    """The partition of a set length: lengths that allow `least` are in the same or in neighbouring ones."""
+    return 0 if least >= 1 else math.floor(math.log(length) / -math.log(least) + 1e-9)
+
+
+def near_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Pairs of different classes of classes() with likeness of `least` (over 0) or more: a, b, likeness; a < b."""
+    sets = materialize(members.filter(F.size("signs") > 0).groupBy("class").agg(F.first("signs").alias("signs")), "classes")
+    each = sets.select("class", F.size("signs").alias("size"), F.explode("signs").alias("sign"))
+    often = each.groupBy("sign").agg(F.count("*").alias("often")).filter("often > 1")  # others meet nothing
+    known = each.join(often.hint("merge"), "sign", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = known.groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("often", "sign"))).alias("rare"))
+
+    def prefix(batches):
+        for batch in batches:
+            rows = []
+            for c, size, rare in zip(batch["class"], batch["size"], batch["rare"], strict=True):
+                # Sets alike by `least` share ceil(least * size) signatures at least, so one lies in each one's prefix.
+                upto, own = size - math.ceil(least * size - 1e-9) + 1, band(size, least)
+                rows += [(c, size, own, r["sign"]) for r in rare[:upto] if r["often"] > 1]
+            yield pd.DataFrame(rows, columns=["class", "size", "band", "sign"])
+
+    rare = materialize(ranked.mapInPandas(prefix, "class string, size int, band int, sign long"), "rare")
+    # The shorter set looks in its own partition and the next one.
+    short = rare.select(F.col("class").alias("x"), F.col("size").alias("x_size"), "sign", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    long = rare.select(F.col("class").alias("y"), F.col("size").alias("y_size"), "sign", "band")
+    met = short.join(long.hint("merge"), ["sign", "band"]).filter((F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x") < F.col("y"))))
+    met = met.filter(F.col("x_size") >= F.col("y_size") * least - 1e-9).select("x", "y").distinct()
+    both = met.join(sets.select(F.col("class").alias("x"), F.col("signs").alias("xs")).hint("merge"), "x").join(sets.select(F.col("class").alias("y"), F.col("signs").alias("ys")).hint("merge"), "y")
+
+    def verify(batches):
+        for batch in batches:
+            alike = [likeness(frozenset(a), frozenset(b), least) for a, b in zip(batch["xs"], batch["ys"], strict=True)]
+            out = pd.DataFrame({"a": batch[["x", "y"]].min(axis=1), "b": batch[["x", "y"]].max(axis=1), "likeness": alike})
+            yield out[out["likeness"] >= least]
+
+    return both.mapInPandas(verify, "a string, b string, likeness double")

@@ -205,3 +205,20 @@ def test_license_spans(spark):
     n = len(bsd.split())
     assert spans == {1: [("bsd", 2, 2 + n, 1.0), ("bsd", 3 + n, 3 + 2 * n, 1.0)], 2: [], 3: []}
     assert [(r.labels, r.score) for r in sorted(got, key=lambda r: r.doc_id)] == [("bsd", 1.0), ("mit", 0.5), ("", 0.0)]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_near_fingerprints_against_brute_force(spark, least):
+    rng, texts = np.random.default_rng(5), []
+    for g in range(5):
+        base = [f"the w{g}x{i} of y{g}x{i}" for i in range(40)]
+        texts += [" ".join(p if rng.random() > c / 20 else f"the e{rng.integers(99)} of e{rng.integers(99)}" for p in base[: 40 - c]) for c in range(9)]
+    texts += [texts[0], "", None, "one", "the cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members = fingerprints.classes(docs)
+    sets = {r["class"]: frozenset(r.signs) for r in members.collect()}
+    assert {r.doc_id: sets[r["class"]] for r in members.collect()} == {i: fingerprints.signatures(t or "") for i, t in enumerate(texts)}
+    names = sorted(c for c, s in sets.items() if s)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(names) for b in names[i + 1 :]}
+    want = {pair: x for pair, x in want.items() if x >= least}
+    assert {(r.a, r.b): r.likeness for r in fingerprints.near_pairs(members, least).collect()} == want and len(want) >= 5
