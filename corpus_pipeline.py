@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from lectern.llm import line_dedup, mixing, near_dedup, packing, quality
 from lectern.llm.common import materialize, table
 
-REJECT_BELOW = 0.5  # a document goes only when most of its neighbours' votes are against it
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter(F.col("score") >= REJECT_BELOW).select(*docs.columns)
+    """Documents that the classifier rejects go; without a label there is no classifier, and all stay."""
+    labels = table(spark, sf_dir, "labels")
+    if labels.filter("quality is not null").isEmpty():
+        return docs
+    return quality.classify(docs, labels).filter("predicted = 1").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

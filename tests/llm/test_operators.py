@@ -222,3 +222,12 @@ def test_near_fingerprints_against_brute_force(spark, least):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(names) for b in names[i + 1 :]}
     want = {pair: x for pair, x in want.items() if x >= least}
     assert {(r.a, r.b): r.likeness for r in fingerprints.near_pairs(members, least).collect()} == want and len(want) >= 5
+
+
+def test_pipeline_keeps_what_the_classifier_accepts(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    scored = lambda d, labels: d.withColumn("score", F.col("doc_id") / 10).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+    monkeypatch.setattr(quality, "classify", scored)
+    kept = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(7, len(TEXTS))) and kept.columns == docs.columns
