@@ -4,16 +4,27 @@ Every three consecutive lines are hashed; a window's first occurrence over the c
 position), stays, and the lines that later ones cover go. Windows of blank lines don't count. Documents with under
 three lines and null texts stay as they are; rows that repeat both doc_id and text share one decision; an
 empty table gives no rows; all columns are kept.
+
+repeated_passages() finds what such windows can't: runs of over 50 words that occur earlier, wherever lines begin. Any
+51 words hold a run of 25 that is the least of its neighbours by hash, so only those are met over the corpus (winnowing),
+and windows of 51 words are hashed only around the ones that repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WORD_CLASS, materialize
 
 WINDOW = 3
+PASSAGE, RUN = 51, 25  # words of a passage; words of the runs that meet
 
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -37,3 +48,75 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     out = out.withColumn("_gone", gone).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     return out.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")).drop("_key", "_id", "_text", "_starts", "_gone")
+
+
+@lru_cache(1_000_000)
+def _word(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every `width` consecutive words."""
+    out = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)]
+    return _mixed(out)
+
+
+def _anchored(text: str, passage: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, run hashes, and for each passage's start the start of its run of least hash (the first of them)."""
+    words = np.array([_word(w) for w in re.findall(WORD_CLASS, text or "")], np.uint64)
+    runs = _hashes(words, run)
+    if len(words) < passage:
+        return words, runs, np.zeros(0, np.int64)
+    around = np.lib.stride_tricks.sliding_window_view(runs, passage - run + 1)
+    return words, runs, np.arange(len(around)) + around.argmin(axis=1)
+
+
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, run: int = RUN) -> DataFrame:
+    """One row per maximal run of words covered by passages with an earlier occurrence by (doc_id, text hash, position):
+    doc_id, start, stop in words. Words are as written; rows that repeat both doc_id and text count once."""
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), "text").dropDuplicates(["_id", "_text"]), "passage-texts")
+
+    def anchors(batches):
+        for batch in batches:
+            out = []
+            for i, t, text in zip(batch["_id"], batch["_text"], batch["text"], strict=True):
+                _, runs, at = _anchored(text, passage, run)
+                out += [(None if pd.isna(i) else int(i), t, h) for h in runs[np.unique(at)].view(np.int64)]
+            yield pd.DataFrame(out, columns=["_id", "_text", "_anchor"]).astype({"_id": "Int64"})
+
+    met = materialize(rows.mapInPandas(anchors, "_id long, _text long, _anchor long"), "anchors")
+    again = met.groupBy("_anchor").count().filter("count > 1").select("_anchor")
+    own = met.join(again.hint("merge"), "_anchor").groupBy(F.col("_id").alias("_i"), F.col("_text").alias("_t")).agg(F.collect_set("_anchor").alias("_anchors"))
+    texts = rows.join(own.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t"))).select("_id", "_text", "text", "_anchors")
+
+    def around(batches):
+        for batch in batches:
+            out = []
+            for i, t, text, own in zip(batch["_id"], batch["_text"], batch["text"], batch["_anchors"], strict=True):
+                words, runs, at = _anchored(text, passage, run)
+                hashes = _hashes(words, passage).view(np.int64)
+                out += [(None if pd.isna(i) else int(i), t, int(k), hashes[k]) for k in np.flatnonzero(np.isin(runs[at].view(np.int64), own))]
+            yield pd.DataFrame(out, columns=["_id", "_text", "_at", "_hash"]).astype({"_id": "Int64"})
+
+    seen = materialize(texts.mapInPandas(around, "_id long, _text long, _at int, _hash long"), "passages")
+    first = seen.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_text", "_at")).alias("_first")).filter("_n > 1")
+    later = seen.join(first.hint("merge"), "_hash").filter(~F.struct("_id", "_text", "_at").eqNullSafe(F.col("_first")))
+    starts = later.groupBy("_id", "_text").agg(F.array_sort(F.collect_set("_at")).alias("_starts"))  # at most a document's words
+
+    def joined(batches):
+        for batch in batches:
+            out = []
+            for i, starts in zip(batch["_id"], batch["_starts"], strict=True):
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > passage) + 1):
+                    out.append((None if pd.isna(i) else int(i), int(part[0]), int(part[-1]) + passage))
+            yield pd.DataFrame(out, columns=["doc_id", "start", "stop"]).astype({"doc_id": "Int64"})
+
+    return starts.mapInPandas(joined, "doc_id long, start int, stop int")

@@ -231,3 +231,21 @@ def test_pipeline_keeps_what_the_classifier_accepts(spark, docs, monkeypatch):
     monkeypatch.setattr(quality, "classify", scored)
     kept = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(7, len(TEXTS))) and kept.columns == docs.columns
+
+
+def test_repeated_passages_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    said = [" ".join(f"p{k}w{i}" for i in range(n)) for k, n in enumerate((50, 51, 54, 120))]
+    texts = [" ".join(f"d{d}a{i}" for i in range(30)) + " " + "\n".join(said[k] for k in rng.permutation(4)[: rng.integers(1, 5)]) + f" end{d}" for d in range(12)]
+    texts += [None, "", "same " * 200, texts[3]]
+    seen, want = set(), set()
+    for d, text in enumerate(texts):
+        words = (text or "").split()
+        covered = set()
+        for at in range(len(words) - 50):
+            if (w := tuple(words[at : at + 51])) in seen:
+                covered |= set(range(at, at + 51))
+            seen.add(w)
+        want |= {(d, x) for x in covered}
+    got = line_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, x) for r in got for x in range(r.start, r.stop)} == want and len(want) > 500
