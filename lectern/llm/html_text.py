@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea title select option".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
+CONTAINER = frozenset("div section ul ol dl table details fieldset figure center".split())  # class and id tell on these only
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 NOT_MAIN = re.compile(
@@ -40,7 +41,7 @@ def boilerplate(name: str, attributes: str) -> bool:
     values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower():
         return True
-    return (values.get("role") or "").lower() in ROLES or any(NOT_MAIN.search(values.get(k) or "") for k in ("class", "id"))
+    return (values.get("role") or "").lower() in ROLES or name in CONTAINER and any(NOT_MAIN.search(values.get(k) or "") for k in ("class", "id"))
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
@@ -88,6 +89,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = close.end() if close else (n if name in ("script", "style") else at)
             continue
+        if name == "body" and (h := next((i for i in range(len(stack)) if stack[i][0] == "head"), None)) is not None:
+            pop(h)  # </head> may be left out
         if name in BLOCK and not dropped:
             flush()
         if name in CLOSES_P and (p := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None and not any(s[0] in ("table", "div", "section") for s in stack[p + 1 :]):

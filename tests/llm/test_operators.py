@@ -249,3 +249,8 @@ def test_repeated_passages_against_brute_force(spark):
         want |= {(d, x) for x in covered}
     got = line_dedup.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(r.doc_id, x) for r in got for x in range(r.start, r.stop)} == want and len(want) > 500
+
+
+def test_html_keeps_text_by_names_that_only_look_like_boilerplate():
+    page = "<html><head><meta charset=utf-8><title>t</title><body><h2 id='related-work'>Related work</h2><p id=side-effects>Rare ones.</p><div class=sidebar>side</div></body></html>"
+    assert html_text.main_text(page) == "Related work\nRare ones."
