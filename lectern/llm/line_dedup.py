@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,26 +28,38 @@ PASSAGE, RUN = 51, 25  # words of a passage; words of the runs that meet
 
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    lines = F.split("text", "\n", -1)
-    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), lines.alias("_lines")).filter(F.size("_lines") >= width)
-    starts = F.transform(F.transform(F.sequence(F.lit(0), F.size("_lines") - width), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(F.col("_lines"), i + 1, F.lit(width)), "\n").alias("said"))), lambda w: F.struct(w["at"].alias("at"), F.when(F.trim(F.translate(w["said"], "\n", "")) != "", F.xxhash64(w["said"])).alias("hash")))
-    return rows.select("_id", "_text", F.explode(starts).alias("w")).select("_id", "_text", F.col("w.at").alias("_at"), F.col("w.hash").alias("_hash")).filter("_hash is not null")
+    """_id, _text (hash of the text), _at, _hash: each line is hashed once, then each run of `width` hashes."""
+    lines = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"), F.split("text", "\n", -1).alias("_lines")).filter(F.size("_lines") >= width)
+    own = F.transform("_lines", lambda line: F.xxhash64(line)).alias("_own")
+    rows = lines.select("_id", "_text", own, F.transform("_lines", lambda line: F.trim(line) == "").alias("_blank"))
 
+    def run(i):
+        blank = reduce(lambda x, y: x & y, [F.get("_blank", i + k) for k in range(width)])
+        return F.when(~blank, F.xxhash64(*[F.get("_own", i + k) for k in range(width)]))
 
-def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents without the lines of repeated windows, with n_removed."""
+    runs = F.transform(F.sequence(F.lit(0), F.size("_own") - width), run)
+    return rows.select("_id", "_text", F.posexplode(runs).alias("_at", "_hash")).filter("_hash is not null")
+
+
+def cleaned(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """row (all columns of a document), text without the lines of repeated windows, n_removed."""
     seen = materialize(windows(docs, width), "windows")
     first = seen.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_text", "_at")).alias("_first")).filter("_n > 1")
     here = F.struct("_id", "_text", "_at")
     later = seen.join(first.hint("merge"), "_hash").filter(~here.eqNullSafe(F.col("_first")))
     covered = later.groupBy("_id", "_text").agg(F.collect_set("_at").alias("_starts"))  # at most a document's lines
-    docs = docs.withColumn("_key", F.xxhash64("text"))
-    out = docs.join(covered, docs["doc_id"].eqNullSafe(covered["_id"]) & (docs["_key"] == covered["_text"]), "left")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_key"))
+    out = rows.join(covered.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + width - 1))))
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = out.withColumn("_gone", gone).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return out.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")).drop("_key", "_id", "_text", "_starts", "_gone")
+    out = out.select("row", gone.alias("_gone"))
+    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    return out.select("row", F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(kept).alias("text"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The documents without the lines of repeated windows, with n_removed (which replaces a column of that name)."""
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_removed"]
+    return cleaned(docs, width).select(*columns, "n_removed")
 
 
 @lru_cache(1_000_000)
