@@ -11,7 +11,9 @@
    whose bound excludes all links leaves those lists, twice over, as each leaving makes more shingles single. The
    rest of each long list is compared with its class of the highest bound, the most central of the copies.
 5. The lists are joined once more, for classes of different components whose bounds allow a link, at the first of
-   the values that they share in a row, which restores every other link.
+   the values that they share in a row, which restores every other link. Lists that are still long (form letters
+   filled from a common pool: much shared, nothing linked) aren't joined: their classes get bands of many more values
+   from their full sets, so wide that unlinked ones seldom meet, and so many that a link is missed with a chance of 1e-6.
 
 Two sets of similarity 0.85 share none of 12 listed values with a chance of about 1e-10; a hot list can raise that to 1e-5.
 Null text and a text without words have the empty set, linked with nothing; rows that repeat a doc_id share the
@@ -20,20 +22,20 @@ smallest component; a null doc_id forms no smallest id; an empty table gives no
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize
+from .common import arrow, materialize, slices
 
 SHINGLE, THRESHOLD, SKETCH, RETAINED, HOT_LIST, LONG_LIST = 5, 85, 32, 12, 200, 64
 ROUNDS = 2  # of the bound; more would only tighten it
 CACHE_ENTRIES = 300_000
+UNLIKE, MISSED = 0.6, 1e-6  # see band_shape()
+BANDED = "value long, class_id binary, n_shingles long, most long, component binary"
+CLASSES = "doc_id long, n_shingles long, class_id binary, sketch array<long>"
 SIGN = np.uint64(2**63)  # flipped in sketches, so that signed longs sort as the unsigned hashes
-words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
 class WordHashes(dict):
@@ -43,8 +45,8 @@ class WordHashes(dict):
         super().__init__()
         self.hash_of = hash_of
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = self.hash_of(word.encode("utf-8", "replace"))
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = self.hash_of(word)
         return h
 
 
@@ -57,7 +59,7 @@ class Shingler:
         self.known, self.width = WordHashes(xxhash.xxh64_intdigest), width
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of((text or "").translate(ASCII_LOWER) if text and not text.islower() else text or "")
+        words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
         if not words:
             return np.zeros(0, np.uint64)
         if len(self.known) > CACHE_ENTRIES:
@@ -81,14 +83,12 @@ def classes_of(docs: DataFrame) -> DataFrame:
         import xxhash
 
         shingles = Shingler()
-        for batch in batches:
-            rows = []
-            for d, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingles(text)
-                rows.append((None if pd.isna(d) else int(d), len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None, (s[:SKETCH] ^ SIGN).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class_id", "sketch"]).astype({"doc_id": "Int64"})
+        for doc_ids, texts in slices(batches, "doc_id", "text"):
+            sets = list(map(shingles, texts))
+            digests = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield arrow(CLASSES, [doc_ids, list(map(len, sets)), digests, [(s[:SKETCH] ^ SIGN).view(np.int64) for s in sets]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, class_id binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CLASSES)
 
 
 def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -96,19 +96,19 @@ def full_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     def run(batches):
         shingles = Shingler()
-        for batch in batches:
-            yield pd.DataFrame({"class_id": batch["class_id"], "shingles": [shingles(t).tobytes() for t in batch["text"]]})
+        for ids, texts in slices(batches, "class_id", "text", rows=64):
+            yield arrow("class_id binary, shingles binary", [ids, [shingles(t).tobytes() for t in texts]])
 
     # A rep names one document of the class by doc_id and text, so a repeated doc_id can't bring another text.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     found = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("class_id", "text")
-    rows = found.mapInPandas(run, "class_id binary, shingles binary")
+    rows = found.mapInArrow(run, "class_id binary, shingles binary")
 
-    @F.pandas_udf("binary")
-    def digest(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def digest(s: pa.Array) -> pa.Array:
         import xxhash
 
-        return s.map(xxhash.xxh128_digest)
+        return pa.array([xxhash.xxh128_digest(x.as_buffer()) for x in s], pa.binary())
 
     return rows.filter(digest("shingles") == F.col("class_id")).groupBy("class_id").agg(F.first("shingles").alias("shingles"))
 
@@ -135,14 +135,14 @@ def ends(pairs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 85 * union."""
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
         def one(p, q):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             return 100 * both >= THRESHOLD * (len(p) + len(q) - both)
 
-        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+        return pa.array([one(p, q) for p, q in zip(x, y, strict=True)], pa.bool_())
 
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
     return materialize(both.filter(linked("x", "y")).select("a", "b"), "links")
@@ -152,14 +152,13 @@ def shared_bound(sets: DataFrame) -> DataFrame:
     """class_id, most: at most so many shingles are in another class of `sets` that may have a link here; 0 means no link."""
 
     def run(batches):
-        for batch in batches:
-            for c, s in zip(batch["class_id"], batch["shingles"], strict=True):
-                h, hi_lo = np.frombuffer(s, np.int64), np.frombuffer(c, ">i8")
-                yield pd.DataFrame({"hi": hi_lo[0], "lo": hi_lo[1], "shingle": h})
+        for ids, sets in slices(batches, "class_id", "shingles", rows=64):
+            halves = np.frombuffer(b"".join(ids), ">i8").reshape(-1, 2).astype(np.int64).repeat([len(s) // 8 for s in sets], axis=0)
+            yield arrow("hi long, lo long, shingle long", [halves[:, 0], halves[:, 1], np.frombuffer(b"".join(sets), np.int64)])
 
     left = sets
     for _ in range(ROUNDS):
-        rows = left.select("class_id", "shingles").mapInPandas(run, "hi long, lo long, shingle long")
+        rows = left.select("class_id", "shingles").mapInArrow(run, "hi long, lo long, shingle long")
         single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.max("hi").alias("hi"), F.max("lo").alias("lo")).filter("n = 1")
         owned = single.groupBy("hi", "lo").agg(F.count("*").alias("single"))
         key = [F.conv(F.hex(F.substring("class_id", i, 8)), 16, -10).cast("long").alias(k) for i, k in ((1, "hi"), (9, "lo"))]
@@ -222,6 +221,43 @@ def bounded_lists(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return lists.join(bounds, "class_id", "left").withColumn("most", most).filter("most > 0")
 
 
+def band_shape(n: int) -> tuple[int, int]:
+    """(least values in a band, bands) for a crowd of n classes.
+
+    Unlinked classes of a crowd agree in a value with a chance of about UNLIKE, so a band of so many values leaves
+    about one of them; linked ones agree with 0.85 at least, and so many bands miss them with a chance of MISSED.
+    """
+    width = max(4, int(np.ceil(np.log(max(n, 2)) / -np.log(UNLIKE))))
+    return width, int(np.ceil(np.log(MISSED) / np.log1p(-((THRESHOLD / 100) ** width))))
+
+
+def banded_lists(crowd: DataFrame, n: int, sets: DataFrame) -> DataFrame:
+    """value (hash of a band), class_id, n_shingles, most, component: a row per class and band, bands of one class left out.
+
+    The values of a band are minima of the full set's hashes under the one hash mixed with a number.
+    """
+    width, bands = band_shape(n)
+
+    def run(batches):
+        salts = np.random.default_rng(1).integers(1, 2**63, (bands, width), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for part in slices(batches, "class_id", "n_shingles", "most", "component", "shingles", rows=64):
+            for c, n, most, component, s in zip(*part, strict=True):
+                h, least = np.frombuffer(s, np.uint64)[:, None], np.empty((bands, width), np.uint64)
+                for b in range(bands):
+                    m = h * salts[b]
+                    least[b] = ((m ^ (m >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)).min(axis=0)
+                out = np.arange(1, bands + 1, dtype=np.uint64)
+                for k in range(width):
+                    out = (out ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+                    out ^= out >> np.uint64(32)
+                yield arrow(BANDED, [out.view(np.int64), [c] * bands, [n] * bands, [most] * bands, [component] * bands])
+
+    rows = crowd.join(sets.hint("merge"), "class_id").mapInArrow(run, BANDED)
+    rows = materialize(rows, "bands")
+    shared = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
+    return rows.join(shared.hint("merge"), "value")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = materialize(classes_of(docs), "classes")
@@ -258,6 +294,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
         labels = joined(labels, verified(estimated(spokes, reps), sets))
 
     rows_left = materialize(placed(labels, bounded), "placed").drop("band")
+    sizes = rows_left.groupBy("value").count().withColumn("crowded", F.col("count") > LONG_LIST).drop("count")
+    rows_left = materialize(rows_left.join(sizes, "value"), "rest-lists")
+    # A crowded list is too long for its pairs: its classes meet again where many values at once agree.
+    crowd = materialize(rows_left.filter("crowded").groupBy("class_id", "n_shingles", "component").agg(F.max("most").alias("most")), "crowd")
+    rows_left = rows_left.filter("not crowded").select("value", "before", "class_id", "n_shingles", "most", "component")
+    if n := crowd.count():
+        rows_left = rows_left.unionByName(banded_lists(crowd, n, sets).withColumn("before", F.lit(None).cast("long")))
     x, y = (rows_left.toDF("value", *(f"{k}_{side}" for k in fields)) for side in "xy")
     # With at most `most` shingles in common, similarity can reach the threshold; for whole sets this is the rule on sizes.
     first = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))  # else the pair meets at that value too
