@@ -1,27 +1,31 @@
 """Mixing sources to target weights.
 
-Words are packed into blocks of fixed length, source by source. A pseudorandom permutation of all output slots
-deals the source quotas to output shards, so each shard's source counts are the multinomial draw conditioned on
-the corpus totals: no shard waits for another, and the totals come out exactly. A slot's index within its source
-runs through that source's own permutation (a keyed Feistel network), and blocks are joined by index. The result is
-the blocks by shard and slot; what each document gave to them is counted from their words.
+Words are packed into blocks of fixed length, source by source. Each output shard draws its source counts: a
+multinomial draw without replacement, so that over all shards a source gets its quota exactly (a free draw could pass
+the limit of three times a document's size). Draws go by halves of the range of shards, so each task draws its own
+shards and knows how many slots of a source came before. A slot's index within its source runs through that source's
+pseudorandom permutation (a keyed Feistel network), and blocks are joined by index. The result is the blocks by shard
+and slot; what each document gave to them is counted from their words.
 
 Null text counts as no words; a null source is a source of its own, last in order; repeated rows are separate
-documents; an empty table gives no rows.
+documents, alike ones in any order; the layout of files and the order of rows change nothing; an empty table gives no
+rows; a very long text is cut into as many blocks as it fills; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, materialize, with_prefix_sum
+from .common import WORD_CLASS, arrow, cells_for, materialize, slices, with_prefix_sum
 
 BLOCK, CAP, WEIGHTS, SHARD_SLOTS = 64, 3, (5, 2, 1), 4096
+SLOTS = "shard long, slot long, source_index int, block long"
+PARTS = "source_index int, block long, at long, from long, doc_id long, said string"
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -60,27 +64,75 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def dealt_to_left(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of each source fall to n of the slots that hold `left`: multinomial counts without replacement."""
+    out, rest, n = np.zeros(len(left), np.int64), int(left.sum()), int(n)
+    for i, own in enumerate(left.tolist()):
+        rest -= own
+        lo, hi = max(0, n - rest), min(own, n)
+        if lo == hi:
+            out[i] = lo
+        elif own + rest < 10**9:
+            out[i] = rng.hypergeometric(own, rest, n)
+        else:  # beyond the generator's range its normal limit
+            p, total = own / (own + rest), own + rest
+            out[i] = min(hi, max(lo, round(rng.normal(n * p, (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5))))
+        n -= int(out[i])
+    return out
+
+
+def shard_counts(quotas: list[int], first: int, last: int, seed: int, shard_slots: int = SHARD_SLOTS):
+    """(shard, its slots by source, slots by source before it) for shards first..last-1.
+
+    The range of all shards is halved again and again; each half's draw depends on the seed and the range only, so any
+    task finds the draw of any shard by itself, in as many steps as halvings.
+    """
+    total = int(sum(quotas))
+    todo = [(0, -(-total // shard_slots), np.array(quotas, np.int64), np.zeros(len(quotas), np.int64))]
+    while todo:
+        lo, hi, own, before = todo.pop()
+        if hi <= first or lo >= last:
+            continue
+        if hi - lo == 1:
+            yield lo, own, before
+            continue
+        mid = (lo + hi) // 2
+        left = dealt_to_left(np.random.default_rng([seed, lo, hi]), own, (mid - lo) * shard_slots)
+        todo += [(mid, hi, own - left, before + left), (lo, mid, left, before)]
+
+
 def slots(spark, blocks: list[int], quotas: list[int], seed: int) -> DataFrame:
     """One row per output slot: shard, slot, source_index, block."""
-    ends, n_blocks, total = np.cumsum(quotas), np.array(blocks, np.int64), int(sum(quotas))
+    n_blocks, shards = np.array(blocks, np.int64), -(-int(sum(quotas)) // SHARD_SLOTS)
 
     def draw(batches):
         for batch in batches:
-            slot = batch["id"].to_numpy()
-            dealt = permute(slot, np.full(len(slot), total), np.full(len(slot), seed))
-            source = np.searchsorted(ends, dealt, side="right")
-            k = dealt - (ends[source] - np.array(quotas)[source])
-            n = n_blocks[source]
-            block = permute(k % n, n, source * 1000003 + (k // n) + seed)
-            yield pd.DataFrame({"shard": slot // SHARD_SLOTS, "slot": slot, "source_index": source.astype("int32"), "block": block})
+            ids = batch.column("id").to_numpy()
+            if not len(ids):
+                continue
+            for shard, own, before in shard_counts(quotas, int(ids.min()), int(ids.max()) + 1, seed):
+                source = np.repeat(np.arange(len(own)), own)
+                k = np.arange(len(source)) + np.repeat(before - np.concatenate(([0], np.cumsum(own)[:-1])), own)
+                slot = shard * SHARD_SLOTS + np.random.default_rng([seed, shard]).permutation(len(source))
+                n = n_blocks[source]
+                block = permute(k % n, n, source * 1000003 + (k // n) + seed)
+                yield arrow(SLOTS, [np.full(len(source), shard), slot, source, block])
+
+    return spark.range(shards).mapInArrow(draw, SLOTS)
 
-    return spark.range(total).mapInPandas(draw, "shard long, slot long, source_index int, block long")
 
+class Plan(NamedTuple):
+    sized: DataFrame  # doc_id, source, _h, size
+    sources: DataFrame | None  # a row per source with its target; none for an empty table
+    blocks: list[int]
+    quotas: list[int]
+    cells: int
 
-def plan(docs: DataFrame, weights, cap: float, block: int) -> tuple[DataFrame, DataFrame | None, list[int], list[int]]:
-    """Sizes per document, sources with their targets (none for an empty table), blocks and quotas by source."""
+
+def plan(docs: DataFrame, weights, cap: float, block: int) -> Plan:
     sized = materialize(with_size(docs), "sizes")
-    totals = sorted(((r[0], int(r[1])) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    rows = sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()  # a row per source
+    totals = sorted(((r[0], int(r[1])) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
     weight = [float(weights[i % len(weights)]) for i in range(len(totals))]
     sizes = [s for _, s in totals]
     aims = targets(sizes, weight, cap)
@@ -88,7 +140,7 @@ def plan(docs: DataFrame, weights, cap: float, block: int) -> tuple[DataFrame, D
     # The last block of a source may be short: quotas count words a block holds on average, and stay within cap runs.
     quotas = [min(int(cap) * n, round(t * n / s)) if s else 0 for n, s, t in zip(blocks, sizes, aims, strict=True)]
     sources = docs.sparkSession.createDataFrame([(i, s, n, t) for i, ((s, n), t) in enumerate(zip(totals, aims, strict=True))], "source_index int, _source string, source_size long, target double") if totals else None
-    return sized, sources, blocks, quotas
+    return Plan(sized, sources, blocks, quotas, cells_for(sum(r[2] for r in rows)))
 
 
 def with_size(docs: DataFrame, *more: str) -> DataFrame:
@@ -96,55 +148,56 @@ def with_size(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", "source", F.xxhash64("text").alias("_h"), size.alias("size"), *more)
 
 
-def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
+def placed(sized: DataFrame, known: Plan) -> DataFrame:
     """With `_from`, the place of a document's first word in its source; rows alike in doc_id and text take any order."""
-    known = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # a row per source
-    return with_prefix_sum(known, "source_index", ["doc_id", "_h"], "size", "_from")
+    rows = sized.join(F.broadcast(known.sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # a row per source
+    return with_prefix_sum(rows, "source_index", ["doc_id", "_h"], "size", "_from", known.cells)
 
 
 def cut_blocks(known: DataFrame, block: int) -> DataFrame:
     """One row per block of a source: its parts (at, from, doc_id, said) in order; `from` tells rows of a source apart."""
 
     def cut(batches):
-        words_of, names = re.compile(WORD_CLASS).findall, ["source_index", "block", "at", "from", "doc_id", "said"]
-        for batch in batches:
-            rows = []
-            for source, first, doc_id, text in zip(batch["source_index"], batch["_from"], batch["doc_id"], batch["text"], strict=True):
-                words, at, doc_id = words_of(text), first, None if pd.isna(doc_id) else int(doc_id)
+        words_of = re.compile(WORD_CLASS).findall
+        for part in slices(batches, "source_index", "_from", "doc_id", "text"):
+            rows = [[] for _ in range(6)]
+            for source, first, doc_id, text in zip(*part, strict=True):
+                words, at = words_of(text), first
                 while at < first + len(words):
                     end = min(first + len(words), (at // block + 1) * block)
-                    rows.append((source, at // block, at, first, doc_id, " ".join(words[at - first : end - first])))
+                    for column, value in zip(rows, (source, at // block, at, first, doc_id, " ".join(words[at - first : end - first])), strict=True):
+                        column.append(value)
                     at = end
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield arrow(PARTS, rows)
 
     rows = known.filter("size > 0").select("source_index", "_from", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = rows.mapInPandas(cut, "source_index int, block long, at long, from long, doc_id long, said string")
+    parts = rows.mapInArrow(cut, PARTS)
     return parts.groupBy("source_index", "block").agg(F.array_sort(F.collect_list(F.struct("at", "from", "doc_id", "said"))).alias("parts"))  # at most `block` parts
 
 
-def dealt(docs: DataFrame, sources: DataFrame, blocks: list[int], quotas: list[int], block: int, seed: int) -> DataFrame:
-    words = cut_blocks(placed(with_size(docs, "text"), sources), block)
-    drawn = slots(docs.sparkSession, blocks, quotas, seed).join(words.hint("merge"), ["source_index", "block"])
+def dealt(docs: DataFrame, known: Plan, block: int, seed: int) -> DataFrame:
+    words = cut_blocks(placed(with_size(docs, "text"), known), block)
+    drawn = slots(docs.sparkSession, known.blocks, known.quotas, seed).join(words.hint("merge"), ["source_index", "block"])
     return drawn.select("shard", "slot", "source_index", "block", F.array_join(F.transform("parts", lambda p: p["said"]), " ").alias("text"), "parts")
 
 
 def deal(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """The mixed corpus, one row per output slot: shard, slot, source, block, text, parts."""
-    _, sources, blocks, quotas = plan(docs, weights, cap, block)
-    if sources is None:
+    known = plan(docs, weights, cap, block)
+    if known.sources is None:
         part = "array<struct<at: long, from: long, doc_id: long, said: string>>"
         return docs.sparkSession.createDataFrame([], f"shard long, slot long, source string, block long, text string, parts {part}")
-    names = F.broadcast(sources.select("source_index", F.col("_source").alias("source")))  # a row per source
-    return dealt(docs, sources, blocks, quotas, block, seed).join(names, "source_index").select("shard", "slot", "source", "block", "text", "parts")
+    names = F.broadcast(known.sources.select("source_index", F.col("_source").alias("source")))  # a row per source
+    return dealt(docs, known, block, seed).join(names, "source_index").select("shard", "slot", "source", "block", "text", "parts")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """One row per document: its columns doc_id and source with size, source_size, target, taken (words in the dealt blocks)."""
-    sized, sources, blocks, quotas = plan(docs, weights, cap, block)
-    if sources is None:
-        return sized.select("doc_id", "source", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
-    parts = dealt(docs, sources, blocks, quotas, block, seed).select("source_index", F.explode("parts").alias("p"))
+    known = plan(docs, weights, cap, block)
+    if known.sources is None:
+        return known.sized.select("doc_id", "source", "size", F.col("size").alias("source_size"), F.lit(0.0).alias("target"), F.col("size").alias("taken"))
+    parts = dealt(docs, known, block, seed).select("source_index", F.explode("parts").alias("p"))
     taken = parts.groupBy(F.col("source_index").alias("_s"), F.col("p.from").alias("_f")).agg(F.sum(F.size(F.split("p.said", " "))).alias("taken"))
-    known = placed(sized, sources)
-    out = known.join(taken.hint("merge"), (F.col("source_index") == F.col("_s")) & (F.col("_from") == F.col("_f")) & (F.col("size") > 0), "left")
+    rows = placed(known.sized, known)
+    out = rows.join(taken.hint("merge"), (F.col("source_index") == F.col("_s")) & (F.col("_from") == F.col("_f")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
