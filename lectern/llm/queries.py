@@ -11,8 +11,8 @@ from . import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing
 def op1_packing(spark, sf_dir):
     import public_tokenizers
 
-    rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    rows, _ = packing.places(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op2_secret_scan(spark, sf_dir):
@@ -30,7 +30,8 @@ def op4_html_text(spark, sf_dir):
 
 
 def op5_exact_dedup(spark, sf_dir):
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+    """Two batches, so the second one meets the index of the first."""
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), batches=2)
 
 
 def op6_near_dedup(spark, sf_dir):
