@@ -1,9 +1,11 @@
 """Secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
 Spans come from the lengths of matches and of the text between them (split and regexp_extract_all see the same
-leftmost matches). Candidate values are hashed and counted by distinct owner and repository over the corpus: a
-value that several owners hold is a copied example, one that a single owner holds looks live. Null text counts as
-empty; a null owner is an owner of its own; a null doc_id and repeated rows keep their own result each.
+leftmost matches). Values are hashed and counted by distinct owner and repository over the corpus: a value that several
+owners hold is a copied example, one that a single owner holds looks live. Base spans always stay; a candidate of the
+other kinds becomes a span only if its value is owner-specific and it meets no base span. Null text counts as empty; a
+null owner is an owner of its own; a null doc_id and repeated rows keep their own result each; an empty table gives no
+rows; a very long text is scanned whole, each run of characters once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ BASE = [
     ("access", "(AKIA[A-Z0-9]{12,})", 1, 16),
     ("hex", "([0-9a-f]{32,})", 1, 32),
 ]
-ADDED = [
+# Candidates: spans only where one owner alone holds the value.
+CANDIDATES = [
     ("jwt", "(eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]*)", 1, 1),
     ("forge", "(gh[pousr]_[A-Za-z0-9]{36,})", 1, 1),
-    ("pem", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\\x20\\x09-\\x0D]+)", 1, 32),
+    ("mixed", "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])([A-Za-z0-9+/_-]{20,})", 1, 20),
 ]
 SHARED_OWNERS = 2  # a value of so many owners or more is a copied example
 
@@ -50,23 +54,30 @@ def joined(spans):
 
 
 def scan(docs: DataFrame, repository, owner) -> DataFrame:
-    """One row per document: doc_id, base and all spans, and how many values are copied or owner-specific."""
+    """One row per document: doc_id, counts and digest of the base spans, all spans, and how many values are copied or owner-specific."""
     rows = docs.select("doc_id", repository.alias("repository"), owner.alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
-    for i, (kind, pattern, group, least) in enumerate(BASE + ADDED):
+    kinds = BASE + CANDIDATES
+    for i, (kind, pattern, group, least) in enumerate(kinds):
         rows = rows.withColumn(f"_{kind}", spans_of(F.col("text"), kind, i, pattern, group, least))
-    base = F.array_sort(F.concat(*[F.col(f"_{k[0]}") for k in BASE]))
-    every = F.array_sort(F.concat(*[F.col(f"_{k[0]}") for k in BASE + ADDED]))
-    found = materialize(rows.select("doc_id", "repository", "owner", *[F.size(f"_{k[0]}").cast("long").alias(f"n_{k[0]}") for k in BASE], base.alias("base"), every.alias("every")), "secrets")
-    found = found.withColumn("_row", F.monotonically_increasing_id())
-    values = found.filter(F.size("every") > 0).select("_row", "repository", "owner", F.explode(F.transform("every", lambda s: F.xxhash64(s["value"]))).alias("_value"))
+    base = F.concat(*[F.col(f"_{k[0]}") for k in BASE])
+    every = F.concat(base, *[F.filter(f"_{k[0]}", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))) for k in CANDIDATES])
+    hashed = F.transform(F.array_sort(every), lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("value")))
+    counts = [F.size(f"_{k[0]}").cast("long").alias(f"n_{k[0]}") for k in BASE]
+    # Only hashes of values are written.
+    found = materialize(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "repository", "owner", *counts, hashed.alias("every")), "secrets")
+    values = found.filter(F.size("every") > 0).select("_row", "repository", "owner", F.explode(F.transform("every", lambda s: s["value"])).alias("_value"))
     # Partial sums over (value, owner, repository) come first, so a value held everywhere stays small.
     held = values.groupBy("_value", "owner", "repository").count().groupBy("_value", "owner").agg(F.count("*").alias("r"))
     held = held.groupBy("_value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
     per_doc = values.select("_row", "_value").join(held.hint("merge"), "_value").groupBy("_row").agg(
-        F.count_if(F.col("owners") >= SHARED_OWNERS).alias("n_copied"), F.count_if(F.col("owners") < SHARED_OWNERS).alias("n_owner_specific"), F.max("repositories").alias("most_repositories")
-    )
-    out = found.join(per_doc, "_row", "left")
+        F.collect_set(F.when(F.col("owners") >= SHARED_OWNERS, F.col("_value"))).alias("_copied"), F.max("repositories").alias("most_repositories")
+    )  # at most a document's own values
+    out = found.join(per_doc.hint("merge"), "_row", "left")
+    copied = F.coalesce("_copied", F.array().cast("array<long>"))
+    own = F.filter("every", lambda s: s["ord"] < len(BASE))
+    spans = F.filter("every", lambda s: (s["ord"] < len(BASE)) | ~F.array_contains(copied, s["value"]))
+    n_copied = F.size(F.filter("every", lambda s: F.array_contains(copied, s["value"])))
     return out.select(
-        "doc_id", *[f"n_{k[0]}" for k in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("every")).alias("spans"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_copied", "n_owner_specific", "most_repositories")],
+        "doc_id", *[f"n_{k[0]}" for k in BASE], F.sha2(joined(own), 256).alias("base_sha256"), joined(spans).alias("spans"), n_copied.cast("long").alias("n_copied"),
+        (F.size("every") - n_copied).cast("long").alias("n_owner_specific"), F.coalesce("most_repositories", F.lit(0)).cast("long").alias("most_repositories"),
     )
