@@ -1,19 +1,26 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped in one pass into lines, one per block of text; a run of boilerplate (navigation, adverts, forms,
-comments and the like, known by element, role or class) leaves empty lines in its place, as deep as the window, so
-the distribution falls to zero there. The sums of text lengths over sliding windows of lines, with linked text
-not counted, then surge at the start of running text and dive where a whole window is empty; the lines between
-are kept. Where a page has an article or main element, lines outside it don't count. Null or empty html gives an
-empty text; repeated rows have a result each; very long pages are read whole.
+Markup is stripped in one pass into lines, one per block of text. Known boilerplate (navigation, adverts, forms, comments
+and the like, told by element, role or a whole class or id name of a container) leaves empty lines in its place, and so
+does, outside an article or main element, the edge of each container. Each line weighs its characters outside links. The
+weights are summed over sliding windows of lines: text surges where a sum reaches SURGE, goes on as long as windows do,
+and dives where they fall below it; a window full of links only is a dive wherever it lies. The lines between surge and
+dive are the text. A page whose largest sum is below SURGE surges at that sum, so short articles are kept. Where a page
+has an article or main element with text, lines outside count nothing and any text inside is a surge.
+
+A form that wraps the whole page is no boilerplate. Null or empty html gives an empty text; repeated rows have a result
+each; an empty table gives no rows; very long pages are read whole, in time that grows with their length; a page's other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
+from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +29,88 @@ RAW = frozenset("script style noscript template svg math iframe object canvas te
 ASIDE = frozenset("nav header footer aside form button dialog menu head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 CONTAINER = frozenset("div section ul ol dl table details fieldset figure center".split())  # class and id tell on these only
+EDGE = frozenset("div section fieldset details center".split())  # containers that part the text, outside an article
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
-NOT_MAIN = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|nav\w*|menu|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|replies|disqus|respond|footer|header|masthead|copyright|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Words of class and id names. A name tells boilerplate if all its words are known and one is of the first kind.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe"
+    " signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social comment comments replies disqus respond"
+    " footer header masthead copyright pagination pager toolbar skip".split()
+)
+NEUTRAL = frozenset("site page main top bottom left right global primary secondary box bar list container wrapper wrap block area section slot unit link links item items inner outer content post posts article thread form bg".split())
+NAME_WORDS = re.compile(r"[-_]+").split
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+NEXT_IN_TAG = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WINDOW, SURGE = 3, 1  # lines in a window; characters of text that make a surge
+WINDOW, SURGE = 3, 80  # lines in a window; characters outside links that make a surge
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, "" or "/", tag name, attributes) in turn; the last has no name. Comments and raw elements are left out.
+
+    A search that finds no end is not made again, so time grows with the length.
+    """
+    at, start, n, missing = 0, 0, len(html), set()
+    pieces = []
+
+    def find(what: str, since: int) -> int:
+        if what in missing:
+            return -1
+        if (k := html.find(what, since)) < 0:
+            missing.add(what)
+        return k
+
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            pieces.append(html[start:at])
+            end = find("-->", at + 4)
+            at = start = n if end < 0 else end + 3
+            continue
+        if html.startswith(("<!", "<?"), at):
+            pieces.append(html[start:at])
+            end = find("]]>", at) if html.startswith("<![CDATA[", at) else -1
+            end = end + 2 if end >= 0 else find(">", at)
+            at = start = n if end < 0 else end + 1
+            continue
+        m = OPEN.match(html, at)
+        if not m:
+            at += 1
+            continue
+        end = m.end()
+        while (q := NEXT_IN_TAG.search(html, end)) and q[0] != ">":
+            close = find(q[0], q.end())
+            end = q.end() if close < 0 else close + 1
+        pieces.append(html[start:at])
+        if not q:  # the page ends inside a tag
+            at = start = n
+            break
+        name, attributes = m[2].lower(), html[m.end() : q.start()]
+        at = start = q.end()
+        if not m[1] and name in RAW:
+            if name not in missing:
+                close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                if close:
+                    at = start = close.end()
+                    continue
+                missing.add(name)
+            if name in ("script", "style"):
+                at = start = n
+                break
+            continue
+        yield "".join(pieces), m[1], name, attributes
+        pieces.clear()
+    pieces.append(html[start:])
+    yield "".join(pieces), "", "", ""
+
+
+def named(value: str) -> bool:
+    for token in value.lower().split():
+        words = [w for w in NAME_WORDS(token) if w]
+        if any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL for w in words):
+            return True
+    return False
 
 
 def boilerplate(name: str, attributes: str) -> bool:
@@ -41,99 +121,128 @@ def boilerplate(name: str, attributes: str) -> bool:
     values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower():
         return True
-    return (values.get("role") or "").lower() in ROLES or name in CONTAINER and any(NOT_MAIN.search(values.get(k) or "") for k in ("class", "id"))
+    return (values.get("role") or "").lower() in ROLES or name in CONTAINER and any(named(values.get(k) or "") for k in ("class", "id"))
+
+
+class Lines:
+    """The stack of open elements, and the lines so far: (text, characters of it in links, inside article or main)."""
 
+    def __init__(self, keep: frozenset):
+        self.keep, self.out, self.own, self.linked = keep, [], [], 0
+        self.stack, self.where = [], defaultdict(list)  # (name, drops); places in the stack by name
+        self.dropped = self.inside = self.links = 0
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, inside article or main) per line; a boilerplate run gives empty lines."""
-    out, own, linked, stack, at = [], [], 0, [], 0
-    dropped = inside = links = 0
+    def add(self, text: str) -> None:
+        if text and not self.dropped:
+            self.own.append(text)
+            self.linked += len(text) if self.links else 0
 
-    def flush():
-        nonlocal linked
-        if text := " ".join(unescape("".join(own)).split()):
-            out.append((text, linked, inside > 0))
-        own.clear()
-        linked = 0
+    def flush(self) -> None:
+        if self.own and (text := " ".join(unescape("".join(self.own)).split())):
+            self.out.append((text, min(self.linked, len(text)), self.inside > 0))
+        self.own.clear()
+        self.linked = 0
 
-    def pop(upto: int):
-        nonlocal dropped, inside, links
-        while len(stack) > upto:
-            name, drop = stack.pop()
+    def gap(self) -> None:
+        """Empty lines as deep as the window; one gap is as good as many."""
+        if self.out and self.out[-1][0]:
+            self.out.extend([("", 0, False)] * WINDOW)
+
+    def pop(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            name, drops = self.stack.pop()
+            self.where[name].pop()
             if name in BLOCK:
-                flush()
-            dropped -= drop
-            inside -= name in ("article", "main")
-            links -= name == "a"
-
-    n = len(html)
-    while at < n:
-        m = TAG.search(html, at)
-        text = html[at : m.start() if m else n]
-        if text and not dropped:
-            own.append(text)
-            linked += len(text) if links else 0
-        if not m:
-            break
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            continue
-        if m[1]:
-            known = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if known is not None and not (name not in BLOCK | ASIDE and any(s[0] in BLOCK for s in stack[known + 1 :])):
-                pop(known)
-            elif name in BLOCK and not dropped:
-                flush()
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = close.end() if close else (n if name in ("script", "style") else at)
-            continue
-        if name == "body" and (h := next((i for i in range(len(stack)) if stack[i][0] == "head"), None)) is not None:
-            pop(h)  # </head> may be left out
-        if name in BLOCK and not dropped:
-            flush()
-        if name in CLOSES_P and (p := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None and not any(s[0] in ("table", "div", "section") for s in stack[p + 1 :]):
-            pop(p)
-        if name in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-            pop(len(stack) - 1)
-        if name in VOID or m[3].endswith("/"):
-            continue
-        drop = boilerplate(name, m[3])
-        if drop and not dropped:
-            flush()
-            out.extend([("", 0, inside > 0)] * WINDOW)
-        dropped += drop
-        inside += name in ("article", "main")
-        links += name == "a"
-        stack.append((name, drop))
-    pop(0)
-    flush()
-    return out
+                self.flush()
+            self.dropped -= drops
+            self.inside -= name in ("article", "main")
+            self.links -= name == "a"
+            if drops or name in EDGE and not self.inside:
+                self.gap()
+
+    def last(self, *names: str) -> int:
+        return max((self.where[n][-1] for n in names if self.where[n]), default=-1)
+
+    def close(self, name: str) -> None:
+        known = self.last(name)
+        if known >= 0 and (name in BLOCK or name in ASIDE or not any(s[0] in BLOCK for s in self.stack[known + 1 :][:8])):
+            self.pop(known)
+        elif name in BLOCK and not self.dropped:
+            self.flush()
+
+    def open(self, name: str, attributes: str) -> None:
+        if name == "body" and (head := self.last("head")) >= 0:
+            self.pop(head)  # </head> may be left out
+        if name in BLOCK and not self.dropped:
+            self.flush()
+        if name in CLOSES_P and (p := self.last("p")) > self.last("table", "div", "section"):
+            self.pop(p)
+        if self.stack and self.stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th"):
+            self.pop(len(self.stack) - 1)
+        if name == "a" and (a := self.last("a")) >= 0 and a == len(self.stack) - 1:
+            self.pop(a)
+        if name in VOID or attributes.endswith("/"):
+            return
+        drops = name not in self.keep and boilerplate(name, attributes)
+        if not (drops or name in BLOCK or name == "a"):
+            return  # other inline elements change nothing
+        if drops and not self.dropped or name in EDGE and not self.inside:
+            self.flush()
+            self.gap()
+        self.dropped += drops
+        self.inside += name in ("article", "main")
+        self.links += name == "a"
+        self.where[name].append(len(self.stack))
+        self.stack.append((name, drops))
+
+
+def lines_of(html: str, keep: frozenset = frozenset()) -> list[tuple[str, int, bool]]:
+    """(text, characters of it in links, inside article or main) per line; boilerplate and container edges give empty lines."""
+    lines = Lines(keep)
+    for text, slash, name, attributes in tokens(html):
+        lines.add(text)
+        if slash:
+            lines.close(name)
+        elif name:
+            lines.open(name, attributes)
+    lines.pop(0)
+    lines.flush()
+    return lines.out
+
+
+def surged(weights: list[int], surge: int, window: int = WINDOW) -> list[bool]:
+    """Which lines lie between a surge and the dive that ends it: those of any window whose sum reaches `surge`."""
+    sums, total = [], 0
+    for i, w in enumerate(weights):
+        total += w - (weights[i - window] if i >= window else 0)
+        sums.append(total)  # of the window that ends here
+    return [any(s >= surge for s in sums[i : i + window]) for i in range(len(weights))]
 
 
 def main_text(html: str) -> str:
-    lines = lines_of(html)
-    if any(main and text for text, _, main in lines):
-        lines = [(text, linked, main) if main else ("", 0, False) for text, linked, main in lines]
-    weight = [max(0, len(text) - linked) for text, linked, _ in lines] + [0] * WINDOW
-    sums, total = [], sum(weight[:WINDOW])
-    for i in range(len(lines)):
-        sums.append(total)
-        total += weight[i + WINDOW] - weight[i] if i + WINDOW < len(weight) else -weight[i]
-    kept, on = [], False
-    for i, (text, _, _) in enumerate(lines):
-        on = sums[i] >= SURGE if not on else sums[i] > 0  # surge, then on until a whole window is empty
-        if on and text:
-            kept.append(text)
-    return "\n".join(kept)
+    for keep in (frozenset(), frozenset({"form"})):
+        lines = lines_of(html, keep)
+        if any(text for text, _, _ in lines):
+            break
+    within = any(main and text for text, _, main in lines)
+    if within:
+        lines = [line if line[2] else ("", 0, False) for line in lines]
+    weights = [len(text) - linked for text, linked, _ in lines]
+    best = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
+    on = surged(weights, 1 if within else min(SURGE, max(1, best)))
+    only_links = [bool(text) and linked >= len(text) for text, linked, _ in lines]
+    for i in range(len(lines) - WINDOW + 1):
+        if all(only_links[i : i + WINDOW]):
+            on[i : i + WINDOW] = [False] * WINDOW
+    return "\n".join(text for (text, _, _), kept in zip(lines, on, strict=True) if kept and text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
 
-    @F.pandas_udf("string")
-    def text(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: main_text(h or ""))
+    @F.arrow_udf("string")
+    def text(html: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in html:
+            yield pa.array([main_text(h or "") for at in range(0, len(part), 64) for h in part.slice(at, 64).to_pylist()], pa.string())
 
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
