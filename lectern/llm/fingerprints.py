@@ -4,8 +4,11 @@ A signature is a common word (anchor) and the chain of the next content words. A
 32-bit signature hashes, eight hex digits each, so equal texts have equal fingerprints; texts without an anchor
 use chains at every word. Likeness is the Jaccard similarity of two sets; pairs whose set lengths alone rule
 out the asked likeness are pruned. near_pairs() finds all pairs of fingerprint classes that are alike enough: sets are
-partitioned by length and meet over their rarest signatures, of which a pair shares one at least. Null text counts as empty (empty fingerprint; two empty ones have likeness 1);
-rows are ordered by descending doc_id, ties by text, a null doc_id last; a table of one row is its own next one.
+partitioned by length and meet over their rarest signatures, of which a pair shares one at least.
+
+Null text counts as empty (empty fingerprint; two empty ones have likeness 1); rows are ordered by descending doc_id,
+ties by text, null ids last by a hash of the text, so many of them spread; repeated rows follow each other; a table of
+one row is its own next one; an empty table gives no rows; a very long text is read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow, materialize, slices
 
 # Frequent function words of English, French, German and Spanish.
 ANCHORS = frozenset("the a an is was are be of to and in that it for with le la les un une des du de et en est que qui der die das ein eine und ist den dem nicht zu el los las una y es por para con".split())
 CHAIN, SPACING = 2, 1
+RANGE_BYTES, MOST_RANGES = 64 << 20, 4096  # text of a range of doc_id; beyond so many ranges they grow (and are sorted on disk)
+CLASSES = "doc_id long, class string, signs array<long>"
 words_of = re.compile(r"[^\W_]+").findall
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -55,31 +60,51 @@ def written(signs: frozenset) -> str:
     return "".join(f"{x:08x}" for x in sorted(signs))
 
 
-def with_next(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """Rows dealt to ranges of doc_id, in order; each range also gets the row that follows it (own = false)."""
-    spark = docs.sparkSession
+def looked_up(values: list, width: int, place):
+    """Element `place` (from 0) of a long list of literals, through rows of `width`, so that no row of the plan is long."""
+    rows = F.array(*[F.array(*map(F.lit, values[i : i + width])) for i in range(0, len(values), width)])
+    return F.get(F.get(rows, F.floor(place / width).cast("int")), F.pmod(place, F.lit(width)).cast("int"))
+
+
+def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int]:
+    """Rows dealt to ranges of (doc_id descending, null ids last by text hash), and the number of ranges.
+
+    Columns doc_id, key (doc_id or hash), text, part, own; each range also gets the rows that may follow its last one
+    (own = false). Ranges hold about `range_bytes` of text each.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    bounds = sorted(set(cuts), reverse=True)  # at most one per partition
-    part = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b >= F.col("doc_id"))))
-    rows = rows.withColumn("part", part)
-    # The first row of each range, by (doc_id descending, text): one row a range reaches the driver, ids only.
-    heads = rows.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-    if not heads:
-        return rows.withColumn("own", F.lit(True)), {}
-    before = {r["part"]: heads[i - 1]["part"] for i, r in enumerate(heads)}
-    tops = F.create_map(*[F.lit(x).cast("long") if i % 2 else F.lit(x) for r in heads for i, x in enumerate((r["part"], r["top"]))])
-    is_head = F.col("doc_id").eqNullSafe(F.element_at(tops, F.col("part")))
-    previous = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
-    copies = F.when(is_head, F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(previous.alias("part"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own"))))
-    return rows.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.part", "c.own"), before
-
-
-def fingerprint(docs: DataFrame) -> DataFrame:
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("text"))).withColumn("void", F.col("doc_id").isNull())
+    quantiles = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    seen = rows.groupBy("void").agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("key", quantiles, 10 * MOST_RANGES).alias("cuts")).orderBy("void").collect()
+    if not seen:
+        return rows.withColumn("part", F.lit(0)).withColumn("own", F.lit(True)), 1
+    least, part, n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.lit(0), 0
+    for r in seen:  # at most two groups: ids, null ids
+        ranges = max(2, min(MOST_RANGES, max(least, -(-r["bytes"] // range_bytes))))
+        cuts = sorted({r["cuts"][int(i * MOST_RANGES / ranges) - 1] for i in range(1, ranges)}, reverse=True)
+        width = max(1, math.isqrt(len(cuts)))
+        heads = F.array(*[F.lit(cuts[i]).cast("long") for i in range(0, len(cuts), width)])
+        row = F.greatest(F.lit(0), F.size(F.filter(heads, lambda c: c >= F.col("key"))) - 1)  # the row of cuts that key falls in
+        rest = F.array(*[F.array(*[F.lit(c).cast("long") for c in cuts[i : i + width]]) for i in range(0, len(cuts), width)])
+        place = F.lit(n) + row * width + F.size(F.filter(F.get(rest, row), lambda c: c >= F.col("key")))
+        part = F.when(F.col("void") == r["void"], place).otherwise(part)
+        n += len(cuts) + 1
+    rows = rows.withColumn("part", part.cast("int"))
+    # The first key of each range reaches the driver, no texts.
+    heads = rows.groupBy("part").agg(F.max("key").alias("top")).orderBy("part").collect()
+    tops, before = [None] * n, [None] * n
+    for i, r in enumerate(heads):
+        tops[r["part"]], before[r["part"]] = r["top"], heads[i - 1]["part"]
+    width = max(1, math.isqrt(n))
+    is_head = F.col("key") == looked_up([None if t is None else int(t) for t in tops], width, F.col("part"))
+    previous = looked_up(before, width, F.col("part"))
+    one, two = (F.struct(p.cast("int").alias("part"), F.lit(own).alias("own")) for p, own in ((F.col("part"), True), (previous, False)))
+    return rows.select("doc_id", "key", "text", F.explode(F.when(is_head, F.array(one, two)).otherwise(F.array(one))).alias("c")).select("doc_id", "key", "text", "c.part", "c.own"), n
+
+
+def fingerprint(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per document, by SCHEMA."""
-    dealt, _ = with_next(docs)
-    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt, n = with_next(docs, range_bytes)
 
     def row(doc_id, text, signs, following, its_signs):
         k = len(text) // 3
@@ -88,31 +113,31 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), written(signs), written(edited_signs), likeness(signs, edited_signs), likeness(signs, its_signs)
 
     def run(batches):
-        held, names = None, [c.split()[0] for c in SCHEMA.split(", ")]
-        for batch in batches:
+        held = None
+        for slice_ in slices(batches, "doc_id", "text", "part", "own"):
             out = []
-            for doc_id, text, part, own in zip(batch["doc_id"], batch["text"], batch["part"], batch["own"], strict=True):
+            for doc_id, text, part, own in zip(*slice_, strict=True):
                 if not own and (held is None or held[3] != part):
                     continue
                 signs = signatures(text)
                 if held is not None and held[3] == part:
                     out.append(row(*held[:3], text, signs))
-                held = (None if pd.isna(doc_id) else int(doc_id), text, signs, part) if own else None
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                held = (doc_id, text, signs, part) if own else None
+            yield arrow(SCHEMA, list(zip(*out, strict=True)) or [[]] * 7)
 
     # Own rows first, then the row that follows the range (the first of its copies: ties by text).
-    return dealt.repartition(n, "part").sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return dealt.repartitionByRange(n, "part").sortWithinPartitions("part", F.desc("own"), F.desc("key"), "text").mapInArrow(run, SCHEMA)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class (digest of its fingerprint), signs."""
 
     def run(batches):
-        for batch in batches:
-            signs = [signatures(t or "") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "class": [hashlib.sha256(written(s).encode()).hexdigest() for s in signs], "signs": [sorted(s) for s in signs]})
+        for doc_ids, texts in slices(batches, "doc_id", "text"):
+            signs = [signatures(t or "") for t in texts]
+            yield arrow(CLASSES, [doc_ids, [hashlib.sha256(written(s).encode()).hexdigest() for s in signs], [sorted(s) for s in signs]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, class string, signs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CLASSES)
 
 
 def band(length: int, least: float) -> int:
