@@ -141,8 +141,9 @@ def test_suffix_automaton_against_brute_force():
     automaton, words = licenses.SuffixAutomaton(seqs), list(rng.choice(list("abc"), 200))
     held = {tuple(s[i:j]) for s in seqs for i in range(30) for j in range(i + 1, 31)}
     for start, size, ends in automaton.matches(words, 3):
-        assert tuple(words[start : start + size]) in held and (start + size == 200 or tuple(words[start : start + size + 1]) not in held)
-        assert ends == {(k, e) for k, s in enumerate(seqs) for e in range(size, 31) if s[e - size : e] == words[start : start + size]}
+        i = start + size
+        assert tuple(words[start:i]) in held and (start == 0 or tuple(words[start - 1 : i]) not in held)
+        assert ends == {(k, e) for k, s in enumerate(seqs) for e in range(size, 31) if s[e - size : e] == words[start:i] and not (e < 30 and i < 200 and s[e] == words[i])}
 
 
 def test_fingerprints_follow_descending_ids(spark):
@@ -227,8 +228,7 @@ def test_near_fingerprints_against_brute_force(spark, least):
 def test_pipeline_keeps_what_the_classifier_accepts(spark, docs, monkeypatch):
     import corpus_pipeline
 
-    scored = lambda d, labels: d.withColumn("score", F.col("doc_id") / 10).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
-    monkeypatch.setattr(quality, "classify", scored)
+    monkeypatch.setattr(quality, "scorer", lambda d, labels: lambda text: F.col("doc_id") / 10)
     kept = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.001")
     assert sorted(r.doc_id for r in kept.collect()) == list(range(7, len(TEXTS))) and kept.columns == docs.columns
 
