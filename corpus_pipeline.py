@@ -18,21 +18,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = table(spark, sf_dir, "labels")
     if labels.filter("quality is not null").isEmpty():
         return docs
-    return quality.classify(docs, labels).filter("predicted = 1").select(*docs.columns)
+    return docs.filter(quality.scorer(docs, labels)("text") >= quality.THRESHOLD)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go; a document left without text goes too, if it had any."""
-    out = line_dedup.dedup_lines(docs)
-    out = out.filter((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n", "")) != ""))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    out = line_dedup.cleaned(docs).filter((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n", "")) != ""))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
+    return unwrapped(out.select(row.alias("row")), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of the smallest doc_id."""
     kept = near_dedup.near_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
+    return unwrapped(wrapped(docs).join(kept.hint("merge"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_kept"))), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,19 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     share = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(F.lit(1.0))
-    chance = F.pmod(F.xxhash64(F.col("_id"), F.lit("mix")), F.lit(1_000_000)) / 1e6
-    times = taken.select(F.col("doc_id").alias("_id"), "_taken", "_size").select("_id", (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int").alias("_times"))
-    out = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_times > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*docs.columns)
+    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1_000_000)) / 1e6
+    times = taken.select(F.col("doc_id").alias("_id"), (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int").alias("_times"))
+    out = wrapped(docs).join(times.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("_id"))).filter("_times > 0")
+    return unwrapped(out.select("row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")), docs)
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """A document as one column, so that no name of its own can clash."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
