@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import records, scalar, sessions, text
+from .operators import clean, labels, progress, records, repair, scalar, sessions, text
 
-QUERIES = {**sessions.QUERIES, **scalar.QUERIES, **text.QUERIES, **records.QUERIES}
-ORACLE_SQL = {**sessions.ORACLE_SQL, **scalar.ORACLE_SQL, **text.ORACLE_SQL, **records.ORACLE_SQL}
+QUERIES = {**sessions.QUERIES, **scalar.QUERIES, **text.QUERIES, **records.QUERIES, **labels.QUERIES, **progress.QUERIES, **repair.QUERIES, **clean.QUERIES}
+ORACLE_SQL = {**sessions.ORACLE_SQL, **scalar.ORACLE_SQL, **text.ORACLE_SQL, **records.ORACLE_SQL, **labels.ORACLE_SQL, **progress.ORACLE_SQL, **repair.ORACLE_SQL, **clean.ORACLE_SQL}
