@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import clean, geometry, labels, progress, records, repair, scalar, sections, sessions, text
+from .operators import clean, geometry, labels, lessons, progress, records, repair, scalar, sections, sessions, text
 
-QUERIES = {**sessions.QUERIES, **scalar.QUERIES, **text.QUERIES, **records.QUERIES, **labels.QUERIES, **progress.QUERIES, **repair.QUERIES, **clean.QUERIES, **sections.QUERIES, **geometry.QUERIES}
-ORACLE_SQL = {**sessions.ORACLE_SQL, **scalar.ORACLE_SQL, **text.ORACLE_SQL, **records.ORACLE_SQL, **labels.ORACLE_SQL, **progress.ORACLE_SQL, **repair.ORACLE_SQL, **clean.ORACLE_SQL, **sections.ORACLE_SQL, **geometry.ORACLE_SQL}
+QUERIES = {**sessions.QUERIES, **scalar.QUERIES, **text.QUERIES, **records.QUERIES, **labels.QUERIES, **progress.QUERIES, **repair.QUERIES, **clean.QUERIES, **sections.QUERIES, **geometry.QUERIES, **lessons.QUERIES}
+ORACLE_SQL = {**sessions.ORACLE_SQL, **scalar.ORACLE_SQL, **text.ORACLE_SQL, **records.ORACLE_SQL, **labels.ORACLE_SQL, **progress.ORACLE_SQL, **repair.ORACLE_SQL, **clean.ORACLE_SQL, **sections.ORACLE_SQL, **geometry.ORACLE_SQL, **lessons.ORACLE_SQL}
