@@ -31,7 +31,7 @@ from .common import arrow, materialize, slices
 
 SHINGLE, THRESHOLD, SKETCH, RETAINED, HOT_LIST, LONG_LIST = 5, 85, 32, 12, 200, 64
 ROUNDS = 2  # of the bound; more would only tighten it
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 UNLIKE, MISSED = 0.6, 1e-6  # see band_shape()
 BANDED = "value long, class_id binary, n_shingles long, most long, component binary"
 CLASSES = "doc_id long, n_shingles long, class_id binary, sketch array<long>"

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import arrow, cells_for, materialize, slices, with_prefix_sum
 
 CAPACITY, STEP, END_ID = 4096, 8, 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED, RANK, NEIGHBOURS, POWER, THRESHOLD, ITERATIONS = 4000, 24, 15, 8, 0.7, 16
-BLOCK, ROWS = 1 << 20, 256  # bytes of a text and rows of a batch worked on at a time
+BLOCK, ROWS = 1 << 20, 64  # bytes of a text and rows of a batch worked on at a time
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
