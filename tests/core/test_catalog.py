@@ -11,7 +11,7 @@ from lectern.operators import records, text
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "events", "conversations", "labels", "pages"):
