@@ -143,3 +143,65 @@ def samples(times: list[int], keys: list[bool], idle: int = IDLE_MS, step: int =
             n = sum(k for t, k in zip(times, keys, strict=True) if tick - step <= t < tick)
             out.append(n / 5 / (step / 60000))
     return out
+
+
+class Reader:
+    """A typing session through a planned book: a lesson that is typed to its end gives a result, and the next one begins.
+
+    `results` are (start, end, keystrokes, right ones, active milliseconds, outcome). A skipped lesson has no result.
+    """
+
+    def __init__(self, book, target: int, start=(0, 0, 0), stop: str = OFF, idle: int = IDLE_MS):
+        self.book, self.target, self.idle, self.results, self.times = book, target, idle, [], []
+        self.places = book.open
+        self.session = Session([book.text(p) for p in self.places], stop)
+        self.anchor = book.anchor(start, target)
+        self._go(self.anchor.start)
+
+    def _go(self, position) -> None:
+        self.session.at = self.session.floor = (self.places.index(position[:2]), position[2])
+
+    def position(self) -> tuple[int, int, int]:
+        k, c = self.session.at
+        return (*self.places[k], c)
+
+    def finished(self) -> bool:
+        return not self.places or self.anchor.end <= self.anchor.start
+
+    def key(self, key: str, at_ms: int) -> None:
+        if self.finished():
+            return
+        self.times.append(at_ms)
+        self.session.key(key)
+        if self.position() == self.anchor.end and self.session.total:
+            self.results.append((self.anchor.start, self.anchor.end, self.session.total, self.session.correct, active_ms(self.times, self.idle), "completed"))
+            self._next()
+
+    def _next(self) -> None:
+        end = self.anchor.end
+        self.anchor = self.book.anchor(end, self.target)
+        self.session.total = self.session.correct = 0
+        self.times = []
+        if not self.finished():
+            self._go(self.anchor.start)
+
+    def skip(self) -> None:
+        """To the next lesson; what was typed of this one counts for nothing here."""
+        if not self.finished():
+            self.results.append((self.anchor.start, self.anchor.end, 0, 0, 0, "skipped"))
+            self._next()
+
+    def restart(self) -> None:
+        """The lesson from its start; its counters are new."""
+        self.session.total = self.session.correct = 0
+        self.times = []
+        for k in range(len(self.places)):
+            if self.anchor.start[:2] <= self.places[k] <= self.anchor.end[:2]:
+                n = len(self.session.blocks[k])
+                self.session.states[k], self.session.wrong[k] = [PENDING] * n, [False] * n
+        self.session.extras.clear()
+        self._go(self.anchor.start)
+
+    def partial(self, paused_ms: int) -> tuple[int, int, int]:
+        """Keystrokes, right ones and active time of a lesson that is left before its end; the bookmark does not move."""
+        return self.session.total, self.session.correct, active_ms(self.times, self.idle, paused_ms)

@@ -157,8 +157,8 @@ def canonical_places(spark, sf_dir):
 _WRONG = "~"
 
 
-def typing_replay(spark, sf_dir):
-    """Every turn typed to its end: each seventh character wrong, put right where its place is even; Enter between turns."""
+def replay_keys(spark, sf_dir):
+    """(keys, blocks) of every turn typed to its end: each seventh character wrong, put right where its place is even; Enter between turns."""
     turns = _talks(spark, sf_dir).filter("text <> ''")
     chars = turns.select("conv_id", F.col("section").alias("b"), "text", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "c"))
     wrong = (F.col("i") % 7 == 3) & (F.col("c") != " ")
@@ -166,7 +166,11 @@ def typing_replay(spark, sf_dir):
     last = F.when(F.col("i") == F.length("text") - 1, F.concat(keys, F.array(F.lit(T.ENTER)))).otherwise(keys)
     rows = chars.select("conv_id", "b", "i", F.posexplode(last).alias("k", "key"))
     keys = rows.select("conv_id", (F.col("b") * 10**9 + F.col("i") * 10 + F.col("k")).alias("seq"), "key")
-    return replayed(keys, turns.select("conv_id", F.col("section").alias("block"), "text"), "conv_id").select("conv_id", "total", "right", "block", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
+    return keys, turns.select("conv_id", F.col("section").alias("block"), "text")
+
+
+def typing_replay(spark, sf_dir):
+    return replayed(*replay_keys(spark, sf_dir), "conv_id").select("conv_id", "total", "right", "block", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
 
 
 def corpus_digest(spark, sf_dir):
