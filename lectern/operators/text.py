@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -21,9 +20,33 @@ LIGATURES = {"ﬁ": "fi", "ﬂ": "fl"}
 LETTERS = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ł": "L", "ł": "l"}
 SPACES = " \t\n\r                 　"
 
-# Each letter below U+1F00 that decomposes into an ASCII letter and marks.
-_ACCENTED = [c for c in map(chr, range(0xC0, 0x1F00)) if (d := unicodedata.normalize("NFD", c))[0].isascii() and d[0].isalpha() and len(d) > 1 and all(map(unicodedata.combining, d[1:]))]
-_BASES = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
+
+def _folds() -> tuple[dict[str, str], str, dict[str, str]]:
+    """By full canonical decomposition: characters with a base of ASCII or of LETTERS (to that base), all marks, and
+    characters that decompose into several others, by how many more than one."""
+    bases, marks, many = {}, [], {}
+    for c in map(chr, range(0x80, 0x30000)):
+        if unicodedata.category(c)[0] == "M":
+            marks.append(c)
+            continue
+        if (d := unicodedata.normalize("NFD", c)) != c:
+            plain = [x for x in d if unicodedata.category(x)[0] != "M"]
+            if len(plain) == 1 and (plain[0].isascii() or plain[0] in LETTERS):
+                bases[c] = plain[0]
+            elif len(plain) > 1:
+                many[len(plain) - 1] = many.get(len(plain) - 1, "") + c
+    return bases, "".join(marks), many
+
+
+def _ranges(chars: str) -> str:
+    """A character class of the same characters, by runs."""
+    codes = sorted(map(ord, chars))
+    starts = [c for i, c in enumerate(codes) if i == 0 or c != codes[i - 1] + 1]
+    stops = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, stops, strict=True))
+
+
+_BASES, _MARKS, _MANY = _folds()
 
 # The fixtures hold almost nothing to repair, so these views plant it, by the same SQL in both engines.
 DIRTY = """
@@ -36,31 +59,49 @@ DIRTY = """
 """
 
 
-def fold_accents(col: Column) -> Column:
-    """Accented letters to their base letters; loose combining marks go."""
-    col = F.regexp_replace(F.translate(col, "".join(_ACCENTED), _BASES), "[̀-ͯ]", "")
-    for letter, plain in LETTERS.items():
-        col = F.replace(col, F.lit(letter), F.lit(plain))
-    return col
+def _tables(accents: bool) -> tuple[str, str, str]:
+    """(characters, their replacements one by one, characters that go): all folds that give one character or none."""
+    to = dict(zip(SINGLE_QUOTES + DOUBLE_QUOTES + DASHES + SPACES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES) + " " * len(SPACES), strict=True))
+    single = {c: plain for c, plain in LETTERS.items() if len(plain) == 1}
+    gone = INVISIBLE + MARKS
+    if accents:
+        to = {c: single.get(base, base) for c, base in _BASES.items()} | single | to
+        gone += _MARKS
+    return "".join(to), "".join(to.values()), gone
 
 
 def folded(col: Column, accents: bool = True) -> Column:
     """All folds that come before unsupported characters are counted."""
-    col = F.translate(col, INVISIBLE + MARKS, "")
-    for ligature, plain in LIGATURES.items():
-        col = F.replace(col, F.lit(ligature), F.lit(plain))
-    if accents:
-        col = fold_accents(col)
-    col = F.translate(col, SINGLE_QUOTES + DOUBLE_QUOTES + DASHES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(DASHES))
-    return F.translate(F.replace(col, F.lit("…"), F.lit("...")), SPACES, " " * len(SPACES))
+    known, plain, gone = _tables(accents)
+    out = F.translate(col, known + gone, plain)
+    longer = LIGATURES | {"…": "..."} | ({c: to for c, to in LETTERS.items() if len(to) > 1} if accents else {})
+    some = out.rlike("[" + "".join(longer) + "]")
+    long = out
+    for c, to in longer.items():
+        long = F.replace(long, F.lit(c), F.lit(to))
+    return F.when(some, long).otherwise(out)
+
+
+def _once(rows: DataFrame, column: str, value: Column) -> DataFrame:
+    """The column computed in a step of its own, so that later filters don't compute it again."""
+    rest = [c for c in rows.columns if c != column]
+    return rows.select(*rest, F.inline(F.array(F.struct(value.alias(column)))))
 
 
 def normalized(lines: DataFrame, accents: bool = True) -> DataFrame:
-    """Column text normalized to 0x20-0x7E, with `dropped`: the characters that had to go."""
-    lines = lines.withColumn("text", folded(F.col("text"), accents))
-    kept = F.regexp_replace("text", "[^\\x20-\\x7E]", "")
-    lines = lines.withColumn("dropped", (F.length("text") - F.length(kept)).cast("long"))
-    return lines.withColumn("text", F.trim(F.regexp_replace(kept, " +", " ")))
+    """Column text normalized to 0x20-0x7E, with `dropped`: the characters that had to go, as they are decomposed."""
+    odd = F.col("text").rlike("[^\\x20-\\x7E]")
+    more = F.lit(0)
+    if accents:
+        for extra, chars in _MANY.items():
+            more = more + extra * F.regexp_count("text", F.lit(f"[{_ranges(chars)}]"))
+        more = F.when(F.col("text").rlike("[\\x{80}-\\x{10FFFF}]"), more).otherwise(0)
+    lines = lines.withColumn("_more", more) if accents else lines.withColumn("_more", F.lit(0))
+    lines = _once(lines, "text", F.when(odd, folded(F.col("text"), accents)).otherwise(F.col("text")))
+    kept = _once(lines.withColumn("_size", F.length("text")), "text", F.regexp_replace("text", "[^\\x20-\\x7E]", ""))
+    kept = kept.withColumn("dropped", (F.col("_size") - F.length("text") + F.col("_more")).cast("long"))
+    order = [c for c in lines.columns if c != "_more"]
+    return _once(kept, "text", F.trim(F.regexp_replace("text", " +", " "))).select(*order, "dropped")
 
 
 def lines_of(docs: DataFrame, *keys: str) -> DataFrame:

@@ -36,6 +36,21 @@ def test_folds(spark):
     assert text.normalized(row).first() == ("- AEon... cafe fin", 1)
 
 
+def test_folds_by_full_decomposition(spark):
+    """As the standard library decomposes, over every character of the basic plane that does."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFD", chr(c)) != chr(c)] + ["Kelvin \u212a", "\u212b", "\u0915\u093c", "x\u20d0", "\uac01\uac00"]
+    rows = spark.createDataFrame(list(enumerate(chars)), "i int, text string")
+    got = {r.i: (r.text, r.dropped) for r in text.normalized(rows).collect()}
+    for i, c in enumerate(chars):
+        plain = "".join(text.LETTERS.get(x, x) for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
+        for a, b in [*zip(text.SINGLE_QUOTES + text.DASHES, "'" * 4 + "-" * 4, strict=True), *((x, " ") for x in text.SPACES)]:
+            plain = plain.replace(a, b)
+        typed = "".join(x for x in plain if " " <= x <= "~")
+        assert got[i] == (" ".join(typed.split()), len(plain) - len(typed)), (c, hex(ord(c[0])))
+
+
 def test_record_rules(spark):
     n = spark.createDataFrame([(250, 30000, 0, 0)], "chars int, ms int, correct int, total int")
     assert n.select(records.wpm(F.col("chars"), F.col("ms")), records.accuracy(F.col("correct"), F.col("total"))).first() == (100.0, 100.0)
