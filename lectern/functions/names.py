@@ -131,7 +131,7 @@ def with_choices(overrides: Column, defaults: Column, choices: Column, touched:
 
 
 def metadata_text(value: Column) -> Column:
-    """A JSON metadata value: a string squeezed, an array joined by ", ", of an object the first known field; null if empty."""
+    """A metadata value, bare or JSON: a string squeezed, an array joined by ", ", of an object the first known field; null if empty."""
     kinds = ("x-default", "#text", "value")
 
     def plain(v):
@@ -141,7 +141,7 @@ def metadata_text(value: Column) -> Column:
     item = lambda v: F.coalesce(plain(F.when(~v.rlike("^[\\[{]"), v)), *[plain(F.get_json_object(v, f"$['{k}']")) for k in kinds])
     items = F.from_json(value, "array<string>")
     joined = F.array_join(F.filter(F.transform(items, item), lambda v: v.isNotNull()), ", ")
-    text = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]
+    text = F.when(value.startswith('"'), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).otherwise(value)
     return F.when(value.startswith("["), F.when(joined != "", joined)).otherwise(item(text))
 
 

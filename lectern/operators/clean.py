@@ -86,9 +86,15 @@ def without_noise(blocks: DataFrame) -> DataFrame:
 
 
 def without_running_heads(blocks: DataFrame, targets: DataFrame, structured: DataFrame, book: str) -> DataFrame:
-    """Blocks of page-structured books without short ones that say a target (book, target: title, author, section title)."""
-    keys = targets.filter(F.trim("target") != "").join(structured.filter("structured"), book).select(F.col(book).alias("_b"), heading_key(F.col("target")).alias("_k")).distinct()
+    """Blocks of page-structured books without short ones that say a target.
+
+    Targets are book, target (title, author) and may have section: a section's title counts in that section only.
+    """
+    own = F.col("section") if "section" in targets.columns else F.lit(None)
+    keys = targets.filter(F.trim("target") != "").join(structured.filter("structured"), book).select(F.col(book).alias("_b"), heading_key(F.col("target")).alias("_k"), own.alias("_s")).distinct()
     says = (F.col(book) == F.col("_b")) & (heading_key(F.col("text")) == F.col("_k")) & (F.col("kind") != "heading") & (F.length("text") <= HEAD_LENGTH)
+    if "section" in targets.columns:
+        says = says & (F.col("_s").isNull() | (F.col("_s") == F.col("section")))
     return blocks.join(keys, says, "left_anti")
 
 

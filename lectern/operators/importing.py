@@ -15,6 +15,7 @@ from lectern.functions import names as N
 from lectern.operators import clean, repair, text
 from lectern.operators.records import book_format
 from lectern.operators.sections import included, numbered_sections, section_kind, text_blocks
+from lectern.plans.stages import written
 from lectern.sources import epub, html, markdown
 
 PARSED = (
@@ -121,21 +122,22 @@ def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
 
 def finalized(raw: Imported, accents: bool = True) -> tuple[DataFrame, DataFrame]:
     """(clean blocks: book, section, block, kind, text; warnings: book, section, code, n), from repair to the last split."""
-    blocks = raw.blocks.filter("text is not null")
+    blocks = written(raw.blocks.filter("text is not null"), "raw-blocks")
     flags = repair.garbled_books(blocks, "book")
-    pieces = repair.recovered(repair.repaired(blocks, "book"))
+    pieces = written(repair.recovered(repair.repaired(blocks, "book")), "pieces")
     order = F.col("block") * 1_000_000 + F.col("part")
-    normal = text.normalized(pieces.withColumn("block", order).drop("part"), accents)
+    normal = written(text.normalized(pieces.withColumn("block", order).drop("part"), accents), "normal-blocks")
     dropped = normal.groupBy("book", "section").agg(F.sum("dropped").alias("n")).filter("n > 0").withColumn("code", F.lit("dropped-chars"))
     lines = normal.filter("text <> ''").drop("dropped")
     words, paged = text.vocabulary(lines, "book"), clean.page_structured(lines, "book")
     joined = clean.joined_blocks(lines, words, "book", "section", "block")
     keyed = joined.withColumn("key", F.concat_ws(":", "book", "section", "block"))
     mended = clean.dehyphenated(keyed, words, "book", "key").drop("key").withColumn("text", clean.without_marks(text.fix_spacing(F.col("text"))))
+    mended = written(mended, "mended-blocks")
     quiet = clean.without_noise(mended)
     targets = raw.books.select("book", F.explode(F.array("title", "author")).alias("target")).withColumn("section", F.lit(None).cast("long"))
     targets = targets.unionByName(raw.sections.select("book", F.col("title").alias("target"), "section"))
-    headless = clean.without_running_heads(quiet, targets, paged, "book")
+    headless = written(clean.without_running_heads(quiet, targets, paged, "book"), "headless-blocks")
     last = clean.split_long(headless).withColumn("block", F.col("block") * 1000 + F.col("part")).drop("part")
 
     def fewer(before: DataFrame, after: DataFrame, code: str, sign: int = 1) -> DataFrame:

@@ -101,8 +101,9 @@ def books_with_content(meta: DataFrame, content: DataFrame) -> DataFrame:
 
 def payload_json(progress: DataFrame, known: DataFrame, settings: DataFrame, updated_at: int) -> DataFrame:
     """One row `payload`: the sync file of a few readers' books, pretty JSON. A payload is a reader's, so it is small by nature."""
-    books = progress.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("book_id", F.struct(*progress.columns))))).alias("progress"))
-    names = known.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("book_id", F.struct("title", "author"))))).alias("known_books"))
+    by_book = lambda a, b: F.when(a["book_id"] < b["book_id"], -1).when(a["book_id"] > b["book_id"], 1).otherwise(0)
+    books = progress.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("book_id", F.struct(*progress.columns).alias("r"))), by_book)).alias("progress"))
+    names = known.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("book_id", F.struct("title", "author").alias("r"))), by_book)).alias("known_books"))
     one = settings.limit(1).select(F.struct(*settings.columns).alias("settings"))
     row = F.struct(F.lit(1).alias("version"), F.lit(updated_at).cast("long").alias("updated_at"), "progress", "known_books", "settings")
     return books.join(names).join(one).select(F.to_json(row, {"pretty": "true"}).alias("payload"))

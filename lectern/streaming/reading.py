@@ -8,7 +8,6 @@ taken once, by their sequence number.
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,20 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.functions import typing as T
 from lectern.operators import lessons
+from lectern.plans.stages import shared
 
 TOTALS = "total long, right long, block long, char long, correct long, incorrect long, corrected long, pending long, extras long"
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one; a local one only where Spark runs in one process and none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "/tmp/checkpoints"
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """The event table as a stream of files."""
     schema = spark.read.parquet(path).schema
