@@ -6,6 +6,7 @@ are small, and any number of them runs side by side.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -67,6 +68,46 @@ def canonical_positions(blocks: DataFrame, places: DataFrame, book: str) -> Data
     return left.cogroup(places.select(F.col(book).alias("_b"), "place", "section", "block", "char").groupBy("_b")).applyInPandas(move, f"{book} {kind}, place long, section long, block long, char long")
 
 
+def usable(book: P.Book, at: tuple, signature: str, navigation: dict | None) -> bool:
+    """Is a stored frontier still good: same book text, the place inside it (half-open), and every anchor valid."""
+    if not navigation or navigation["signature"] != signature:
+        return False
+    anchors = [P.Anchor(tuple(a["start"]), tuple(a["end"]), a["target"], a["version"]) for a in (navigation["frontier"], *navigation["history"])]
+    return anchors[0].start <= at < anchors[0].end and all(map(book.is_valid, anchors))
+
+
+def opened(blocks: DataFrame, bookmarks: DataFrame, book: str, target: int) -> DataFrame:
+    """What opening each book does to its bookmark (book, section, block, char, signature, navigation as JSON or null).
+
+    book, outcome, section, block, char, history: "kept" where the stored lesson is good and begun at its start, "snapped"
+    where the bookmark lay inside it (it moves to the start), "seeded" where a new lesson and history were planned, "ended"
+    at the book's end, "empty" without text.
+    """
+    kind = blocks.schema[book].dataType.simpleString()
+
+    def open_(rows, own):
+        out = []
+        it = book_of(rows) if len(rows) else None
+        for r in own.itertuples():
+            at, said = (int(r.section), int(r.block), int(r.char)), json.loads(r.navigation) if r.navigation else None
+            if it is None or not it.open:
+                out.append((own.iloc[0, 0], "empty", *at, 0))
+                continue
+            name, end = own.iloc[0, 0], last_place(it)
+            if usable(it, at, r.signature, said):
+                start = tuple(said["frontier"]["start"])
+                out.append((name, "kept" if at == start else "snapped", *start, len(said["history"])))
+            elif at >= end:
+                out.append((name, "ended", *at, 0))
+            else:
+                out.append((name, "seeded", *it.anchor(at, target).start, len(it.recent(at, target))))
+        return pd.DataFrame(out, columns=[book, "outcome", "section", "block", "char", "history"])
+
+    left = blocks.select(book, "section", "block", "included", "kind", "text").groupBy(book)
+    right = bookmarks.select(F.col(book).alias("book_"), "section", "block", "char", "signature", "navigation").groupBy("book_")
+    return left.cogroup(right).applyInPandas(open_, f"{book} {kind}, outcome string, section long, block long, char long, history long")
+
+
 def replayed(keys: DataFrame, blocks: DataFrame, session: str, stop: str = T.OFF) -> DataFrame:
     """session and counts after its keys (session, seq, key) over its blocks (session, block, text)."""
     kind = keys.schema[session].dataType.simpleString()

@@ -110,6 +110,21 @@ def test_lessons_give_results():
     assert r.results[-1][1] == (0, 1, len(words(40)))
 
 
+def test_opening_books(spark):
+    import json
+
+    from lectern.operators import lessons
+
+    text = words(40)
+    a = book(text, "tail").anchor((0, 0, 0), 100)
+    stored = lambda **k: json.dumps({"signature": "s", "frontier": {"start": a.start, "end": a.end, "target": 100, "version": 1}, "history": [], **k})
+    marks = [("kept", 0, 0, 0, "s", stored()), ("snapped", 0, 0, 50, "s", stored()), ("seeded", 0, 0, 130, "s", stored()), ("stale", 0, 0, 0, "other", stored()), ("none", 0, 0, 0, "s", None), ("ended", 0, 1, 4, "s", None), ("empty", 0, 0, 0, "s", None)]
+    rows = [(m[0], 0, k, True, "paragraph", "" if m[0] == "empty" else t) for m in marks for k, t in enumerate((text, "tail"))]
+    blocks = spark.createDataFrame(rows, "book string, section int, block int, included boolean, kind string, text string")
+    got = {r.book: tuple(r)[1:] for r in lessons.opened(blocks, spark.createDataFrame(marks, "book string, section int, block int, char int, signature string, navigation string"), "book", 100).collect()}
+    assert got == {"kept": ("kept", 0, 0, 0, 0), "snapped": ("snapped", 0, 0, 0, 0), "seeded": ("seeded", 0, 0, 130, 2), "stale": ("seeded", 0, 0, 0, 0), "none": ("seeded", 0, 0, 0, 0), "ended": ("ended", 0, 1, 4, 0), "empty": ("empty", 0, 0, 0, 0)}
+
+
 def item(text, x, y, width=None, height=10, place=0):
     return G.Item(text, x, y, width, height, place)
 
