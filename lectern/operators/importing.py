@@ -235,7 +235,13 @@ def import_files(spark, sf_dir):
     return blocks.select("book", "section", "block", "kind", "text")
 
 
-QUERIES = {"decoded_texts": decoded_texts, "page_titles": page_titles, "html_blocks": html_blocks, "epub_sections": epub_sections, "import_files": import_files}
+def content_ids(spark, sf_dir):
+    """Ids of files by their bytes: texts in two encodings."""
+    docs = _t(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", content_id(F.encode("text", "UTF-8")).alias("id"), content_id(F.encode(F.translate("text", "éèêàçùâîôûäöüßñáíóúÉÈ", ""), "UTF-16LE")).alias("wide"))
+
+
+QUERIES = {"content_ids": content_ids, "decoded_texts": decoded_texts, "page_titles": page_titles, "html_blocks": html_blocks, "epub_sections": epub_sections, "import_files": import_files}
 
 # Marks for the tags of the sample pages: what begins with h, p, l or d is a block, \x02 is a break.
 _SQL_MARKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -247,6 +253,10 @@ for _from, _to in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;
     _SQL_ENTITIES = f"replace({_SQL_ENTITIES}, '{_from}', '{_to}')"
 
 ORACLE_SQL = {
+    "content_ids": """
+        with d as (select doc_id, encode(text) as b, translate(text, 'éèêàçùâîôûäöüßñáíóúÉÈ', '') as t from documents where text is not null)
+        select doc_id, substring(sha256(b), 1, 16) as id, substring(sha256(unhex(array_to_string(list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: lpad(hex(unicode(c) % 256), 2, '0') || lpad(hex(unicode(c) // 256), 2, '0')), ''))), 1, 16) as wide from d
+    """,
     "decoded_texts": "select doc_id, text from documents where text is not null",
     "page_titles": f"""
         select page_id, trim({_SQL_ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) as title, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) as language,

@@ -287,6 +287,15 @@ def history_validity(spark, sf_dir):
     return by.select("user_id", history_is_valid(F.transform("all", lambda x: x["r"]), frontier).alias("valid"))
 
 
+def navigation_results(spark, sf_dir):
+    """Results of lessons with planted faults: none, or finite numbers in range."""
+    e = _t(spark, sf_dir, "events").select("event_id", F.col("value").cast("double").alias("v"))
+    k = F.col("event_id")
+    numbers = {"wpm": F.when(k % 7 == 0, -1.0).otherwise(F.col("v")), "raw_wpm": F.when(k % 11 == 0, float("inf")).otherwise(F.col("v")), "accuracy": (k % 105).cast("double"), "consistency": (k % 103).cast("double"), "chars": k % 20, "errors": k % 13, "elapsed_ms": F.when(k % 17 != 0, 5.0)}
+    result = F.when(k % 5 != 0, F.struct(*[v.alias(n) for n, v in numbers.items()]))
+    return e.select("event_id", result_is_valid(result).alias("valid"))
+
+
 def active_lesson(spark, sf_dir):
     """Which turns lie in a conversation's active lesson, half-open; the order of positions is that of their fields."""
     t = _t(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 7).alias("c"))
@@ -307,7 +316,7 @@ def library_list(spark, sf_dir):
 QUERIES = {
     "payload_merge": payload_merge, "valid_progress": valid_progress, "rejected_progress": rejected_progress, "payload_check": payload_check, "known_books": known_books,
     "settings_merge": settings_merge, "reimported": reimported, "lifetime_totals": lifetime_totals, "upserted": upserted, "history_validity": history_validity,
-    "active_lesson": active_lesson, "library_list": library_list,
+    "active_lesson": active_lesson, "library_list": library_list, "navigation_results": navigation_results,
 }
 
 
@@ -359,6 +368,9 @@ ORACLE_SQL = {
         with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id desc) as k, max(event_id) over (partition by user_id) as last from events)
         select user_id, bool_and(event_id % 97 <> 0 and (user_id % 5 <> 0 or event_id < last - 1)) as valid from r where k <= 64 group by user_id
     """,
+    "navigation_results": """
+        select event_id, event_id % 5 = 0 or (event_id % 7 <> 0 and value >= 0 and event_id % 11 <> 0 and event_id % 105 <= 100 and event_id % 103 <= 100 and event_id % 17 <> 0 and event_id % 13 <= event_id % 20) as valid from events
+    """,
     "active_lesson": "select conv_id, turn, (turn > 1 or (turn = 1 and conv_id % 7 >= 3)) and (turn < 3 or (turn = 3 and conv_id % 7 < 3)) as active from conversations",
     "library_list": f"""
         with b as (select conv_id, cast(sum(coalesce(length(text), 0)) as bigint) as chars from conversations group by conv_id)

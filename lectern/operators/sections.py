@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import names as N
 from lectern.operators.scalar import heading_key
+from lectern.sources.store import books_with_content
 
 # Fixed values.
 STRONG_HEADING = "(?i)^(?:(?:chapter|book|part|section)\\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)(?:\\s*[:.\\-]\\s*.*|\\s+.*)?|(?:prologue|epilogue|introduction|preface))$"
@@ -111,6 +112,25 @@ def chars_at(blocks: DataFrame, places: DataFrame, book: str) -> DataFrame:
     return blocks.filter("included").join(at, F.col(book) == F.col("_b")).groupBy(book).agg(F.sum(own).cast("long").alias("chars"))
 
 
+def nonspace_index(blocks: DataFrame, book: str) -> DataFrame:
+    """Blocks with base: the characters other than spaces of all included blocks before; null for excluded ones."""
+    own = F.when(F.col("included"), F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))))
+    before = Window.partitionBy(book).orderBy("section", "block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("base", F.when(F.col("included"), F.coalesce(F.sum(own).over(before), F.lit(0))).cast("long"))
+
+
+def nonspace_at(base: Column, text: Column, char: Column) -> Column:
+    """Characters other than spaces before a place in a block of nonspace_index(); 0 in an excluded one."""
+    inside = F.left(text, F.greatest(F.lit(0), F.least(char, F.length(text))).cast("int"))
+    return F.coalesce(base + F.length(F.replace(inside, F.lit(" "), F.lit(""))), F.lit(0)).cast("long")
+
+
+def merged_contents(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """keys, title of two tables of contents; the newer kind wins where both name a path."""
+    a, b = old.select(*keys, F.col("title").alias("_a")), new.select(*keys, F.col("title").alias("_b"))
+    return a.join(b, list(keys), "full").select(*keys, F.coalesce("_b", "_a").alias("title"))
+
+
 def next_blocks(blocks: DataFrame, book: str) -> DataFrame:
     """Blocks that say something, with the next and previous one: the next stays in the own section if that is included.
 
@@ -191,7 +211,26 @@ def block_neighbours(spark, sf_dir):
     return out.select("conv_id", "section", F.col("block").cast("long").alias("block"), F.col("next.section").alias("ns"), F.col("next.block").cast("long").alias("nb"), F.col("previous.section").alias("ps"), F.col("previous.block").cast("long").alias("pb"))
 
 
+def nonspace_positions(spark, sf_dir):
+    """The index of each turn and what it says of a place in it."""
+    rows = _sections(spark, sf_dir).select("conv_id", F.col("turn").alias("section"), F.lit(0).alias("block"), "included", "text")
+    out = nonspace_index(rows, "conv_id")
+    return out.select("conv_id", "section", "base", nonspace_at(F.col("base"), F.col("text"), F.col("conv_id") % 30).alias("at"))
+
+
+def toc_merge(spark, sf_dir):
+    rows = _sections(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("Old "), F.col("turn").cast("string")).alias("title"))
+    return merged_contents(rows.filter("turn % 3 <> 2"), rows.filter("turn % 2 = 0").withColumn("title", F.lit("New")), "conv_id", "turn")
+
+
+def books_whole(spark, sf_dir):
+    """Documents as books: the facts of some, the content of others; only those with both."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return books_with_content(docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("book_id"), "lang"), docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("book_id"), F.length("text").alias("size")))
+
+
 QUERIES = {
+    "nonspace_positions": nonspace_positions, "toc_merge": toc_merge, "books_whole": books_whole,
     "line_group_kind": line_group_kind, "text_book_blocks": text_book_blocks, "heading_sections": heading_sections, "section_kinds": section_kinds, "contents_list": contents_list,
     "section_neighbours": section_neighbours, "chars_at_position": chars_at_position, "block_neighbours": block_neighbours,
 }
@@ -233,6 +272,13 @@ def _sql_steps(name: str) -> str:
 
 
 ORACLE_SQL = {
+    "nonspace_positions": f"""
+        with s as (select conv_id, turn, included, text, length(replace(text, ' ', '')) as n from {_SQL_SECTIONS}),
+        b as (select *, case when included then cast(coalesce(sum(case when included then n end) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) end as base from s)
+        select conv_id, turn as section, base, cast(coalesce(base + length(replace(left(text, cast(conv_id % 30 as int)), ' ', '')), 0) as bigint) as at from b
+    """.replace(" as at from b", ' as "at" from b'),
+    "toc_merge": "select conv_id, turn, case when turn % 2 = 0 then 'New' else concat('Old ', cast(turn as varchar)) end as title from conversations where turn % 3 <> 2 or turn % 2 = 0",
+    "books_whole": "select doc_id as book_id, lang, cast(length(text) as int) as size from documents where doc_id % 3 <> 0 and doc_id % 2 = 0",
     "line_group_kind": f'with {_SQL_GROUPS} select doc_id, grp as "group", n as lines, kind from k',
     "text_book_blocks": f"with {_SQL_GROUPS}, {_SQL_BLOCKS} select doc_id, section, block, kind, text from b",
     "heading_sections": f"""
