@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import names as N
-from lectern.operators import clean, repair, text
+from lectern.operators import clean, geometry, repair, text
 from lectern.operators.records import book_format
 from lectern.operators.sections import included, numbered_sections, section_kind, text_blocks
 from lectern.plans.stages import written
-from lectern.sources import epub, html, markdown
+from lectern.sources import epub, html, markdown, pdf
 
 PARSED = (
     "book string, path string, title string, author string, language string, failed string, "
@@ -89,6 +89,61 @@ def structured(files: DataFrame) -> DataFrame:
     return files.select("book", "path", "content", "format", "title").mapInPandas(run, PARSED)
 
 
+PDF_ITEMS = "book string, page int, place long, text string, x double, y double, width double, height double"
+PDF_FACTS = "book string, path string, title string, author string, pages int, failed string, outline array<struct<title: string, page: int>>"
+
+
+def pdf_facts(files: DataFrame) -> DataFrame:
+    """PDF_FACTS of PDF files (book, path, content, title)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                try:
+                    own = pdf.read(r.content)
+                    out.append((r.book, r.path, own.title or r.title, own.author or None, len(own.pages), None, [{"title": t, "page": k} for t, k in own.outline]))
+                except ValueError as e:
+                    out.append((r.book, r.path, r.title, None, 0, str(e), []))
+            yield pd.DataFrame(out, columns=["book", "path", "title", "author", "pages", "failed", "outline"])
+
+    return files.select("book", "path", "content", "title").mapInPandas(run, PDF_FACTS)
+
+
+def pdf_items(files: DataFrame) -> DataFrame:
+    """PDF_ITEMS of PDF files that can be read: each shown string with its place."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                try:
+                    own = pdf.read(r.content)
+                except ValueError:
+                    continue
+                for k, page in enumerate(own.pages):
+                    yield pd.DataFrame([(r.book, k, i, *item) for i, item in enumerate(page.items)], columns=["book", "page", "place", "text", "x", "y", "width", "height"])
+
+    return files.select("book", "content").mapInPandas(run, PDF_ITEMS)
+
+
+def pdf_sections(facts: DataFrame) -> DataFrame:
+    """book, title, start, stop (pages): by the outline, else twenty pages each, a short book as one."""
+    known = facts.filter("failed is null and pages > 0")
+    entries = known.select("book", F.posexplode("outline").alias("place", "o")).select("book", "place", "o.title", "o.page")
+    named = geometry.outline_ranges(entries, known.select("book", "pages"), "book")
+    rest = known.join(named.select("book").distinct(), "book", "left_anti")
+    starts = rest.select("book", F.col("title").alias("_t"), "pages", F.explode(F.sequence(F.lit(0), F.col("pages") - 1, F.lit(geometry.RANGE))).alias("start"))
+    stop = F.least(F.col("start") + geometry.RANGE, F.col("pages"))
+    label = F.when(F.col("pages") <= geometry.RANGE, F.col("_t")).otherwise(F.concat(F.lit("Pages "), (F.col("start") + 1).cast("string"), F.lit("-"), stop.cast("string")))
+    return named.unionByName(starts.select("book", label.alias("title"), F.col("start").cast("long").alias("start"), stop.cast("long").alias("stop")))
+
+
+def pdf_blocks(files: DataFrame) -> DataFrame:
+    """book, page, block, kind, text of PDF files: lines of pages without repeated edges, as paragraphs and verse."""
+    lines = written(geometry.page_lines(pdf_items(files), "book", "page"), "pdf-lines")
+    return geometry.page_blocks(geometry.without_edges(lines, "book", "page", "line"), "book", "page")
+
+
 class Imported:
     """books (book, path, title, author, language), sections (book, section, id, title, kind, included), blocks, warnings, rejected files."""
 
@@ -97,7 +152,7 @@ class Imported:
 
 
 def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
-    """Raw books of files (path, content), each by its format; unknown formats and PDF bytes are rejected."""
+    """Raw books of files (path, content), each by its format; unknown formats and what can't be read are rejected."""
     name = F.substring_index("path", "/", -1)
     rows = files.select("path", "content", book_format(name, F.lit("") if mime is None else mime).alias("format"), N.file_title(name).alias("title"), content_id(F.col("content")).alias("book"))
     tree = structured(rows.filter(F.col("format").isin("epub", "html", "markdown")))
@@ -106,16 +161,26 @@ def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
     txt = text_blocks(lines, "book").join(texts.select("book", "title").distinct(), "book")
     named = numbered_sections(txt, "book", "text", F.col("title")).withColumn("href", F.concat(F.lit("#"), F.col("id"))).drop("blocks")
 
+    pdfs = rows.filter("format = 'pdf'")
+    read = written(pdf_facts(pdfs), "pdf-facts")
+    ranges = pdf_sections(read).withColumn("section", F.row_number().over(Window.partitionBy("book").orderBy("start")) - 1)
+    paged = pdf_blocks(pdfs).join(ranges.select(F.col("book").alias("_b"), "section", "start", "stop"), (F.col("book") == F.col("_b")) & (F.col("page") >= F.col("start")) & (F.col("page") < F.col("stop")))
+    paged = paged.select("book", F.col("section").cast("long").alias("section"), (F.col("page") * 100_000 + F.col("block")).cast("long").alias("block"), "kind", "text")
+    place = (F.col("start") + 1).cast("string")
+    marked = ranges.select("book", F.col("section").cast("long").alias("section"), F.concat(F.lit("pdf-"), place).alias("id"), "title", F.concat(F.lit("#page="), place).alias("href"))
+
     spread = tree.filter("failed is null").select("book", F.posexplode("sections").alias("section", "s"))
-    sections = spread.select("book", F.col("section").cast("long").alias("section"), "s.id", "s.title", "s.href").unionByName(named.select("book", "section", "id", "title", "href"))
+    sections = spread.select("book", F.col("section").cast("long").alias("section"), "s.id", "s.title", "s.href").unionByName(named.select("book", "section", "id", "title", "href")).unionByName(marked)
     kind = section_kind(F.col("id"), F.col("href"), F.col("title"))
     sections = sections.withColumn("kind", F.when(F.col("href").startswith("#"), "body").otherwise(kind)).withColumn("included", included(F.col("kind")))
     blocks = spread.select("book", F.col("section").cast("long").alias("section"), F.posexplode("s.blocks").alias("block", "b")).select("book", "section", F.col("block").cast("long").alias("block"), "b.kind", "b.text")
-    blocks = blocks.unionByName(txt.select("book", "section", F.col("block").cast("long").alias("block"), "kind", "text"))
+    blocks = blocks.unionByName(txt.select("book", "section", F.col("block").cast("long").alias("block"), "kind", "text")).unionByName(paged)
     facts = tree.filter("failed is null").select("book", "path", "title", "author", "language").unionByName(texts.select("book", "path", "title", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("language")))
+    facts = facts.unionByName(read.filter("failed is null").select("book", "path", "title", "author", F.lit(None).cast("string").alias("language")))
     books = facts.withColumn("author", F.coalesce("author", F.lit("Unknown author"))).withColumn("language", F.coalesce("language", F.lit("und")))
-    bad = rows.filter("format is null or format = 'pdf'").select("path", F.when(F.col("format").isNull(), "unsupported format").otherwise("no reader for these bytes").alias("why"))
-    rejected = bad.unionByName(tree.filter("failed is not null").select("path", F.col("failed").alias("why")))
+    rejected = rows.filter("format is null").select("path", F.lit("unsupported format").alias("why"))
+    for d in (tree, read):
+        rejected = rejected.unionByName(d.filter("failed is not null").select("path", F.col("failed").alias("why")))
     warnings = tree.select("book", F.explode("warnings").alias("w")).select("book", "w.section", "w.code")
     return Imported(books, sections, blocks, warnings, rejected)
 
@@ -241,7 +306,39 @@ def content_ids(spark, sf_dir):
     return docs.select("doc_id", content_id(F.encode("text", "UTF-8")).alias("id"), content_id(F.encode(F.translate("text", "éèêàçùâîôûäöüßñáíóúÉÈ", ""), "UTF-16LE")).alias("wide"))
 
 
-QUERIES = {"content_ids": content_ids, "decoded_texts": decoded_texts, "page_titles": page_titles, "html_blocks": html_blocks, "epub_sections": epub_sections, "import_files": import_files}
+def _printed(docs: DataFrame) -> DataFrame:
+    """Documents as PDF files of one font: twelve lines a page, a head and a page number on each."""
+
+    def run(batches):
+        import zlib
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                lines = [x for x in r.text.split("\n") if x.strip()]
+                parts = [lines[k : k + 12] for k in range(0, len(lines), 12)] or [[]]
+                objects = ["<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Count %d/Kids[%s]>>" % (len(parts), " ".join(f"{4 + 2 * k} 0 R" for k in range(len(parts)))), "<</Type/Font/Subtype/Type1/BaseFont/Courier/FirstChar 0/Widths[%s]/Encoding/WinAnsiEncoding>>" % " ".join(["600"] * 256)]
+                files = [o.encode() for o in objects]
+                for k, own in enumerate(parts):
+                    shown = [(800, "THE HEAD"), *((760 - 20 * i, x) for i, x in enumerate(own)), (20, str(k + 1))]
+                    escape = lambda x: x.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+                    body = zlib.compress(b"BT /F 10 Tf " + b" ".join(b"1 0 0 1 50 %d Tm (%s) Tj" % (y, escape(x)) for y, x in shown) + b" ET")
+                    files += [b"<</Type/Page/Parent 2 0 R/Resources<</Font<</F 3 0 R>>>>/Contents %d 0 R>>" % (5 + 2 * k), b"<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream" % (len(body), body)]
+                out.append((f"{r.doc_id}.pdf", b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(files)) + b"trailer<</Root 1 0 R>>"))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "path string, content binary")
+
+
+def pdf_lines(spark, sf_dir):
+    """Documents printed to PDF and read back: their lines, without the heads and numbers of pages."""
+    docs = _t(spark, sf_dir, "documents").filter("text is not null")
+    files = _printed(docs).withColumn("book", F.regexp_extract("path", "([0-9]+)", 1))
+    lines = geometry.page_lines(pdf_items(files), "book", "page").filter("y > 400 and y < 780")
+    return lines.select(F.col("book").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), F.col("line").cast("long").alias("line"), "text")
+
+
+QUERIES = {"pdf_lines": pdf_lines, "content_ids": content_ids, "decoded_texts": decoded_texts, "page_titles": page_titles, "html_blocks": html_blocks, "epub_sections": epub_sections, "import_files": import_files}
 
 # Marks for the tags of the sample pages: what begins with h, p, l or d is a block, \x02 is a break.
 _SQL_MARKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -253,6 +350,11 @@ for _from, _to in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;
     _SQL_ENTITIES = f"replace({_SQL_ENTITIES}, '{_from}', '{_to}')"
 
 ORACLE_SQL = {
+    "pdf_lines": """
+        with l as (select doc_id, unnest(generate_series(1, len(parts))) as i, unnest(parts) as text from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null)),
+        k as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as k, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from l where trim(text) <> '')
+        select doc_id, k // 12 as page, cast(1 + k % 12 as bigint) as line, text from k
+    """,
     "content_ids": """
         with d as (select doc_id, encode(text) as b, translate(text, 'éèêàçùâîôûäöüßñáíóúÉÈ', '') as t from documents where text is not null)
         select doc_id, substring(sha256(b), 1, 16) as id, substring(sha256(unhex(array_to_string(list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: lpad(hex(unicode(c) % 256), 2, '0') || lpad(hex(unicode(c) // 256), 2, '0')), ''))), 1, 16) as wide from d

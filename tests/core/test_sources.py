@@ -3,13 +3,14 @@
 import io
 import struct
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import names as N
 from lectern.operators import importing, progress
-from lectern.sources import epub, html, markdown
+from lectern.sources import epub, html, markdown, pdf
 from lectern.sources.store import Store, books_with_content, payload_json, read_payload
 
 
@@ -88,6 +89,40 @@ def test_ebooks():
     assert (no_spine.title, no_spine.sections, no_spine.warnings) == ("Name", [], [("no-spine", None)])
 
 
+def pdf_file(objects, trailer="<</Root 1 0 R>>"):
+    return b"%PDF-1.7\n" + b"".join(f"{k} 0 obj ".encode() + (o if isinstance(o, bytes) else o.encode()) + b" endobj\n" for k, o in objects.items()) + f"trailer{trailer}".encode()
+
+
+def test_pdf_files():
+    page = b"<</Length 999>>stream\nq 2 0 0 2 10 0 cm BT /F 12 Tf 14 TL 1 0 0 1 5 700 Tm [(He) -50 (llo) -400 (you)] TJ T* (\\(a\\) \\101%no) Tj /G 10 Tf <00010002> Tj ET Q\nendstream"
+    cmap = b"<<>>stream\n1 beginbfrange <0001> <0002> <0058> endbfrange\nendstream"
+    packed = zlib.compress(b"6 0 7 60 " + b"<</Type/Font/Subtype/Type1>>".ljust(60) + b"<</Type/Font/Subtype/Type0/ToUnicode 8 0 R>>")
+    objects = {
+        1: "<</Type/Catalog/Pages 2 0 R/Outlines 10 0 R>>", 2: "<</Kids[3 0 R 4 0 R]/Resources<</Font<</F 6 0 R/G 7 0 R>>>>>>", 3: "<</Type/Page/Contents[5 0 R]>>", 4: "<</Type/Page>>", 5: page,
+        8: cmap, 9: b"<</Type/ObjStm/N 2/First 9/Filter/FlateDecode/Length %d>>stream\n" % len(packed) + packed + b"\nendstream",
+        10: "<</First 11 0 R>>", 11: "<</Title(One)/Dest[3 0 R/Fit]/Next 12 0 R>>", 12: "<</Title<FEFF0054>/A<</D[4 0 R]>>/Next 11 0 R>>", 13: "<</Title( My  Title )/Author(Me)>>",
+    }
+    own = pdf.read(pdf_file(objects, "<</Root 1 0 R/Info 13 0 R>>"))
+    assert (own.title, own.author, own.outline, len(own.pages), own.pages[1].items) == ("My Title", "Me", [("One", 0), ("T", 1)], 2, [])
+    said = [(t, round(x, 2), round(y, 2), h) for t, x, y, _, h in own.pages[0].items]
+    assert said[0] == ("Hello you", 20.0, 1400.0, 24.0) and said[1] == ("(a) A%no", 20.0, 1372.0, 24.0) and said[2][0] == "XY" and said[2][3] == 20.0
+    assert abs(own.pages[0].items[0][3] - 2 * (8 * 6 + 0.45 * 12)) < 1e-6
+    for content in (b"", b"%PDF-1.4 nothing", pdf_file({1: "<</Type/Catalog>>"}), pdf_file(objects, "<</Root 1 0 R/Encrypt 13 0 R>>")):
+        with pytest.raises(ValueError):
+            pdf.read(content)
+
+
+def test_pdf_import(spark):
+    head = lambda k: f"BT /F 10 Tf 1 0 0 1 50 800 Tm (HEAD) Tj 1 0 0 1 50 700 Tm (Some prose of page {k} that fills the line) Tj 1 0 0 1 50 688 Tm (very end {k}.) Tj 1 0 0 1 50 20 Tm ({k}) Tj ET"
+    objects = {1: "<</Type/Catalog/Pages 2 0 R>>", 2: "<</Kids[%s]/Resources<</Font<</F 3 0 R>>>>>>" % " ".join(f"{10 + 2 * k} 0 R" for k in range(22)), 3: "<</Type/Font/Subtype/Type1>>"}
+    for k in range(22):
+        objects |= {10 + 2 * k: f"<</Type/Page/Contents {11 + 2 * k} 0 R>>", 11 + 2 * k: f"<</Length 1>>stream\n{head(k + 1)}\nendstream"}
+    raw = importing.parsed(spark.createDataFrame([("x/my_file.pdf", pdf_file(objects))], "path string, content binary"))
+    assert [(r.id, r.title) for r in raw.sections.orderBy("section").collect()] == [("pdf-1", "Pages 1-20"), ("pdf-21", "Pages 21-22")]
+    assert [(r.section, r.kind, r.text) for r in raw.blocks.orderBy("section", "block").collect()] == [(k // 20, "paragraph", f"Some prose of page {k + 1} that fills the line very end {k + 1}.") for k in range(22)]
+    assert raw.books.first().title == "my file"
+
+
 def test_archive_paths():
     assert [epub.archive_path(p) for p in ("a/./b/../c%20d?x#y", "\\a\\b", "%2e%2e/a", "a%2Fb", "%zz", "../../x")] == ["a/c d", "a/b", "%2e%2e/a", "a%2Fb", "%zz", "x"]
     assert [epub.resolved("O/b/x.opf", r) for r in ("../c.html#a", "/r.html", "http://x/y", "d e.html")] == ["O/c.html", "r.html", "", "O/b/d e.html"]
@@ -118,7 +153,7 @@ def test_whole_import(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF")
     (tmp_path / "a.xyz").write_bytes(b"x")
     raw = importing.parsed(importing.read_files(spark, str(tmp_path)))
-    assert {(r.path.rsplit("/", 1)[-1], r.why) for r in raw.rejected.collect()} == {("a.pdf", "no reader for these bytes"), ("a.xyz", "unsupported format"), ("bad.epub", "not an EPUB archive")}
+    assert {(r.path.rsplit("/", 1)[-1], r.why) for r in raw.rejected.collect()} == {("a.pdf", "damaged PDF file"), ("a.xyz", "unsupported format"), ("bad.epub", "not an EPUB archive")}
     clean, warnings = importing.finalized(raw)
     names = {r.book: r.title for r in raw.books.collect()}
     assert sorted(names.values()) == ["Page", "T & U", "my book", "note"]
