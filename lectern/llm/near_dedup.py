@@ -11,8 +11,8 @@
    whose bound excludes all links leaves those lists, twice over, as each leaving makes more shingles single. The
    rest of each long list is compared with its class of the highest bound, the most central of the copies.
 5. The lists are joined once more, for classes of different components whose bounds allow a link, at the first of
-   the values that they share in a row, which restores every other link. Lists that are still long (form letters
-   filled from a common pool: much shared, nothing linked) aren't joined: their classes get bands of many more values
+   the values that they share in a row, which restores every other link. Lists with many such pairs for their
+   length (form letters filled from a common pool: much shared, nothing linked) aren't joined: their classes get bands of many more values
    from their full sets, so wide that unlinked ones seldom meet, and so many that a link is missed with a chance of 1e-6.
 
 Two sets of similarity 0.85 share none of 12 listed values with a chance of about 1e-10; a hot list can raise that to 1e-5.
@@ -225,12 +225,26 @@ def band_shape(n: int) -> tuple[int, int]:
     """(least values in a band, bands) for a crowd of n classes.
 
     Unlinked classes of a crowd agree in a value with a chance of about UNLIKE, so a band of so many values leaves
-    about one of them; linked ones agree with 0.85 at least, and so many bands miss them with a chance of MISSED.
+    about two of them; linked ones agree with 0.85 at least, and so many bands miss them with a chance of MISSED.
     """
-    width = max(4, int(np.ceil(np.log(max(n, 2)) / -np.log(UNLIKE))))
+    width = max(4, int(np.ceil(np.log(max(n / 2, 2)) / -np.log(UNLIKE))))
     return width, int(np.ceil(np.log(MISSED) / np.log1p(-((THRESHOLD / 100) ** width))))
 
 
+def matchable(rows: DataFrame) -> DataFrame:
+    """The entries of lists (value, n_shingles, most) whose bound allows a link with a set of some size in their list.
+
+    x and y can be linked if min(most) * 185 >= (n_x + n_y) * 85, so the bound of x limits the size of y; sizes are held
+    against the list's sizes in steps of two per cent, of which there are few.
+    """
+    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / -np.log(0.98))
+    sizes = rows.groupBy("value").agg(F.collect_set(step(F.col("n_shingles").cast("double"))).alias("_sizes"))
+    largest = F.col("most") * ((100 + THRESHOLD) / THRESHOLD) - F.col("n_shingles")
+    least = F.col("n_shingles") * (THRESHOLD / 100)
+    fits = (largest >= least) & F.exists("_sizes", lambda s: (s >= step(least)) & (s <= step(largest)))
+    return rows.join(sizes.hint("merge"), "value").filter(fits).drop("_sizes")
+
+
 def banded_lists(crowd: DataFrame, n: int, sets: DataFrame) -> DataFrame:
     """value (hash of a band), class_id, n_shingles, most, component: a row per class and band, bands of one class left out.
 
@@ -294,10 +308,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
         labels = joined(labels, verified(estimated(spokes, reps), sets))
 
     rows_left = materialize(placed(labels, bounded), "placed").drop("band")
-    sizes = rows_left.groupBy("value").count().withColumn("crowded", F.col("count") > LONG_LIST).drop("count")
-    rows_left = materialize(rows_left.join(sizes, "value"), "rest-lists")
-    # A crowded list is too long for its pairs: its classes meet again where many values at once agree.
-    crowd = materialize(rows_left.filter("crowded").groupBy("class_id", "n_shingles", "component").agg(F.max("most").alias("most")), "crowd")
+    # Only classes of different components meet. A list with too many such pairs for its length is crowded: its classes
+    # meet again where many values at once agree.
+    own = rows_left.groupBy("value", "component").count().groupBy("value").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("alike"))
+    crowded = own.select("value", (F.col("n") * F.col("n") - F.col("alike") > LONG_LIST * F.col("n")).alias("crowded"))
+    rows_left = materialize(rows_left.join(crowded.hint("merge"), "value"), "rest-lists")
+    crowd = materialize(matchable(rows_left.filter("crowded")).groupBy("class_id", "n_shingles", "component").agg(F.max("most").alias("most")), "crowd")
     rows_left = rows_left.filter("not crowded").select("value", "before", "class_id", "n_shingles", "most", "component")
     if n := crowd.count():
         rows_left = rows_left.unionByName(banded_lists(crowd, n, sets).withColumn("before", F.lit(None).cast("long")))
