@@ -34,6 +34,12 @@ def session_windows(events: DataFrame, user: str, ts: str, gap: str, late: str)
     return by.select(user, F.col("w.start").alias("started"), "events")
 
 
+def samples(events: DataFrame, user: str, ts: str, key: str, step: str, late: str) -> DataFrame:
+    """user, started, keys: activity that counts per tumbling window."""
+    by = events.withWatermark(ts, late).groupBy(user, F.window(ts, step).alias("w")).agg(F.count_if(key).alias("keys"))
+    return by.select(user, F.col("w.start").alias("started"), "keys")
+
+
 def run_to_end(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], at: str) -> None:
     """All that is there now, batch by batch; the checkpoint at `at` lets a restarted query go on."""
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(sink).start()
@@ -94,6 +100,14 @@ def stream_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder).select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "events")
 
 
+def stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys per six hours; the last batch's complete result."""
+    folder = shared(spark, "stream-samples")
+    events = event_stream(spark, f"{sf_dir}/events.parquet").withColumn("key", F.col("event_type") != "view")
+    run_to_end(samples(events, "user_id", "ts", "key", "6 hours", "1 hour"), "complete", lambda out, _: out.write.mode("overwrite").parquet(folder), f"{folder}-checkpoint")
+    return spark.read.parquet(folder).select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "keys")
+
+
 def stream_last_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event of each user, put as it comes."""
     events = event_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
@@ -115,7 +129,7 @@ def stateful_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "total", "right", "block", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
 
 
-QUERIES = {"stream_session_windows": stream_session_windows, "stream_last_progress": stream_last_progress, "stateful_typing": stateful_typing}
+QUERIES = {"stream_samples": stream_samples, "stream_session_windows": stream_session_windows, "stream_last_progress": stream_last_progress, "stateful_typing": stateful_typing}
 
 ORACLE_SQL = {
     "stream_session_windows": """
@@ -123,6 +137,10 @@ ORACLE_SQL = {
         s as (select *, sum(new) over (partition by user_id order by ts) as session from g)
         select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, count(*) as events from s group by user_id, session
     """,
+    "stream_samples": """
+        select user_id, strftime(make_timestamp(b * 21600000000), '%Y-%m-%d %H:%M:%S') as started, count(*) filter (where event_type <> 'view') as keys
+        from (select user_id, event_type, epoch_us(ts) // 21600000000 as b from events) group by user_id, b
+    """,
     "stream_last_progress": "select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type from events group by user_id",
     "stateful_typing": lessons.ORACLE_SQL["typing_replay"],
 }
