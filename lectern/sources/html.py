@@ -53,7 +53,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
-        self.feed(source)
+        last = source.rfind("<!--")
+        self.feed(source[:last] if last >= 0 and source.find("-->", last) < 0 else source)  # a comment that never ends
         self.close()
 
     def _close(self, tag: str, scopes: frozenset = SCOPES) -> bool:
