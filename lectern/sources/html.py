@@ -53,8 +53,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
-        last = source.rfind("<!--")
-        self.feed(source[:last] if last >= 0 and source.find("-->", last) < 0 else source)  # a comment that never ends
+        endless = source.find("<!--", source.rfind("-->") + 1)  # a comment that never ends
+        self.feed(source if endless < 0 else source[:endless])
         self.close()
 
     def _close(self, tag: str, scopes: frozenset = SCOPES) -> bool:
