@@ -201,3 +201,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK,
     rows = placed(known.sized, known)
     out = rows.join(taken.hint("merge"), (F.col("source_index") == F.col("_s")) & (F.col("_from") == F.col("_f")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def shares(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """doc_id, size, taken of mix(), one row per row of docs, for callers that need no words: the same slots are drawn, and
+    each document's words are counted by the blocks that it spans, so no text moves."""
+    known = plan(docs, weights, cap, block)
+    if known.sources is None:
+        return known.sized.select("doc_id", "size", F.col("size").alias("taken"))
+    drawn = slots(docs.sparkSession, known.blocks, known.quotas, seed).groupBy("source_index", "block").agg(F.count("*").alias("times"))
+    rows = placed(known.sized, known).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows.select("_row", "doc_id", "size", "source_index", "_from"), "places")
+    spans = F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block))
+    each = rows.filter("size > 0").select("_row", "source_index", "_from", "size", F.explode(spans).alias("block"))
+    words = F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("_from", F.col("block") * block)
+    taken = each.join(drawn.hint("merge"), ["source_index", "block"]).groupBy("_row").agg(F.sum(F.col("times") * words).alias("taken"))
+    return rows.join(taken.hint("merge"), "_row", "left").select("doc_id", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -207,8 +207,11 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     listed = marked.select("class_id", "n_shingles", F.array_sort(kept).alias("kept"))
     rows = listed.select("class_id", "n_shingles", "kept", F.posexplode("kept").alias("at", "value"))
     rows = rows.select("value", F.get("kept", F.col("at") - 1).alias("before"), "class_id", "n_shingles")
-    shared = rows.groupBy("value").count().filter("count > 1").select("value", (F.col("count") > LONG_LIST).alias("long"))
-    return rows.join(shared, "value")
+    # The key is an expression, so both sides are exchanged and the list of a hot value can be split.
+    # The key is an expression, so both sides are exchanged for the join and the list of a hot value can be split.
+    flipped = F.col("value").bitwiseXOR(F.lit(1).cast("long"))
+    shared = rows.groupBy("value").count().filter("count > 1").select(flipped.alias("_v"), (F.col("count") > LONG_LIST).alias("long"))
+    return rows.join(shared.hint("merge"), flipped == F.col("_v")).select("value", "before", "class_id", "n_shingles", "long")
 
 
 def bounded_lists(lists: DataFrame, sets: DataFrame) -> DataFrame:

@@ -116,6 +116,7 @@ def test_taken_words_against_the_slots(spark, documents):
         drawn[r.source_index, r.block] = drawn.get((r.source_index, r.block), 0) + 1
     want = sorted((r.doc_id, sum(drawn.get((r.source_index, w // block), 0) for w in range(r["_from"], r["_from"] + r["size"]))) for r in rows)
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(documents).collect()) == want
+    assert sorted((r.doc_id, r.taken) for r in mixing.shares(documents).collect()) == want
     for source in {r.source_index for r in rows}:
         spans = sorted((r["_from"], r["_from"] + r["size"]) for r in rows if r.source_index == source and r["size"])
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(spans))
