@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The rest is compared with a hash of doc_id, so reruns agree and a source's words stay near its target.
     """
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    taken = mixing.shares(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     share = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(F.lit(1.0))
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1_000_000)) / 1e6
     times = taken.select(F.col("doc_id").alias("_id"), (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int").alias("_times"))
