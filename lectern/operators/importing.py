@@ -155,7 +155,7 @@ def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
     """Raw books of files (path, content), each by its format; unknown formats and what can't be read are rejected."""
     name = F.substring_index("path", "/", -1)
     rows = files.select("path", "content", book_format(name, F.lit("") if mime is None else mime).alias("format"), N.file_title(name).alias("title"), content_id(F.col("content")).alias("book"))
-    tree = structured(rows.filter(F.col("format").isin("epub", "html", "markdown")))
+    tree = written(structured(rows.filter(F.col("format").isin("epub", "html", "markdown"))), "parsed-files")  # each file is parsed once
     texts = rows.filter("format = 'txt'").select("book", "path", "title", decoded("content").alias("text"))
     lines = texts.select("book", "title", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_index", "text"))
     txt = text_blocks(lines, "book").join(texts.select("book", "title").distinct(), "book")
@@ -270,15 +270,19 @@ def _packed(talks: DataFrame) -> DataFrame:
 
         own, out = rows.sort_values("turn"), io.BytesIO()
         items = [(f"t{r.turn}", f"text/turn%20{r.turn}.xhtml", f"text/turn {r.turn}.xhtml", r) for r in own.itertuples()]
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("META-INF/container.xml", "<container><rootfiles><rootfile full-path='OPS/book.opf' media-type='application/oebps-package+xml'/></rootfiles></container>")
+        with zipfile.ZipFile(out, "w") as z:
+
+            def put(name, said):
+                z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), said, zipfile.ZIP_DEFLATED)  # the same bytes each time
+
+            put("META-INF/container.xml", "<container><rootfiles><rootfile full-path='OPS/book.opf' media-type='application/oebps-package+xml'/></rootfiles></container>")
             listed = "".join(f"<item id='{i}' href='{h}' media-type='application/xhtml+xml'/>" for i, h, _, _ in items)
             spine = "".join(f"<itemref idref='{i}'/>" for i, *_ in items)
-            z.writestr("OPS/book.opf", f"<package xmlns:dc='urn:dc'><metadata><dc:title>Talk {rows['conv_id'].iloc[0]}</dc:title></metadata><manifest>{listed}<item id='ncx' href='toc.ncx' media-type='application/x-dtbncx+xml'/><item id='nav' href='nav.xhtml' media-type='application/xhtml+xml' properties='nav'/></manifest><spine toc='ncx'>{spine}</spine></package>")
-            z.writestr("OPS/toc.ncx", "<ncx><navMap>" + "".join(f"<navPoint><navLabel><text>Old {r.turn}</text></navLabel><content src='{h}#x'/></navPoint>" for _, h, _, r in items if r.turn % 3 != 2) + "</navMap></ncx>")
-            z.writestr("OPS/nav.xhtml", "<html xmlns:epub='urn:e'><body><nav epub:type='toc'>" + "".join(f"<a href='{h}'>New {r.turn}</a>" for _, h, _, r in items if r.turn % 3 == 1) + "</nav></body></html>")
+            put("OPS/book.opf", f"<package xmlns:dc='urn:dc'><metadata><dc:title>Talk {rows['conv_id'].iloc[0]}</dc:title></metadata><manifest>{listed}<item id='ncx' href='toc.ncx' media-type='application/x-dtbncx+xml'/><item id='nav' href='nav.xhtml' media-type='application/xhtml+xml' properties='nav'/></manifest><spine toc='ncx'>{spine}</spine></package>")
+            put("OPS/toc.ncx", "<ncx><navMap>" + "".join(f"<navPoint><navLabel><text>Old {r.turn}</text></navLabel><content src='{h}#x'/></navPoint>" for _, h, _, r in items if r.turn % 3 != 2) + "</navMap></ncx>")
+            put("OPS/nav.xhtml", "<html xmlns:epub='urn:e'><body><nav epub:type='toc'>" + "".join(f"<a href='{h}'>New {r.turn}</a>" for _, h, _, r in items if r.turn % 3 == 1) + "</nav></body></html>")
             for _, _, path, r in items:
-                z.writestr(f"OPS/{path}", f"<?xml version='1.0' encoding='utf-8'?><html><body><h1>{escape(r.role)}</h1><p>{escape(r.text)}</p></body></html>".encode())
+                put(f"OPS/{path}", f"<?xml version='1.0' encoding='utf-8'?><html><body><h1>{escape(r.role)}</h1><p>{escape(r.text)}</p></body></html>".encode())
         return pd.DataFrame({"path": [f"{rows['conv_id'].iloc[0]}.epub"], "content": [out.getvalue()]})
 
     return talks.groupBy("conv_id").applyInPandas(run, "path string, content binary")
