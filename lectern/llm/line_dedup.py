@@ -2,8 +2,9 @@
 
 Every three consecutive lines are hashed; a window's first occurrence over the corpus, by (doc_id, text hash,
 position), stays, and the lines that later ones cover go. Windows of blank lines don't count. Documents with under
-three lines and null texts stay as they are; rows that repeat both doc_id and text share one decision; an
-empty table gives no rows; all columns are kept.
+three lines and null texts stay as they are; rows that repeat both doc_id and text share one decision, and of windows that
+tie the least (doc_id, text hash, position) is the first; a null doc_id comes before any other; an empty table gives no rows;
+a very long text is hashed line by line; columns of any name are kept, but for n_removed, which dedup_lines() replaces.
 
 repeated_passages() finds what such windows can't: runs of over 50 words that occur earlier, wherever lines begin. Any
 51 words hold a run of 25 that is the least of its neighbours by hash, so only those are met over the corpus (winnowing),

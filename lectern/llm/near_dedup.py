@@ -17,7 +17,8 @@
 
 Two sets of similarity 0.85 share none of 12 listed values with a chance of about 1e-10; a hot list can raise that to 1e-5.
 Null text and a text without words have the empty set, linked with nothing; rows that repeat a doc_id share the
-smallest component; a null doc_id forms no smallest id; an empty table gives no rows.
+smallest component; a null doc_id forms no smallest id; of equal sets the smallest doc_id stands for the class; an empty
+table gives no rows; a very long text is one set of its own length; other columns are ignored.
 """
 
 from __future__ import annotations

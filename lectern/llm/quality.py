@@ -1,12 +1,14 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
 A text is described by its hashed words, weighed by inverse document frequency, by the counts of trigrams of character
-classes, and by a few figures of repetition, all over its whole length; a truncated singular value decomposition of the labelled rows gives latent-semantic vectors. At most
-MAX_LABELLED labelled rows (those of the smallest hash of doc_id) are kept: that bounds the broadcast. Every
-document's cosine with every labelled vector is computed exactly, in blocks, and the labels of the nearest
-neighbours vote by similarity; ties fall the same way on every run. Null text counts as empty and is scored like any
-text; no label at all gives 0.5; an empty table gives no rows; repeated rows have the same score each, and of rows that
-repeat a labelled doc_id the one with the least text hash is learnt from.
+classes, and by a few figures of repetition, all over its whole length; a truncated singular value decomposition of the
+labelled rows gives latent-semantic vectors. At most MAX_LABELLED labelled rows (those of the smallest hash of doc_id) are
+kept: that bounds the broadcast. Every document's cosine with every labelled vector is computed exactly, in blocks, and the
+labels of the nearest neighbours vote by similarity; ties fall the same way on every run.
+
+Null text counts as empty and is scored like any text; no label at all gives 0.5; an empty table gives no rows; repeated
+rows have the same score each, and of rows that repeat a labelled doc_id the one with the least text hash is learnt from; a
+very long text is worked on in blocks; columns of any name are kept, but for the three that classify() replaces.
 """
 
 from __future__ import annotations
