@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, line dedup, near dedup, mixing, packing. Each stage is written and read again.
 
-A null text is an empty document. Extra columns of documents pass through until the last stage. An empty table
-passes through every stage.
+A null text is an empty document. Extra columns of documents, whatever their names, pass through until the last stage. Rows
+that repeat a doc_id share its fate in near_dedup and mixing. An empty table passes through every stage; very long texts
+are read whole.
 """
 
 from __future__ import annotations
