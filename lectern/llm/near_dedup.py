@@ -209,10 +209,18 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     rows = listed.select("class_id", "n_shingles", "kept", F.posexplode("kept").alias("at", "value"))
     rows = rows.select("value", F.get("kept", F.col("at") - 1).alias("before"), "class_id", "n_shingles")
     # The key is an expression, so both sides are exchanged and the list of a hot value can be split.
-    # The key is an expression, so both sides are exchanged for the join and the list of a hot value can be split.
+    shared = rows.groupBy("value").count().filter("count > 1").select("value", (F.col("count") > LONG_LIST).alias("long"))
+    return with_lists(rows, shared).select("value", "before", "class_id", "n_shingles", "long")
+
+
+def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows joined with what is known of their list, one row a value.
+
+    The key is an expression, so both sides are exchanged for the join and the list of a hot value can be split.
+    """
     flipped = F.col("value").bitwiseXOR(F.lit(1).cast("long"))
-    shared = rows.groupBy("value").count().filter("count > 1").select(flipped.alias("_v"), (F.col("count") > LONG_LIST).alias("long"))
-    return rows.join(shared.hint("merge"), flipped == F.col("_v")).select("value", "before", "class_id", "n_shingles", "long")
+    known = lists.select(flipped.alias("_v"), *[c for c in lists.columns if c != "value"])
+    return rows.join(known.hint("merge"), flipped == F.col("_v")).drop("_v")
 
 
 def bounded_lists(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,7 +254,7 @@ def matchable(rows: DataFrame) -> DataFrame:
     largest = F.col("most") * ((100 + THRESHOLD) / THRESHOLD) - F.col("n_shingles")
     least = F.col("n_shingles") * (THRESHOLD / 100)
     fits = (largest >= least) & F.exists("_sizes", lambda s: (s >= step(least)) & (s <= step(largest)))
-    return rows.join(sizes.hint("merge"), "value").filter(fits).drop("_sizes")
+    return with_lists(rows, sizes).filter(fits).drop("_sizes")
 
 
 def banded_lists(crowd: DataFrame, n: int, sets: DataFrame) -> DataFrame:
@@ -273,7 +281,7 @@ def banded_lists(crowd: DataFrame, n: int, sets: DataFrame) -> DataFrame:
     rows = crowd.join(sets.hint("merge"), "class_id").mapInArrow(run, BANDED)
     rows = materialize(rows, "bands")
     shared = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
-    return rows.join(shared.hint("merge"), "value")
+    return with_lists(rows, shared)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -301,7 +309,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     def placed(labels, lists):
         rows = lists.join(labels, "class_id")
         mixed = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("value")
-        return rows.join(mixed, "value").select("value", "band", "before", "class_id", "n_shingles", "most", "component")
+        return with_lists(rows, mixed).select("value", "band", "before", "class_id", "n_shingles", "most", "component")
 
     crowds = materialize(placed(labels, bounded.filter("long")), "crowds")
     if not crowds.isEmpty():
@@ -316,7 +324,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # meet again where many values at once agree.
     own = rows_left.groupBy("value", "component").count().groupBy("value").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("alike"))
     crowded = own.select("value", (F.col("n") * F.col("n") - F.col("alike") > LONG_LIST * F.col("n")).alias("crowded"))
-    rows_left = materialize(rows_left.join(crowded.hint("merge"), "value"), "rest-lists")
+    rows_left = materialize(with_lists(rows_left, crowded), "rest-lists")
     crowd = materialize(matchable(rows_left.filter("crowded")).groupBy("class_id", "n_shingles", "component").agg(F.max("most").alias("most")), "crowd")
     rows_left = rows_left.filter("not crowded").select("value", "before", "class_id", "n_shingles", "most", "component")
     if n := crowd.count():
