@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import names as N
+from lectern.plans.stages import folded
 
 # Fixed values.
 EDGE, EDGE_LENGTH, LEAST_PAGES, SHARE_OF_PAGES = 2, 120, 3, 0.6
@@ -18,25 +19,24 @@ LINE = "text string, x double, y double, width double, font double"
 def page_lines(items: DataFrame, *keys: str) -> DataFrame:
     """keys, line (from 0), text, x, y, width, font of items (keys, place, text, x, y, width, height); a page is a task's unit."""
 
-    def run(rows):
-        own = [G.Item(r.text, r.x, r.y, None if pd.isna(r.width) else r.width, r.height, r.place) for r in rows.itertuples()]
-        out = pd.DataFrame(G.lines_of(own), columns=["text", "x", "y", "width", "font"])
-        return pd.concat([pd.DataFrame({k: [rows[k].iloc[0]] * len(out) for k in keys}), pd.DataFrame({"line": range(len(out))}), out], axis=1)
+    def fold(rows):
+        own = [G.Item(text, x, y, None if pd.isna(width) else width, height, place) for text, x, y, width, height, place in rows]
+        return [(k, *line) for k, line in enumerate(G.lines_of(own))]
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "line int", LINE])
-    return items.groupBy(*keys).applyInPandas(run, schema)
+    return folded(items.select(*keys, "text", "x", "y", "width", "height", "place"), list(keys), ["place"], fold, schema)
 
 
 def page_blocks(lines: DataFrame, *keys: str) -> DataFrame:
     """keys, block (from 0), kind, text of lines (keys, text, x, y, width, font)."""
 
-    def run(rows):
-        out = pd.DataFrame(G.blocks_of([G.Line(r.text, r.x, r.y, r.width, r.font) for r in rows.itertuples()]), columns=["kind", "text"])
-        return pd.concat([pd.DataFrame({k: [rows[k].iloc[0]] * len(out) for k in keys}), pd.DataFrame({"block": range(len(out))}), out], axis=1)
+    def fold(rows):
+        return [(k, *block) for k, block in enumerate(G.blocks_of([G.Line(*r) for r in rows]))]
 
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    return lines.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "block int, kind string, text string"]))
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "block int, kind string, text string"])
+    return folded(lines.select(*keys, "text", "x", "y", "width", "font"), list(keys), ["y", "x"], fold, schema)
 
 
 def at_edges(lines: DataFrame, book: str, page: str, line: str) -> DataFrame:

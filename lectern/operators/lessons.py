@@ -15,28 +15,27 @@ from pyspark.sql import functions as F
 
 from lectern.functions import planner as P
 from lectern.functions import typing as T
+from lectern.plans.stages import folded
 
 ANCHORS = "lesson int, start_section long, start_block long, start_char long, end_section long, end_block long, end_char long, target int, version int"
 COUNTS = ("total", "right", "block", "char", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
 
 
-def book_of(rows: pd.DataFrame) -> P.Book:
-    """Of rows section, block, included, kind, text: sections and blocks by their places, none left out."""
+def book_of(rows) -> P.Book:
+    """Of rows (section, block, included, kind, text): sections and blocks by their places, none left out."""
+    if isinstance(rows, pd.DataFrame):
+        rows = rows[["section", "block", "included", "kind", "text"]].itertuples(index=False, name=None)
+    by: dict[int, dict] = {}
+    for section, block, *own in rows:
+        by.setdefault(int(section), {})[int(block)] = own
     sections = []
-    for place in range(int(rows["section"].max()) + 1):
-        own = rows[rows["section"] == place].sort_values("block")
-        blocks = [("paragraph", "")] * (int(own["block"].max()) + 1 if len(own) else 0)
-        for r in own.itertuples():
-            blocks[int(r.block)] = (r.kind, r.text or "")
-        sections.append(P.Section(bool(len(own)) and bool(own["included"].iloc[0]), blocks))
+    for place in range(max(by) + 1):
+        own = by.get(place, {})
+        blocks = [(own[k][1], own[k][2] or "") if k in own else ("paragraph", "") for k in range(max(own, default=-1) + 1)]
+        sections.append(P.Section(bool(own) and bool(own[min(own)][0]), blocks))
     return P.Book(sections)
 
 
-def anchor_rows(anchors: list[P.Anchor], **keys) -> pd.DataFrame:
-    rows = [(*keys.values(), i, *a.start, *a.end, a.target, a.version) for i, a in enumerate(anchors)]
-    return pd.DataFrame(rows, columns=[*keys, *(c.split()[0] for c in ANCHORS.split(", "))])
-
-
 def last_place(book: P.Book) -> tuple[int, int, int]:
     return (*book.open[-1], len(book.text(book.open[-1]))) if book.open else (0, 0, 0)
 
@@ -45,12 +44,13 @@ def lessons(blocks: DataFrame, book: str, target: int, frontier: Callable[[P.Boo
     """book, ANCHORS: the chain of lessons of each book; with a frontier (a place of a book), the newest that lead to it."""
     kind = blocks.schema[book].dataType.simpleString()
 
-    def plan(rows):
+    def fold(rows):
         own = book_of(rows)
         found = own.chain((0, 0, 0), target) if frontier is None else own.recent(frontier(own), target)
-        return anchor_rows(found, **{book: rows[book].iloc[0]})
+        return [(i, *a.start, *a.end, a.target, a.version) for i, a in enumerate(found)]
 
-    return blocks.select(book, "section", "block", "included", "kind", "text").groupBy(book).applyInPandas(plan, f"{book} {kind}, {ANCHORS}")
+    rows = blocks.select(book, "section", "block", "included", "kind", "text")
+    return folded(rows, [book], ["section", "block"], fold, f"{book} {kind}, {ANCHORS}")
 
 
 def canonical_positions(blocks: DataFrame, places: DataFrame, book: str) -> DataFrame:

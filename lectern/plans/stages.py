@@ -23,3 +23,30 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     at = shared(rows.sparkSession, name)
     rows.write.parquet(at)
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
+    """fold(list of rows) for the rows of each key in order, streamed through sorted partitions: no frame per group.
+
+    Rows come without their keys as tuples of the other columns in order; what fold returns gets its keys in front.
+    """
+    rest, names = [c for c in rows.columns if c not in keys], [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        key, held, k = None, [], len(keys)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False, name=None):
+                if held and r[:k] != key:
+                    out += [(*key, *x) for x in fold(held)]
+                    held = []
+                key = r[:k]
+                held.append(r[k:])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([(*key, *x) for x in fold(held)], columns=names)
+
+    return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
