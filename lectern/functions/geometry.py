@@ -73,16 +73,22 @@ def lines_of(items: list[Item]) -> list[Line]:
     if not items:
         return []
     slack = max(LEAST_SLACK, middle(i.font for i in items) * ROW_SLACK)
-    rows: list[list] = []  # [mean y, items]
+    rows: list[list] = []  # [mean y, items, sum of y], from top to bottom
     for item in sorted(items, key=lambda i: (-i.y, i.x, i.place)):
-        row = next((r for r in rows if abs(r[0] - item.y) <= slack), None)
+        # Items come from the top, so only the last rows can be near; of those within the slack the first counts.
+        row, k = None, len(rows) - 1
+        while k >= 0 and rows[k][0] - item.y <= 3 * slack:
+            if abs(rows[k][0] - item.y) <= slack:
+                row = rows[k]
+            k -= 1
         if row is None:
-            rows.append([item.y, [item]])
+            rows.append([item.y, [item], item.y])
         else:
             row[1].append(item)
-            row[0] = sum(i.y for i in row[1]) / len(row[1])
+            row[2] += item.y
+            row[0] = row[2] / len(row[1])
     lines, parted = [], False
-    for y, own in rows:
+    for y, own, _ in rows:
         groups = columns(own)
         parted |= len(groups) > 1
         for g in groups:

@@ -100,8 +100,8 @@ def repeated_edge_keys(spark, sf_dir):
 
 def lines_of_items(spark, sf_dir):
     """Each word a piece at its own place, rows wavering by less than the slack; the lines come out again."""
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "said")).select("doc_id", "i", F.posexplode(F.split("said", " ")).alias("k", "text"), "said")
-    before = F.length(F.array_join(F.slice(F.split("said", " "), F.lit(1), F.col("k")), " ")) + F.when(F.col("k") > 0, 1).otherwise(0)
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "said")).select("doc_id", "i", F.posexplode(F.split("said", " ")).alias("k", "text"))
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     items = words.select("doc_id", "text", (before * 7.0).alias("x"), (F.lit(1e6) - F.col("i") * 20 + F.col("k") % 2).alias("y"), (F.length("text") * 7.0).alias("width"), F.lit(10.0).alias("height"), (F.col("i") * 100_000 + F.col("k")).cast("long").alias("place"))
     return page_lines(items, "doc_id").select("doc_id", F.col("line").cast("long").alias("line"), "text", "x", "width")
 

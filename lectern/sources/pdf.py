@@ -17,6 +17,7 @@ SPACE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
 ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 GLYPHS = {"space": " ", "quoteright": "’", "quoteleft": "‘", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "hyphen": "-", "period": ".", "comma": ",", "fi": "ﬁ", "fl": "ﬂ", "ellipsis": "…", "bullet": "•", "colon": ":", "semicolon": ";", "exclam": "!", "question": "?", "parenleft": "(", "parenright": ")", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 DEFAULT_WIDTH, DEEPEST = 500, 64
+SPECIAL = re.compile(rb"[()\\]")
 
 
 class Ref(NamedTuple):
@@ -63,8 +64,13 @@ class Reader:
         d, out, depth = self.data, bytearray(), 1
         self.at += 1
         while self.at < len(d) and depth:
-            c = d[self.at]
-            self.at += 1
+            m = SPECIAL.search(d, self.at)
+            if not m:
+                out += d[self.at :]
+                self.at = len(d)
+                break
+            out += d[self.at : m.start()]
+            c, self.at = d[m.start()], m.end()
             if c == 92 and self.at < len(d):
                 c = d[self.at]
                 self.at += 1
@@ -224,7 +230,7 @@ class Font:
         self.map = mapped(file.stream(own.get("ToUnicode")))
         widths, first = file.get(own.get("Widths")) or [], file.get(own.get("FirstChar")) or 0
         self.widths = {first + k: w for k, v in enumerate(widths) if isinstance(w := file.get(v), (int, float))}
-        self.names, encoding = {}, file.get(own.get("Encoding"))
+        self.names, self.table, encoding = {}, None, file.get(own.get("Encoding"))
         at = 0
         for x in (file.get(encoding.get("Differences")) or []) if isinstance(encoding, dict) else []:
             if isinstance(x, int):
@@ -235,16 +241,20 @@ class Font:
 
     def said(self, raw: bytes) -> list[tuple[str, float, bool]]:
         """(text, width in thousandths, is it a single-byte space) of each code."""
-        step = 2 if self.wide else 1
+        if not self.wide:
+            self.table = self.table or [self._one(c) for c in range(256)]
+            return [self.table[c] for c in raw]
+        step = 2
         out = []
         for k in range(0, len(raw), step):
             code = int.from_bytes(raw[k : k + step], "big")
-            char = self.map.get(code)
-            if char is None:
-                char = "" if self.wide else self.names.get(code) or bytes([code]).decode("cp1252", "replace")
-            out.append((char, self.widths.get(code, DEFAULT_WIDTH), step == 1 and code == 32))
+            out.append((self.map.get(code, ""), self.widths.get(code, DEFAULT_WIDTH), False))
         return out
 
+    def _one(self, code: int) -> tuple[str, float, bool]:
+        char = self.map.get(code) or self.names.get(code) or bytes([code]).decode("cp1252", "replace")
+        return char, self.widths.get(code, DEFAULT_WIDTH), code == 32
+
 
 def mapped(cmap: bytes) -> dict[int, str]:
     """Codes of a ToUnicode map."""
