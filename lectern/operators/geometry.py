@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +17,15 @@ OUTLINE, RANGE = 80, 20
 LINE = "text string, x double, y double, width double, font double"
 
 
+def _number(value) -> float:
+    return math.nan if value is None else value
+
+
 def page_lines(items: DataFrame, *keys: str) -> DataFrame:
     """keys, line (from 0), text, x, y, width, font of items (keys, place, text, x, y, width, height); a page is a task's unit."""
 
     def fold(rows):
-        own = [G.Item(text, x, y, None if pd.isna(width) else width, height, place) for text, x, y, width, height, place in rows]
+        own = [G.Item(text, _number(x), _number(y), width, _number(height), place) for text, x, y, width, height, place in rows]
         return [(k, *line) for k, line in enumerate(G.lines_of(own))]
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
@@ -32,7 +37,7 @@ def page_blocks(lines: DataFrame, *keys: str) -> DataFrame:
     """keys, block (from 0), kind, text of lines (keys, text, x, y, width, font)."""
 
     def fold(rows):
-        return [(k, *block) for k, block in enumerate(G.blocks_of([G.Line(*r) for r in rows]))]
+        return [(k, *block) for k, block in enumerate(G.blocks_of([G.Line(text, *map(_number, own)) for text, *own in rows]))]
 
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "block int, kind string, text string"])

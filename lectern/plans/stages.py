@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -29,24 +32,28 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str
     """fold(list of rows) for the rows of each key in order, streamed through sorted partitions: no frame per group.
 
     Rows come without their keys as tuples of the other columns in order; what fold returns gets its keys in front.
+    Rows of a null key are one group. Keys and values are Python's own, so long keys stay exact.
     """
-    rest, names = [c for c in rows.columns if c not in keys], [c.split()[0] for c in schema.split(", ")]
+    rest, k = [c for c in rows.columns if c not in keys], len(keys)
+    shape = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        import pandas as pd
+        key, held = None, []
+
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape, strict=True)], schema=shape)
 
-        key, held, k = None, [], len(keys)
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False, name=None):
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and r[:k] != key:
                     out += [(*key, *x) for x in fold(held)]
                     held = []
                 key = r[:k]
                 held.append(r[k:])
             if out:
-                yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame([(*key, *x) for x in fold(held)], columns=names)
+                yield packed(out)
+        if held and (out := [(*key, *x) for x in fold(held)]):
+            yield packed(out)
 
-    return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
