@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import table
-from . import exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets
+from . import alignment, exact_dedup, fingerprints, html_text, licenses, line_dedup, mixing, near_dedup, packing, quality, rules, secrets, whitening
 
 
 def op1_packing(spark, sf_dir):
@@ -57,7 +57,22 @@ def op10_quality(spark, sf_dir):
     return rows.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_html_text": op4_html_text, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_license_scan": op8_license_scan, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup}
+def op11_quality_rules(spark, sf_dir):
+    """A stratum is a language."""
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang")).drop("failed_rules")
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_html_text": op4_html_text, "op9_fingerprints": op9_fingerprints, "op10_quality": op10_quality, "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op7_line_dedup": op7_line_dedup, "op8_license_scan": op8_license_scan, "op3_mixing": op3_mixing, "op5_exact_dedup": op5_exact_dedup, "op11_quality_rules": op11_quality_rules, "op12_whitening": op12_whitening, "op13_alignment": op13_alignment}
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
