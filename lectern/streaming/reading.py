@@ -11,14 +11,17 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.functions import typing as T
 from lectern.operators import lessons
 from lectern.plans.stages import shared
+from lectern.sources.store import Store
 
+COMPACT = 8  # deltas of a table until they are merged
 TOTALS = "total long, right long, block long, char long, correct long, incorrect long, corrected long, pending long, extras long"
 
 
@@ -46,26 +49,128 @@ def run_to_end(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], No
     query.awaitTermination()
 
 
-def latest(stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:
-    """The last row of each key over all batches: a single writer keeps versions, the newest complete one is read."""
-    spark = stream.sparkSession
-    kept: list[str] = []
+def saved(stream: DataFrame, store: Store, table: str, by: str, at: str, mode: str = "append") -> None:
+    """Every batch is put into a table of the store, the largest `by` of a key staying; the checkpoint at `at` names the stream.
+
+    The batch's number is committed with its rows: a restart goes on where the last commit stood, and a batch that runs
+    again puts nothing. A batch writes rows in proportion to itself; after COMPACT deltas they are merged.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        store.commit({table: rows}, by={table: by}, batch=(at, batch))
+        if len(store.pointer()["tables"].get(table, {}).get("commits", ())) >= COMPACT:
+            store.compact(table)
+
+    run_to_end(stream, mode, put, at)
+
+
+def saved_checkpoints(stream: DataFrame, store: Store, at: str) -> None:
+    """Rows of progress with a column `navigation` (a struct, or null), put into both tables at once: the last by `at` of each
+    book and batch. A book whose last row has no navigation loses what it had."""
+    names = [c for c in stream.columns if c != "navigation"]
 
     def put(rows: DataFrame, batch: int) -> None:
-        whole = rows if not kept else rows.unionByName(spark.read.parquet(kept[-1]))
-        rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-        whole.withColumn("_r", rank).filter("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{folder}/{batch}")
-        kept.append(f"{folder}/{batch}")
+        order = F.struct("at", *[c for c in names if c != "at"])
+        last = rows.groupBy("book_id").agg(F.max_by(F.struct(*names, "navigation"), order).alias("r")).select("r.*").persist()
+        store.checkpoint(last.select(*names), last.filter("navigation is not null").select("book_id", "at", "navigation.*"), batch=(at, batch))
+        last.unpersist()
+
+    run_to_end(stream, "append", put, at)
 
-    run_to_end(stream, "update" if stream.isStreaming else "append", put, f"{folder}-checkpoint")
-    return spark.read.parquet(kept[-1]) if kept else spark.createDataFrame([], stream.schema)
+
+def latest(stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:
+    """The row of the largest `order` of each key over all batches, also over those before a restart."""
+    store = Store(stream.sparkSession, folder, {"latest": key})
+    store.migrate({"latest": stream.schema}, {"latest": order})
+    saved(stream, store, "latest", order, f"{folder}-checkpoint", "update")
+    return store.read("latest")
+
+
+class Quiet(StatefulProcessor):
+    """Stretches of activity of a key that end when nothing came for `gap` microseconds of event time.
+
+    The state is the open stretches by start; a timer at a stretch's end closes it once the watermark is there. Rows that
+    come out of order open, lengthen or join stretches, whichever batch brings them.
+    """
+
+    def __init__(self, gap: int, key: str):
+        self.gap, self.key = gap, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "last long, n long, value long")
+
+    def _timer(self, last: int) -> int:
+        return -(-(last + self.gap) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = [(k[0], *v) for k, v in self.open.iterator()] if self.open.exists() else []
+        before = {f[0]: f for f in found}
+        for part in rows:
+            found += [(t, t, 1, v) for t, v in zip(part["us"].tolist(), part["value"].tolist(), strict=True)]
+        whole: list[tuple] = []
+        for start, last, n, value in sorted(found):
+            if whole and start - whole[-1][1] < self.gap:
+                s, l, m, v = whole[-1]
+                whole[-1] = (s, max(l, last), m + n, value if last > l else max(v, value) if last == l else v)
+            else:
+                whole.append((start, last, n, value))
+        kept = {w[0]: w for w in whole}
+        for start, old in before.items():
+            if kept.get(start) != old:
+                self.open.removeKey((start,))
+                self.handle.deleteTimer(self._timer(old[1]))
+        for start, own in kept.items():
+            if before.get(start) != own:
+                self.open.updateValue((start,), own[1:])
+        for own in kept.values():
+            self.handle.registerTimer(self._timer(own[1]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        for k, v in list(self.open.iterator()):
+            start, (last, n, value) = k[0], v
+            if self._timer(last) <= now:
+                out.append((key[0], start, last + self.gap, last + self.gap - start, n, value))
+                self.open.removeKey((start,))
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "started", "paused", "active_us", "events", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def quiet(events: DataFrame, key: str, ts: str, value: str, gap_us: int, late: str) -> DataFrame:
+    """key, started, paused, active_us, events, value: idle pause and debounce in one. A stretch of activity ends `gap_us`
+    after its last event (the clock pauses there), and what then is saved is the value of that event (the largest of ties).
+
+    Appended once the watermark, `late` behind the newest event, reaches the pause. Times are microseconds. The state needs
+    the RocksDB provider (see with_rocksdb).
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withWatermark(ts, late).select(key, ts, F.unix_micros(ts).alias("us"), F.col(value).cast("long").alias("value"))
+    schema = f"{key} {kind}, started long, paused long, active_us long, events long, value long"
+    return rows.groupBy(key).transformWithStateInPandas(Quiet(gap_us, key), schema, "append", "eventTime")
+
+
+def with_rocksdb(spark: SparkSession, run: Callable[[], None]) -> None:
+    """Runs with the state provider that timers need; a query keeps the provider it was started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run()
+    finally:
+        spark.conf.set(name, before)
 
 
 def typing_totals(keys: DataFrame, session: str, stop: str = T.OFF, ttl_ms: int | None = None) -> DataFrame:
     """session, seq (the last key's), TOTALS of a stream of keys (session, seq, key, texts: the session's blocks).
 
     The state is a session's blocks, states and counters; a session without keys for `ttl_ms` is forgotten. With a limit
-    the stream makes batches as long as it runs, so it needs a trigger that repeats.
+    the stream makes batches as long as it runs, so it needs a trigger that repeats. Keys count in the order of their batches: one
+    whose number is under the last one of an earlier batch comes too late and is left out.
     """
     kind = keys.schema[session].dataType.simpleString()
 
@@ -114,6 +219,31 @@ def stream_last_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(events, "user_id", "event_id", shared(spark, "stream-last"))
 
 
+GAP_US, LATE_DAYS = 6 * 3600 * 1_000_000, 8
+
+
+def stream_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active stretches of each user by idle pauses of six hours, with the event saved at each; events come by eighths of time."""
+    folder = shared(spark, "pauses")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    eighth = F.least(F.lit(7), F.floor(8 * (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)))))
+    for k in range(8):
+        events.filter(eighth == k).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = quiet(stream, "user_id", "ts", "event_id", GAP_US, f"{LATE_DAYS} days")
+    with_rocksdb(spark, lambda: run_to_end(rows, "append", lambda out, batch: out.write.mode("overwrite").parquet(f"{folder}-out/batch={batch}"), f"{folder}-checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{folder}-out").select(*rows.columns)
+
+
+def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as checkpoints of a book: progress, with the lesson's place unless the event is an error."""
+    store = Store(spark, shared(spark, "saves"))
+    events = event_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("at"), (F.col("event_id") % 1000).alias("chars"), F.when(F.col("event_type") != "error", F.struct((F.col("event_id") % 97).alias("place"))).alias("navigation"))
+    saved_checkpoints(events, store, f"{store.root}-checkpoint")
+    return store.read("progress").join(store.read("navigation").select("book_id", "place"), "book_id", "left").select("book_id", "at", "chars", "place")
+
+
 def stateful_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of the typing replay in two files, the second one after the first: counters go on from the state."""
     folder = shared(spark, "keys")
@@ -129,7 +259,7 @@ def stateful_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "total", "right", "block", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
 
 
-QUERIES = {"stream_samples": stream_samples, "stream_session_windows": stream_session_windows, "stream_last_progress": stream_last_progress, "stateful_typing": stateful_typing}
+QUERIES = {"stream_samples": stream_samples, "stream_session_windows": stream_session_windows, "stream_last_progress": stream_last_progress, "stream_pauses": stream_pauses, "stream_checkpoints": stream_checkpoints, "stateful_typing": stateful_typing}
 
 ORACLE_SQL = {
     "stream_session_windows": """
@@ -142,5 +272,16 @@ ORACLE_SQL = {
         from (select user_id, event_type, epoch_us(ts) // 21600000000 as b from events) group by user_id, b
     """,
     "stream_last_progress": "select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type from events group by user_id",
+    "stream_checkpoints": """
+        select user_id as book_id, max(event_id) as at, max(event_id) % 1000 as chars, case when max_by(event_type, event_id) <> 'error' then max(event_id) % 97 end as place from events group by user_id
+    """,
+    "stream_pauses": f"""
+        with e as (select user_id, event_id, epoch_us(ts) as us from events),
+        g as (select *, case when us - lag(us) over (partition by user_id order by us) < {GAP_US} then 0 else 1 end as new from e),
+        s as (select *, sum(new) over (partition by user_id order by us) as stretch from g),
+        p as (select user_id, min(us) as started, max(us) + {GAP_US} as paused, count(*) as events, max_by(event_id, (us, event_id)) as value from s group by user_id, stretch)
+        select user_id, started, paused, paused - started as active_us, events, value from p
+        where paused <= (select max(us) from e) - {LATE_DAYS * 86_400_000_000}
+    """,
     "stateful_typing": lessons.ORACLE_SQL["typing_replay"],
 }
