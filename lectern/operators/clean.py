@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.bloom import Bloom
 from lectern.functions.names import ANY_SPACE, SPACE_CLASS
 from lectern.operators.scalar import heading_key
 from lectern.operators.text import is_noise, is_page_number, vocabulary
+from lectern.plans.stages import written
 
 # Fixed values.
 BREAK = "([A-Za-z]{2,})- ([a-z]{2,})"
@@ -25,6 +27,14 @@ FOOTNOTE_MARKS = "[†‡§¶]"
 SENTENCE_END = "(?<!(?<![A-Za-z])(?i:" + "|".join(ABBREVIATIONS) + "|[a-z]) {0,3})([.!?][\"'”’)\\]]*)\\s+(?=[\"'“‘(\\[]*[A-Z0-9])"
 
 
+def held_words(candidates: DataFrame, words: DataFrame, book: str) -> DataFrame:
+    """The (book, word) of candidates that the vocabulary holds. Its words pass a Bloom filter of the candidates before they meet
+    anything: the filter is on its keys, so it goes below the vocabulary's own aggregation and what isn't asked for isn't shuffled."""
+    asked = written(candidates.select(book, "word").distinct(), "asked")
+    own = words.filter(Bloom.of(asked).may_hold(book, "word")).select(F.col(book).alias("_b"), F.col("word").alias("_w")).distinct()
+    return asked.join(own, F.col(book).eqNullSafe(F.col("_b")) & (F.col("word") == F.col("_w")), "left_semi")
+
+
 def dehyphenated(blocks: DataFrame, words: DataFrame, book: str, key: str) -> DataFrame:
     """Blocks without hyphens of broken words; `words` is book, word of the vocabulary, `key` names a block.
 
@@ -33,7 +43,9 @@ def dehyphenated(blocks: DataFrame, words: DataFrame, book: str, key: str) -> Da
     broken = blocks.filter(F.col("text").rlike(BREAK))
     parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(BREAK), 1).alias("a"), F.regexp_extract_all("text", F.lit(BREAK), 2).alias("b"))
     each = broken.select(book, key, F.posexplode(parts).alias("at", "p")).select(book, key, "at", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    known = each.withColumn("word", F.lower(F.concat("a", "b"))).join(words.select(book, "word").distinct().withColumn("held", F.lit(True)), [book, "word"], "left")
+    each = each.withColumn("word", F.lower(F.concat("a", "b")))
+    held = held_words(each.filter(~F.col("b").isin(*SUSPENDED)), words, book).select(F.col(book).alias("_b"), F.col("word").alias("_w"), F.lit(True).alias("held"))
+    known = each.join(held, F.col(book).eqNullSafe(F.col("_b")) & (F.col("word") == F.col("_w")), "left")
     put = F.when(F.col("b").isin(*SUSPENDED), F.concat("a", F.lit("- "), "b")).when(F.col("held"), F.concat("a", "b")).otherwise(F.concat("a", F.lit("-"), "b"))
     put = known.select(key, F.struct("at", put.alias("put")).alias("s")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("_puts"))  # at most a block's breaks
     gaps = F.split("text", BREAK, -1)
@@ -44,34 +56,49 @@ def dehyphenated(blocks: DataFrame, words: DataFrame, book: str, key: str) -> Da
 def joined_blocks(blocks: DataFrame, words: DataFrame, book: str, section: str, order: str) -> DataFrame:
     """Blocks (book, section, order, kind, text) with a word broken over two of them made whole, in chains.
 
-    The earlier block's text is what came of it, so a block of one unbroken token lengthens the word: an ordered fold.
-    Only sections with a candidate go to it, each with its own words.
+    Blocks that could join the one before them form islands; only islands of several go on. A block of one unbroken token lengthens the
+    word, so its follower may meet the word begun at any earlier token: all these words are looked up at once (at most as many of
+    a block as the longest word of the vocabulary has pairs of letters), and a fold over an island's blocks then takes those that count.
     """
-    schema = blocks.select(book, section, order, "kind", "text").schema
     by = Window.partitionBy(book, section).orderBy(order)
-    tail, head = F.regexp_extract(F.lag("text").over(by), "([A-Za-z]{2,})-$", 1), F.regexp_extract("text", "^([a-z]{2,})", 1)
-    marked = blocks.select(book, section, order, "kind", "text", ((F.coalesce(tail, F.lit("")) != "") & (head != "")).alias("_may"))
-    held = marked.filter("_may").select(book, section).distinct()
-    plain = blocks.select(book, section, order, "kind", "text").join(held, [book, section], "left_anti")
-    todo = blocks.select(book, section, order, "kind", "text").join(held, [book, section])
-    known = held.join(words.select(book, "word").distinct(), book).select(F.col(book).alias("_b"), F.col(section).alias("_s"), "word")
-
-    def fold(rows, own):
-        import re
-
-        have, out = set(own["word"]), []
-        for row in rows.sort_values(order).itertuples(index=False):
-            row = dict(zip(rows.columns, row, strict=True))
-            before = re.search(r"([A-Za-z]{2,})-$", out[-1]["text"]) if out else None
-            after = re.match(r"[a-z]{2,}", row["text"])
-            if before and after and out[-1]["kind"] == row["kind"] and (before[1] + after[0]).lower() in have:
-                out[-1]["text"] = out[-1]["text"][:-1] + row["text"]
-            else:
-                out.append(row)
-        return rows.iloc[:0] if not out else type(rows)(out)[list(rows.columns)]
-
-    folded = todo.groupBy(book, section).cogroup(known.groupBy("_b", "_s")).applyInPandas(fold, schema)
-    return plain.unionByName(folded)
+    prev, text = F.lag("text").over(by), F.col("text")
+    may = F.coalesce((F.lag("kind").over(by) == F.col("kind")) & prev.rlike("[A-Za-z]{2,}-$") & text.rlike("^[a-z]{2,}"), F.lit(False))
+    marked = blocks.select(book, section, order, "kind", "text", may.alias("_may"))
+    marked = marked.withColumn("_next", F.coalesce(F.lead("_may").over(by), F.lit(False)))
+    marked = written(marked.withColumn("_island", F.sum((~F.col("_may")).cast("long")).over(by)), "islands")
+    plain = marked.filter("not _may and not _next").select(book, section, order, "kind", "text")
+    block = F.struct(F.col(order).alias("order"), "kind", "text")
+    own = marked.filter("_may or _next").groupBy(book, section, "_island").agg(F.array_sort(F.collect_list(block)).alias("bs"))
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+    # Of each block: the letters at its end, the ones at its start, and the first block whose word it can go on.
+    letters = F.transform("bs", lambda b: F.regexp_extract(b["text"], "([A-Za-z]{2,})-$", 1))
+    heads = F.transform("bs", lambda b: F.regexp_extract(b["text"], "^([a-z]{2,})", 1))
+    whole = F.transform("bs", lambda b: b["text"].rlike("^[A-Za-z]+-$"))
+    own = own.select("*", letters.alias("tails"), heads.alias("heads"), whole.alias("whole"))
+    since = F.aggregate(F.sequence(F.lit(0), F.size("bs") - 1), F.array().cast("array<int>"), lambda acc, k: F.concat(acc, F.array(F.when((k < 2) | ~F.get("whole", k - 1), F.greatest(k - 1, F.lit(0))).otherwise(F.get(acc, k - 1)))))
+    own = own.withColumn("since", since)
+    lowest = lambda k: F.greatest(F.get("since", k), k - F.lit(longest // 2 + 1))
+    word = lambda a, k: F.lower(F.concat(F.array_join(F.slice("tails", a + 1, k - a), ""), F.get("heads", k)))
+    asked = F.flatten(F.transform(F.sequence(F.lit(1), F.size("bs") - 1), lambda k: F.transform(F.sequence(lowest(k), k - 1), lambda a: F.struct(a.alias("a"), k.alias("k"), word(a, k).alias("word")))))
+    asked = own.select(book, section, "_island", F.explode(asked).alias("q")).select(book, section, "_island", "q.a", "q.k", "q.word")
+    held = held_words(asked, words, book).select(F.col(book).alias("_b"), F.col("word").alias("_w"))
+    met = asked.join(held, F.col(book).eqNullSafe(F.col("_b")) & (F.col("word") == F.col("_w")))
+    met = met.groupBy(F.col(book).alias("_b"), F.col(section).alias("_s"), F.col("_island").alias("_i")).agg(F.collect_list(F.struct("a", "k")).alias("met"))
+    both = own.join(met, F.col(book).eqNullSafe(F.col("_b")) & F.col(section).eqNullSafe(F.col("_s")) & (F.col("_island") == F.col("_i")), "left")
+    begun = F.struct(F.array(F.get("bs", 0)).alias("out"), F.lit(0).alias("a"))
+
+    def step(acc, k):
+        here = F.get("bs", k)
+        anchor = F.when(F.get("whole", k - 1), acc["a"]).otherwise(k - 1)
+        joins = F.coalesce(F.array_contains("met", F.struct(anchor.alias("a"), k.alias("k"))), F.lit(False))
+        last = F.element_at(acc["out"], -1)
+        longer = F.struct(last["order"].alias("order"), last["kind"].alias("kind"), F.concat(F.substring(last["text"], F.lit(1), F.length(last["text"]) - 1), here["text"]).alias("text"))
+        out = F.when(joins, F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(longer))).otherwise(F.concat(acc["out"], F.array(here)))
+        return F.struct(out.alias("out"), F.when(joins, anchor).otherwise(k).alias("a"))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.size("bs") - 1), begun, step, lambda acc: acc["out"])
+    joined = both.select(book, section, F.inline(done)).select(book, section, F.col("order").alias(order), "kind", "text")
+    return plain.unionByName(joined)
 
 
 def page_structured(blocks: DataFrame, book: str) -> DataFrame:
