@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import planner as P
 from lectern.functions import typing as T
-from lectern.plans.stages import folded
+from lectern.plans.stages import folded, written
 
 ANCHORS = "lesson int, start_section long, start_block long, start_char long, end_section long, end_block long, end_char long, target int, version int"
 COUNTS = ("total", "right", "block", "char", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
@@ -40,17 +40,78 @@ def last_place(book: P.Book) -> tuple[int, int, int]:
     return (*book.open[-1], len(book.text(book.open[-1]))) if book.open else (0, 0, 0)
 
 
-def lessons(blocks: DataFrame, book: str, target: int, frontier: Callable[[P.Book], tuple] | None = None) -> DataFrame:
-    """book, ANCHORS: the chain of lessons of each book; with a frontier (a place of a book), the newest that lead to it."""
-    kind = blocks.schema[book].dataType.simpleString()
-
-    def fold(rows):
-        own = book_of(rows)
-        found = own.chain((0, 0, 0), target) if frontier is None else own.recent(frontier(own), target)
-        return [(i, *a.start, *a.end, a.target, a.version) for i, a in enumerate(found)]
+def lessons(blocks: DataFrame, book: str, target: int) -> DataFrame:
+    """book, ANCHORS: the chain of lessons of each book (book, section, block, included, kind, text; the rows of a section agree on
+    included; a null book is one of its own).
 
-    rows = blocks.select(book, "section", "block", "included", "kind", "text")
-    return folded(rows, [book], ["section", "block"], fold, f"{book} {kind}, {ANCHORS}")
+    Blocks are dealt by ranges of their order, so a book of any size spreads over tasks. A first pass tells what each range does to a
+    lesson in any state; the states at the heads of ranges follow from these; a second pass walks each range from its own.
+    At most one book goes on from one range into the next, so the driver meets no more rows than ranges.
+    """
+    target = P.lesson_target(target)
+    steps, kind = P.Steps(target), blocks.schema[book].dataType.simpleString()
+    rows = blocks.filter("included and text <> ''").select(F.col(book).alias("book"), F.col("section").cast("long").alias("section"), F.col("block").cast("long").alias("block"), "kind", "text")
+    rows = rows.repartitionByRange("book", "section", "block").withColumn("part", F.spark_partition_id())
+    rows = written(rows, "ranges")
+
+    # The last book of a range may go on in a later one, and then the first book of that one is the same.
+    spans = rows.groupBy(F.col("book").alias("_b")).agg(F.min("part").alias("_first"), F.max("part").alias("_last")).filter("_first < _last")
+    spread = rows.join(spans, F.col("book").eqNullSafe(F.col("_b"))).select("book", "section", "block", "kind", "text", "part")
+
+    def through(own):
+        made = steps.through(((r[0], r[1]), r[2], r[3]) for r in own)
+        return [([own[0][0], own[0][1], 0], [m[0] for m in made], [m[1] for m in made], [m[2] and list(m[2]) for m in made])]
+
+    ways = folded(spread, ["book", "part"], ["section", "block"], through, f"book {kind}, part int, head array<long>, state array<int>, n array<long>, last array<array<long>>")
+    # Entries of ranges: one row for each range that begins within a book.
+    entries: dict[int, tuple] = {}
+    before = None
+    for r in ways.orderBy("book", "part").collect():
+        state, n, last = (steps.BEGIN, 0, r.head) if before is None or before[0] != r.book else before[1]
+        entries[r.part, r.book] = (state, n, last)
+        before = (r.book, (r.state[state], n + r.n[state], r.last[state] or last))
+
+    def walk(own):
+        key = (own[0][0], own[0][1])
+        state, n, last = entries.get(key, (steps.BEGIN, 0, (own[0][2], own[0][3], 0)))
+        out = []
+        for _, _, section, block, kind_, text in own:
+            state, ends = steps.block((section, block), kind_, text)(state)
+            for end in ends:
+                out.append((n, *last, *end, False))
+                n, last = n + 1, end
+        out.append((n, *last, own[-1][2], own[-1][3], len(own[-1][5]), True))
+        return out
+
+    shape = f"part int, book {kind}, lesson long, start_section long, start_block long, start_char long, end_section long, end_block long, end_char long, rest boolean"
+    own = rows.withColumn("_part", F.col("part")).withColumn("_book", F.col("book")).select("part", "book", "_part", "_book", "section", "block", "kind", "text")
+    found = folded(own, ["part", "book"], ["section", "block"], walk, shape)
+    # What is left at the end of a range counts at the end of the book only.
+    found = found.join(spans, F.col("book").eqNullSafe(F.col("_b")), "left").filter("not rest or _b is null or part = _last")
+    moves = F.struct("end_section", "end_block", "end_char") > F.struct("start_section", "start_block", "start_char")
+    found = found.filter(moves).select(F.col("book").alias(book), F.col("lesson").cast("int").alias("lesson"), "start_section", "start_block", "start_char", "end_section", "end_block", "end_char")
+    return found.withColumn("target", F.lit(target)).withColumn("version", F.lit(P.VERSION))
+
+
+def recent(blocks: DataFrame, frontiers: DataFrame, book: str, target: int, limit: int = P.HISTORY) -> DataFrame:
+    """book, ANCHORS: the newest lessons that lead to each book's frontier (book, f_section, f_block, f_char: a canonical place), from the
+    start of its section, or of the section before if it stands at that start; the last lesson closes the gap. Numbered from 0."""
+    place = lambda x: F.struct(*[F.col(f"{x}_{c}").alias(c) for c in ("section", "block", "char")])
+    open_ = blocks.filter("included and text <> ''")
+    firsts = open_.groupBy(F.col(book).alias("_b"), F.col("section").alias("_s")).agg(F.min("block").alias("_first"))
+    own = frontiers.join(firsts, F.col(book).eqNullSafe(F.col("_b")) & (F.col("_s") <= F.col("f_section")))
+    by = own.groupBy(book, "f_section", "f_block", "f_char").agg(F.max(F.when(F.col("_s") < F.col("f_section"), F.col("_s"))).alias("_before"), F.min_by("_first", F.struct(F.col("_s") != F.col("f_section"))).alias("_first"))
+    begun = F.when((F.col("f_block") == F.col("_first")) & (F.col("f_char") == 0), F.coalesce("_before", F.col("f_section"))).otherwise(F.col("f_section"))
+    cut = written(by.select(F.col(book).alias("_book"), *[F.col(f"f_{c}").cast("long").alias(f"f_{c}") for c in ("section", "block", "char")], begun.alias("_from")), "frontiers")
+    rows = blocks.join(cut, F.col(book).eqNullSafe(F.col("_book")) & (F.col("section") >= F.col("_from"))).select(blocks["*"])
+    chain = lessons(rows, book, target).join(cut, F.col(book).eqNullSafe(F.col("_book")))
+    chain = chain.filter(place("start") < place("f"))
+    over = place("end") > place("f")
+    closed = [F.when(over, F.col(f"f_{c}")).otherwise(F.col(f"end_{c}")).alias(f"end_{c}") for c in ("section", "block", "char")]
+    chain = chain.select(book, "lesson", "start_section", "start_block", "start_char", *closed, "target", "version")
+    last = chain.groupBy(F.col(book).alias("_b")).agg(F.max("lesson").alias("_last"))
+    kept = chain.join(last, F.col(book).eqNullSafe(F.col("_b"))).filter(F.col("lesson") > F.col("_last") - limit)
+    return kept.withColumn("lesson", F.col("lesson") - F.greatest(F.lit(0), F.col("_last") - (limit - 1))).drop("_b", "_last")
 
 
 def canonical_positions(blocks: DataFrame, places: DataFrame, book: str) -> DataFrame:
@@ -184,7 +245,9 @@ def first_lesson(spark, sf_dir):
 
 def recent_lessons(spark, sf_dir):
     """The newest lessons before the end of each document: the last 64 of the chain, as the end is the frontier."""
-    rows = lessons(_books(spark, sf_dir), "doc_id", TARGET, last_place)
+    books = _books(spark, sf_dir)
+    last = F.max_by(F.struct(F.col("section").alias("f_section"), F.col("block").alias("f_block"), F.length("text").alias("f_char")), F.struct("section", "block"))
+    rows = recent(books, books.filter("text <> ''").groupBy("doc_id").agg(last.alias("l")).select("doc_id", "l.*"), "doc_id", TARGET)
     return rows.select("doc_id", F.col("lesson").cast("long").alias("lesson"), "start_block", "start_char", "end_block", "end_char")
 
 
