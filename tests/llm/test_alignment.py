@@ -111,6 +111,22 @@ def test_overlaps_and_cuts(spark, tools):
         assert (r.ids_a, r.ids_b) == ([i for i, _ in left], [i for i, _ in right])
 
 
+def test_merge_ranks_give_the_tokenizer_s_ids(tools, tmp_path):
+    """Every token alone is itself, and characters of every kind are cut alike; another kind of file has no ranks."""
+    both = alignment.Tokenizers(A, B)
+    assert all(both.ranked._core_bpe.encode_single_piece(x) == [i] for i, x in enumerate(both.bytes_a[:50256]))
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 37 == 0)]
+    texts = [f" a{c}a 1{c}1 !{c}! {c}  \t{c}\n" for c in chars]
+    assert both.ids_a(texts) == [e.ids for e in tools[0].encode_batch_fast(texts, add_special_tokens=False)]
+    assert alignment.ranked(public_tokenizers.path("word_bpe_49k.json")) is None
+    said = json.load(open(A, encoding="utf-8"))
+    merges = said["model"]["merges"]
+    merges[10], merges[11] = merges[11], merges[10]
+    (tmp_path / "other.json").write_text(json.dumps(said), encoding="utf-8")
+    other = alignment.Tokenizers(str(tmp_path / "other.json"), B)
+    assert other.ranked is None and len(other.ids_a(["a text"])[0]) > 0
+
+
 def test_bytes_of_ids(tools):
     both = alignment.Tokenizers(A, B)
-    assert json.dumps("ok") and both.bytes_a[tools[0].token_to_id("Ġthe")] == b" the" and len(both.names) == 4 * 50257
+    assert both.bytes_a[tools[0].token_to_id("Ġthe")] == b" the" and len(both.names) == 4 * 50257
