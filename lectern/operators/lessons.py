@@ -217,6 +217,25 @@ def corpus_signature(blocks: DataFrame, book: str) -> DataFrame:
     return book_.select(book, fnv1a_64(whole).alias("signature"))
 
 
+CHUNK = 256  # blocks of a leaf
+
+
+def tree_digest(blocks: DataFrame, book: str, chunk: int = CHUNK) -> DataFrame:
+    """book, digest, blocks of what lessons depend on (book, section, block, included, kind, text), by a tree: blocks to leaves of `chunk`
+    places, leaves to sections, sections to the book.
+
+    Each level digests the sorted, framed parts of one below, so a change shows at the top and an edited leaf alone has to be read again.
+    No row holds more than a leaf's blocks or a section's leaves; a section of so many leaves that these don't fit a row would
+    need another level. Repeated rows count each.
+    """
+    said = framed(F.coalesce(F.col("kind"), F.lit("")), F.coalesce(F.length("text"), F.lit(0)), F.col("included"), F.coalesce(F.sha2("text", 256), F.lit("")))
+    level = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_said").alias("s")))), lambda x: framed(x["o"], x["s"])), ""), 256)
+    rows = blocks.select(F.col(book), F.col("section"), F.col("block"), F.floor(F.col("block") / chunk).alias("_leaf"), said.alias("_said"))
+    leaves = rows.groupBy(book, "section", "_leaf").agg(level("block").alias("_said"), F.count("*").alias("_n"))
+    sections = leaves.groupBy(book, "section").agg(level("_leaf").alias("_said"), F.sum("_n").alias("_n"))
+    return sections.groupBy(book).agg(level("section").alias("digest"), F.sum("_n").alias("blocks"))
+
+
 # Queries. Documents are books of one section and a block a line; conversations are books of a section a turn.
 
 TARGET, REACH = 125, 25
@@ -281,6 +300,12 @@ def corpus_digest(spark, sf_dir):
     return corpus_signature(_talks(spark, sf_dir), "conv_id")
 
 
+def book_digests(spark, sf_dir):
+    """Documents as books of a section for each twenty lines, in leaves of eight."""
+    rows = _books(spark, sf_dir).withColumn("section", F.floor(F.col("block") / 20)).withColumn("block", F.col("block") % 20)
+    return tree_digest(rows, "doc_id", 8)
+
+
 def word_states(spark, sf_dir):
     """Of each turn's last word: is it right now, was it ever wrong; states are planted by place and letter."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text <> ''")
@@ -293,7 +318,7 @@ def word_states(spark, sf_dir):
 
 QUERIES = {
     "lesson_chain": lesson_chain, "first_lesson": first_lesson, "recent_lessons": recent_lessons, "canonical_places": canonical_places, "typing_replay": typing_replay,
-    "corpus_digest": corpus_digest, "word_states": word_states,
+    "corpus_digest": corpus_digest, "book_digests": book_digests, "word_states": word_states,
 }
 
 # Ends of words and blocks with the characters typed before them; a lesson goes from one to the next that the rules name.
@@ -352,6 +377,13 @@ ORACLE_SQL = {
         h as (select conv_id, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: cast(unicode(c) as hugeint))), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) as h from b)
         select conv_id, lpad(lower(hex(cast(h as ubigint))), 16, '0') as signature from h
     """,
+    "book_digests": f"""
+        with l as (select doc_id, unnest(generate_series(0, len(parts) - 1)) as i, unnest(parts) as text from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null)),
+        b as (select doc_id, i // 20 as section, i % 20 as block, {_sql_framed("'paragraph'", "cast(length(text) as varchar)", "'true'", "sha256(text)")} as said from l),
+        f as (select doc_id, section, block // 8 as leaf, count(*) as n, sha256(string_agg({_sql_framed("cast(block as varchar)", "said")}, '' order by block)) as said from b group by all),
+        s as (select doc_id, section, sum(n) as n, sha256(string_agg({_sql_framed("cast(leaf as varchar)", "said")}, '' order by leaf)) as said from f group by all)
+        select doc_id, sha256(string_agg({_sql_framed("cast(section as varchar)", "said")}, '' order by section)) as digest, cast(sum(n) as bigint) as blocks from s group by doc_id
+    """,
     "word_states": """
         with c as (select conv_id, turn, text, length(text) as n, length(string_split(text, ' ')[-1]) as size from conversations where text <> ''),
         e as (select conv_id, turn, n, size, unnest(generate_series(0, n - 1)) as i, unnest(string_split(text, '')) as ch from c),

@@ -182,6 +182,36 @@ def in_anchor(at: Column, anchor: Column) -> Column:
     return (at >= anchor["start"]) & (at < anchor["end"])
 
 
+SECTION_BITS, BLOCK_BITS, CHAR_BITS = 18, 21, 24
+
+
+def place_code(at: Column) -> Column:
+    """A place as one number of the same order; what is beyond a field's bits counts as its largest, so order may tie but never turns."""
+    cut = lambda c, bits: F.least(F.greatest(at[c], F.lit(0)), F.lit(2**bits - 1)).cast("long")
+    return cut("section", SECTION_BITS) * 2 ** (BLOCK_BITS + CHAR_BITS) + cut("block", BLOCK_BITS) * 2**CHAR_BITS + cut("char", CHAR_BITS)
+
+
+def places_in_anchors(places: DataFrame, anchors: DataFrame, book: str) -> DataFrame:
+    """Each place (book, `at`) with each anchor (book, `start`, `end`) that holds it, half-open, and all columns of both.
+
+    An interval join by buckets of its own size: an anchor belongs to the level whose buckets are as long as itself or up to
+    twice, so it lies in two of them at most, and a place is looked up in one bucket of each level there is. No bucket is wider than
+    its anchors, so short anchors stay apart however long others are, and a book of many rows spreads over its buckets. Rows of
+    null books, places or ends, and anchors that end before they begin, meet nothing.
+    """
+    code = lambda c: place_code(F.col(c))
+    own = anchors.filter(F.col(book).isNotNull() & (F.col("start") < F.col("end"))).withColumn("_low", code("start")).withColumn("_high", code("end"))
+    own = own.withColumn("_level", F.ceil(F.log2(F.col("_high") - F.col("_low") + 1)).cast("int"))
+    wide = lambda c: F.call_function("shiftright", F.col(c), F.col("_level"))
+    own = own.withColumn("_cell", F.explode(F.array_distinct(F.array(wide("_low"), wide("_high"))))).withColumnRenamed(book, "_book").drop("_low", "_high")
+    # At most as many levels as a code has bits.
+    levels = sorted(r[0] for r in own.select("_level").distinct().collect())
+    asked = places.filter(F.col(book).isNotNull() & F.col("at").isNotNull()).withColumn("_code", code("at"))
+    asked = asked.withColumn("_l", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_c", F.call_function("shiftright", F.col("_code"), F.col("_l"))).drop("_code")
+    held = asked.join(own, (F.col(book) == F.col("_book")) & (F.col("_l") == F.col("_level")) & (F.col("_c") == F.col("_cell")))
+    return held.filter(in_anchor(F.col("at"), F.struct("start", "end"))).drop("_l", "_c", "_level", "_cell", "_book")
+
+
 # Queries: events are records of two devices, conversations are books of turns.
 
 
@@ -304,6 +334,17 @@ def active_lesson(spark, sf_dir):
     return t.select("conv_id", "turn", in_anchor(at, anchor).alias("active"))
 
 
+def active_anchors(spark, sf_dir):
+    """Places in each line of each document against anchors over one to six lines, and over every text's first thousand lines."""
+    docs = _t(spark, sf_dir, "documents").filter("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("b", "line")).select("doc_id", F.col("b").cast("long").alias("b"))
+    zero = F.lit(0).cast("long")
+    places = lines.select("doc_id", position(zero, F.col("b"), (F.col("b") * 5 + F.col("doc_id")) % 40).alias("at"))
+    short = lines.select("doc_id", F.col("b").alias("anchor"), position(zero, F.col("b"), F.col("doc_id") % 7).alias("start"), position(zero, F.col("b") + F.col("b") % 6, (F.col("doc_id") + F.col("b")) % 30).alias("end"))
+    long = docs.select("doc_id", F.lit(-1).cast("long").alias("anchor"), position(zero, zero, zero).alias("start"), position(zero, zero + 1000, zero).alias("end"))
+    return places_in_anchors(places, short.unionByName(long), "doc_id").select("doc_id", F.col("at.block").alias("block"), F.col("at.char").alias("char"), "anchor")
+
+
 def library_list(spark, sf_dir):
     """Conversations as books with progress where a user of that number has any: percent done, newest first."""
     books = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
@@ -316,7 +357,7 @@ def library_list(spark, sf_dir):
 QUERIES = {
     "payload_merge": payload_merge, "valid_progress": valid_progress, "rejected_progress": rejected_progress, "payload_check": payload_check, "known_books": known_books,
     "settings_merge": settings_merge, "reimported": reimported, "lifetime_totals": lifetime_totals, "upserted": upserted, "history_validity": history_validity,
-    "active_lesson": active_lesson, "library_list": library_list, "navigation_results": navigation_results,
+    "active_lesson": active_lesson, "active_anchors": active_anchors, "library_list": library_list, "navigation_results": navigation_results,
 }
 
 
@@ -371,6 +412,12 @@ ORACLE_SQL = {
     "navigation_results": """
         select event_id, event_id % 5 = 0 or (event_id % 7 <> 0 and value >= 0 and event_id % 11 <> 0 and event_id % 105 <= 100 and event_id % 103 <= 100 and event_id % 17 <> 0 and event_id % 13 <= event_id % 20) as valid from events
     """,
+    "active_anchors": """
+        with l as (select doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as b from documents where text is not null),
+        p as (select doc_id, b, (b * 5 + doc_id) % 40 as c from l),
+        a as (select doc_id, b as anchor, b as sb, doc_id % 7 as sc, b + b % 6 as eb, (doc_id + b) % 30 as ec from l union all select distinct doc_id, -1, 0, 0, 1000, 0 from l)
+        select p.doc_id, b as block, c as "char", anchor from p join a on a.doc_id = p.doc_id and (b > sb or (b = sb and c >= sc)) and (b < eb or (b = eb and c < ec))
+    """,
     "active_lesson": "select conv_id, turn, (turn > 1 or (turn = 1 and conv_id % 7 >= 3)) and (turn < 3 or (turn = 3 and conv_id % 7 < 3)) as active from conversations",
     "library_list": f"""
         with b as (select conv_id, cast(sum(coalesce(length(text), 0)) as bigint) as chars from conversations group by conv_id)

@@ -209,6 +209,34 @@ def read_payload(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("p")).select("p.*")
 
 
+PIECES = 8  # pieces of a payload written side by side, unless it is asked for more
+
+
+def write_payload(progress: DataFrame, known: DataFrame, settings: DataFrame, updated_at: int, folder: str, pieces: int = PIECES) -> None:
+    """A payload of any size as sorted files of JSON lines: its head, then entries by book id, dealt by ranges.
+
+    A line is one entry ("head", "progress" or "known", its book id, its record), so no row or task holds more than its own
+    part; a file that was lost half-way is a missing file, and the head, which names the counts, is written last.
+    """
+    entry = lambda rows, part: rows.select(F.lit(part).alias("part"), F.col("book_id").cast("string").alias("book_id"), F.to_json(F.struct(*[c for c in rows.columns])).alias("record"))
+    entries = entry(progress, "progress").unionByName(entry(known, "known"))
+    entries.repartitionByRange(pieces, "part", "book_id").sortWithinPartitions("part", "book_id").write.mode("overwrite").json(f"{folder}/entries")
+    counts = {r.part: r["count"] for r in progress.sparkSession.read.schema("part string, book_id string, record string").json(f"{folder}/entries").groupBy("part").count().collect()}
+    head = F.struct(F.lit(1).alias("version"), F.lit(updated_at).cast("long").alias("updated_at"), *[F.lit(counts.get(k, 0)).cast("long").alias(f"n_{k}") for k in ("progress", "known")], F.struct(*settings.columns).alias("settings"))
+    settings.limit(1).select(F.to_json(head).alias("value")).write.mode("overwrite").text(f"{folder}/head")
+
+
+def read_payload_pieces(spark: SparkSession, folder: str, record: str, settings: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(head, progress by the schema `record`, known books) of write_payload(); an error where entries are missing."""
+    head = spark.read.text(f"{folder}/head").select(F.from_json("value", f"version int, updated_at long, n_progress long, n_known long, settings struct<{settings}>").alias("h")).select("h.*")
+    entries = spark.read.schema("part string, book_id string, record string").json(f"{folder}/entries")
+    said, found = head.first(), {r.part: r["count"] for r in entries.groupBy("part").count().collect()}
+    if said is None or (said.n_progress, said.n_known) != (found.get("progress", 0), found.get("known", 0)):
+        raise ValueError("the payload is not whole")
+    of = lambda part, schema: entries.filter(F.col("part") == part).select(F.from_json("record", schema).alias("r")).select("r.*")
+    return head, of("progress", record), of("known", "book_id string, title string, author string")
+
+
 # Queries: documents are books of a store of its own, made for the query in the shared folder.
 
 
@@ -238,9 +266,24 @@ def store_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(store.read("progress").select("book_id", "completed"), "book_id", "left").select("book_id", "title", F.length("text").alias("chars"), "completed")
 
 
-QUERIES = {"store_merged": store_merged, "store_library": store_library}
+def payload_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as progress and titles, written as a payload of ranges and read back."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared(spark, "payload")
+    progress = docs.select(F.col("doc_id").cast("string").alias("book_id"), F.col("n_chars").cast("long").alias("total"), F.create_map(F.concat(F.lit("s"), F.col("doc_id") % 3), F.col("doc_id") % 2 == 0).alias("overrides"))
+    known = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("book_id"), F.col("lang").alias("title"), F.col("source").alias("author"))
+    write_payload(progress, known, spark.range(1).select(F.lit("dark").alias("theme")), 77, folder)
+    head, back, names = read_payload_pieces(spark, folder, "book_id string, total long, overrides map<string, boolean>", "theme string")
+    rows = back.join(names, "book_id", "left").join(head.select("updated_at", "settings.theme", F.lit(1).alias("_one")).hint("broadcast"), F.lit(1) == F.col("_one"))  # the head is one row
+    return rows.select("book_id", "total", F.array_join(F.transform(F.map_entries("overrides"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("overrides"), "title", "author", "updated_at", "theme")
+
+
+QUERIES = {"store_merged": store_merged, "store_library": store_library, "payload_pieces": payload_pieces}
 
 ORACLE_SQL = {
+    "payload_pieces": """
+        select cast(doc_id as varchar) as book_id, n_chars as total, concat('s', cast(doc_id % 3 as varchar), '=', cast(doc_id % 2 = 0 as varchar)) as overrides,
+            case when doc_id % 2 = 0 then lang end as title, case when doc_id % 2 = 0 then source end as author, cast(77 as bigint) as updated_at, 'dark' as theme from documents
+    """,
     "store_merged": """
         select doc_id as book_id, case when doc_id % 15 = 0 then 3 when doc_id % 4 = 0 then 2 else 1 end as at, case when doc_id % 15 = 0 then 'again' when doc_id % 4 = 0 then upper(lang) else lang end as title
         from documents where doc_id % 10 <> 0 or doc_id % 15 = 0
