@@ -29,24 +29,46 @@ def position(section, block, char) -> Column:
     return F.struct(F.lit(section).cast("long").alias("section"), F.lit(block).cast("long").alias("block"), F.lit(char).cast("long").alias("char")) if isinstance(section, int) else F.struct(section.alias("section"), block.alias("block"), char.alias("char"))
 
 
-def count_in_json(raw: Column, path: str) -> Column:
-    """A non-negative whole number of a JSON text, else null; 3.0 is whole, "3" is not a number."""
-    at = F.get_json_object(raw, path)
-    quoted = F.get_json_object(raw, path.rsplit(".", 1)[0] if "." in path[2:] else "$").rlike(f'"{path.rsplit(".", 1)[1]}"\\s*:\\s*"')
-    return F.when(at.rlike("^[0-9]+(\\.0+)?$") & ~F.coalesce(quoted, F.lit(False)), at.cast("double").cast("long"))
-
-
-def parsed_progress(raw: Column) -> Column:
-    """A progress record of its JSON text; null where any field is missing, of the wrong kind or out of range."""
-    n = lambda path: count_in_json(raw, path)
-    best = F.get_json_object(raw, "$.bestWpm")
-    overrides = F.from_json(F.get_json_object(raw, "$.sectionOverrides"), "map<string, string>")
-    flags = F.get_json_object(raw, "$.sectionOverrides").rlike('^\\{\\s*(".*?"\\s*:\\s*(true|false)\\s*,?\\s*)*\\}$')
+def with_json(rows: DataFrame, raw: Column, name: str = "_json") -> DataFrame:
+    """The rows with the JSON text parsed once, as a variant; null where it is no JSON or says a key twice.
+
+    The parse is a step of its own, so no later filter or field parses again.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(F.try_parse_json(raw).alias(name)))))
+
+
+def kind_at(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def number_at(v: Column, path: str) -> Column:
+    """A number, else null; "3" is not a number."""
+    return F.when(kind_at(v, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, path, "double"))
+
+
+def count_at(v: Column, path: str) -> Column:
+    """A non-negative whole number, else null; 3.0 is whole."""
+    n = number_at(v, path)
+    return F.when((n >= 0) & (n == F.floor(n)), F.coalesce(F.when(kind_at(v, path) == "BIGINT", F.try_variant_get(v, path, "long")), n.try_cast("long")))
+
+
+def text_at(v: Column, path: str) -> Column:
+    return F.when(kind_at(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def flag_at(v: Column, path: str) -> Column:
+    return F.when(kind_at(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+
+
+def parsed_progress(v: Column) -> Column:
+    """A progress record of its JSON as a variant; null where any field is missing, of the wrong kind or out of range."""
+    best, raw = number_at(v, "$.bestWpm"), F.try_variant_get(v, "$.sectionOverrides", "map<string, variant>")
+    flags = F.forall(F.map_values(raw), lambda x: F.schema_of_variant(x) == "BOOLEAN")
     fields = {
-        "book_id": F.get_json_object(raw, "$.bookId"), "position": F.struct(*[n(f"$.position.{k}Index").alias(k) for k in ("section", "block", "char")]),
-        "completed": n("$.charsCompleted"), "total": n("$.totalChars"), "updated_at": n("$.updatedAt"),
-        "lifetime": F.struct(*[n(f"$.lifetime.{k}").alias(c) for k, c in (("charsTyped", "chars"), ("errors", "errors"), ("timeMs", "time_ms"), ("sessions", "sessions"))]),
-        "best_wpm": F.when(best.rlike("^[0-9.]+([eE][-+]?[0-9]+)?$"), best.cast("double")), "overrides": F.transform_values(overrides, lambda k, v: v == "true"),
+        "book_id": text_at(v, "$.bookId"), "position": F.struct(*[count_at(v, f"$.position.{k}Index").alias(k) for k in ("section", "block", "char")]),
+        "completed": count_at(v, "$.charsCompleted"), "total": count_at(v, "$.totalChars"), "updated_at": count_at(v, "$.updatedAt"),
+        "lifetime": F.struct(*[count_at(v, f"$.lifetime.{k}").alias(c) for k, c in (("charsTyped", "chars"), ("errors", "errors"), ("timeMs", "time_ms"), ("sessions", "sessions"))]),
+        "best_wpm": F.when(best >= 0, best), "overrides": F.transform_values(raw, lambda k, x: F.try_variant_get(x, "$", "boolean")),
     }
     out = F.struct(*[c.alias(k) for k, c in fields.items()])
     numbers = [fields[k] for k in ("completed", "total", "updated_at", "best_wpm")] + [fields["position"][k] for k in ("section", "block", "char")] + [fields["lifetime"][k] for k in COUNTERS]
@@ -56,31 +78,34 @@ def parsed_progress(raw: Column) -> Column:
 
 def sanitized(records: DataFrame, key: str = "key", raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(valid records by PROGRESS, rejected rows): a bad record or a key that is not its own id is dropped, the rest kept."""
-    rows = records.withColumn("record", parsed_progress(F.col(raw)))
+    rows = with_json(records, F.col(raw))
+    rows = rows.withColumn("record", parsed_progress(F.col("_json"))).drop("_json")
     rows = rows.withColumn("fine", F.coalesce(F.col("record.book_id") == F.col(key), F.lit(False)))
     return rows.filter("fine").select("record.*"), rows.filter("not fine").select(key, raw)
 
 
-def payload_is_valid(payload: Column) -> Column:
+def payload_is_valid(v: Column) -> Column:
     """The top level of a sync file: version 1, a whole time, and three objects."""
-    objects = [F.coalesce(F.get_json_object(payload, f"$.{k}").startswith("{"), F.lit(False)) for k in ("progress", "knownBooks", "settings")]
-    return reduce(lambda a, b: a & b, [F.coalesce(F.get_json_object(payload, "$.version") == "1", F.lit(False)), count_in_json(payload, "$.updatedAt").isNotNull(), *objects])
+    objects = [F.coalesce(kind_at(v, f"$.{k}").startswith("OBJECT"), F.lit(False)) for k in ("progress", "knownBooks", "settings")]
+    return reduce(lambda a, b: a & b, [F.coalesce(number_at(v, "$.version") == 1, F.lit(False)), count_at(v, "$.updatedAt").isNotNull(), *objects])
 
 
-def settings_of(raw: Column) -> Column:
-    """Settings of a JSON text: each field that is valid, else its default; unknown fields go."""
-    at = lambda k: F.get_json_object(raw, "$." + "".join(p.title() if i else p for i, p in enumerate(k.split("_"))))
+def settings_of(v: Column, root: str = "$") -> Column:
+    """Settings of a variant: each field that is valid, else its default; unknown fields go."""
+    path = lambda k: f"{root}." + "".join(p.title() if i else p for i, p in enumerate(k.split("_")))
     fields = []
     for k, default in SETTINGS.items():
-        v = at(k)
         if isinstance(default, bool):
-            v = F.when(v.isin("true", "false"), v == "true")
+            own = flag_at(v, path(k))
         elif k == "font_size":
-            v = F.when(v.cast("double").between(*FONT_SIZES), v.cast("double"))
-        elif k in ("caret_style", "stop_on_error"):
-            v = F.when(v.isin(*(CARETS if k == "caret_style" else STOPS)), v)
-        fields.append(F.coalesce(v, F.lit(default)).alias(k))
-    return F.struct(*fields, N.visible_lines(at("context_lines").cast("double")).alias("context_lines"), N.lesson_length(at("lesson_length").cast("double")).alias("lesson_length"))
+            own = number_at(v, path(k))
+            own = F.when(own.between(*FONT_SIZES), own)
+        else:
+            own = text_at(v, path(k))
+            if k in ("caret_style", "stop_on_error"):
+                own = F.when(own.isin(*(CARETS if k == "caret_style" else STOPS)), own)
+        fields.append(F.coalesce(own, F.lit(default)).alias(k))
+    return F.struct(*fields, N.visible_lines(number_at(v, path("context_lines"))).alias("context_lines"), N.lesson_length(number_at(v, path("lesson_length"))).alias("lesson_length"))
 
 
 def migrated(settings: Column, version: Column) -> Column:
@@ -267,9 +292,9 @@ def payload_check(spark, sf_dir):
         F.when(F.col("user_id") % 7 == 0, ',"progress":[]').otherwise(',"progress":{}'), F.lit(',"knownBooks":{},"settings":{"fontSize":'),
         F.when(F.col("user_id") % 2 == 0, "1.5").otherwise("9"), F.lit(',"caretStyle":"'), F.when(F.col("user_id") % 4 == 0, "block").otherwise("blob"), F.lit('","soundOnClick":true,"lessonLength":125,"contextLines":1,"zzz":1}}'),
     ]
-    rows = n.select("user_id", F.concat(*parts).alias("raw"))
-    s = migrated(settings_of(F.get_json_object("raw", "$.settings")), F.when(F.col("user_id") % 8 == 0, 1))
-    return rows.select("user_id", payload_is_valid(F.col("raw")).alias("valid"), s.alias("s")).select("user_id", "valid", "s.font_size", "s.caret_style", "s.sound_on_click", "s.lesson_length", "s.context_lines", "s.theme")
+    rows = with_json(n.select("user_id", F.concat(*parts).alias("raw")), F.col("raw"))
+    s = migrated(settings_of(F.col("_json"), "$.settings"), F.when(F.col("user_id") % 8 == 0, 1))
+    return rows.select("user_id", payload_is_valid(F.col("_json")).alias("valid"), s.alias("s")).select("user_id", "valid", "s.font_size", "s.caret_style", "s.sound_on_click", "s.lesson_length", "s.context_lines", "s.theme")
 
 
 def known_books(spark, sf_dir):

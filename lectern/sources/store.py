@@ -273,7 +273,8 @@ def payload_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("book_id"), F.col("lang").alias("title"), F.col("source").alias("author"))
     write_payload(progress, known, spark.range(1).select(F.lit("dark").alias("theme")), 77, folder)
     head, back, names = read_payload_pieces(spark, folder, "book_id string, total long, overrides map<string, boolean>", "theme string")
-    rows = back.join(names, "book_id", "left").join(head.select("updated_at", "settings.theme", F.lit(1).alias("_one")).hint("broadcast"), F.lit(1) == F.col("_one"))  # the head is one row
+    said = head.first()
+    rows = back.join(names, "book_id", "left").withColumn("updated_at", F.lit(said.updated_at).cast("long")).withColumn("theme", F.lit(said.settings.theme))
     return rows.select("book_id", "total", F.array_join(F.transform(F.map_entries("overrides"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("overrides"), "title", "author", "updated_at", "theme")
 
 

@@ -161,3 +161,34 @@ def test_pauses_of_rows_out_of_order(spark, tmp_path):
     reading.with_rocksdb(spark, lambda: reading.run_to_end(out, "append", lambda got, b: got.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={b}"), f"file://{tmp_path}/c"))
     got = sorted(tuple(r)[:6] for r in spark.read.parquet(f"{tmp_path}/out").select("u", "started", "paused", "active_us", "events", "value").collect())
     assert got == [("x", 100 * second, 113 * second, 13 * second, 4, 3), ("x", 113 * second, 118 * second, 5 * second, 1, 4), ("y", 100 * second, 105 * second, 5 * second, 1, 9)]
+
+
+def test_a_payload_in_pieces(spark, tmp_path):
+    from lectern.sources.store import read_payload_pieces, write_payload
+
+    n = 100_000
+    progress = spark.range(n).select(F.concat(F.lit("b"), "id").alias("book_id"), F.col("id").alias("total"), F.create_map(F.lit("s"), F.col("id") % 2 == 0).alias("overrides"))
+    known = spark.createDataFrame([("b7", "T", "A")], "book_id string, title string, author string")
+    folder = f"file://{tmp_path}/payload"
+    write_payload(progress, known, spark.createDataFrame([("dark",)], "theme string"), 9, folder)
+    head, back, names = read_payload_pieces(spark, folder, "book_id string, total long, overrides map<string, boolean>", "theme string")
+    assert (head.first().updated_at, head.first().settings.theme) == (9, "dark") and names.first().title == "T"
+    assert back.count() == n and back.agg(F.sum("total")).first()[0] == n * (n - 1) // 2 and back.filter("overrides['s']").count() == n // 2
+    files = sorted((tmp_path / "payload" / "entries").glob("part-*"))
+    assert len(files) == 8 and max(f.stat().st_size for f in files) < 3 * min(f.stat().st_size for f in files if f.stat().st_size)
+    files[3].unlink()
+    with pytest.raises(ValueError, match="not whole"):
+        read_payload_pieces(spark, folder, "book_id string", "theme string")
+
+
+def test_a_payload_is_parsed_once(spark):
+    from lectern.operators import progress
+
+    good = '{"bookId":"a","position":{"sectionIndex":0,"blockIndex":1.0,"charIndex":2},"charsCompleted":1,"totalChars":2,"updatedAt":1e3,"lifetime":{"charsTyped":1,"errors":0,"timeMs":1,"sessions":1},"bestWpm":6.5,"sectionOverrides":{"x":true}}'
+    bad = [good.replace('"updatedAt":1e3', f'"updatedAt":{v}') for v in ('"3"', "-1", "1.5", "null", "true")] + [good.replace("true", '"true"'), good.replace('"a"', "7"), good[:-1], "[]", "", None]
+    rows = spark.createDataFrame([("a", good), *(("a", b) for b in bad)], "key string, raw string")
+    fine, quarantined = progress.sanitized(rows)
+    assert fine.count() == 1 and fine.first().updated_at == 1000 and fine.first().position.block == 1 and fine.first().overrides == {"x": True}
+    assert sorted(r.raw or "" for r in quarantined.collect()) == sorted(b or "" for b in bad)
+    plan = fine._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and "get_json_object" not in plan
