@@ -51,6 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The rows joined with what is known of their key (a long), one row a key.
+
+    The key is an expression, so both sides are exchanged for the join even where `known` is dealt by it already, and the rows of
+    a hot key can be split over tasks.
+    """
+    flipped = F.col(key).bitwiseXOR(F.lit(1).cast("long"))
+    own = known.select(flipped.alias("_flipped"), *[c for c in known.columns if c != key])
+    return rows.join(own.hint("merge"), flipped == F.col("_flipped"), how).drop("_flipped")
+
+
 def slices(batches, *names: str, rows: int = 256):
     """Columns of Arrow batches as Python lists, a few rows at a time: memory follows the slice, not the batch."""
     for batch in batches:

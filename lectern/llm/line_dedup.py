@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, materialize
+from .common import WORD_CLASS, hot_join, materialize
 
 WINDOW = 3
 PASSAGE, RUN = 51, 25  # words of a passage; words of the runs that meet
@@ -47,7 +47,7 @@ def cleaned(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     seen = materialize(windows(docs, width), "windows")
     first = seen.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_text", "_at")).alias("_first")).filter("_n > 1")
     here = F.struct("_id", "_text", "_at")
-    later = seen.join(first.hint("merge"), "_hash").filter(~here.eqNullSafe(F.col("_first")))
+    later = hot_join(seen, first, "_hash").filter(~here.eqNullSafe(F.col("_first")))
     covered = later.groupBy("_id", "_text").agg(F.collect_set("_at").alias("_starts"))  # at most a document's lines
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_key"))
     out = rows.join(covered.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
@@ -107,7 +107,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, run: int = RUN) -
 
     met = materialize(rows.mapInPandas(anchors, "_id long, _text long, _anchor long"), "anchors")
     again = met.groupBy("_anchor").count().filter("count > 1").select("_anchor")
-    own = met.join(again.hint("merge"), "_anchor").groupBy(F.col("_id").alias("_i"), F.col("_text").alias("_t")).agg(F.collect_set("_anchor").alias("_anchors"))
+    own = hot_join(met, again, "_anchor").groupBy(F.col("_id").alias("_i"), F.col("_text").alias("_t")).agg(F.collect_set("_anchor").alias("_anchors"))
     texts = rows.join(own.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t"))).select("_id", "_text", "text", "_anchors")
 
     def around(batches):
@@ -121,7 +121,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, run: int = RUN) -
 
     seen = materialize(texts.mapInPandas(around, "_id long, _text long, _at int, _hash long"), "passages")
     first = seen.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_text", "_at")).alias("_first")).filter("_n > 1")
-    later = seen.join(first.hint("merge"), "_hash").filter(~F.struct("_id", "_text", "_at").eqNullSafe(F.col("_first")))
+    later = hot_join(seen, first, "_hash").filter(~F.struct("_id", "_text", "_at").eqNullSafe(F.col("_first")))
     starts = later.groupBy("_id", "_text").agg(F.array_sort(F.collect_set("_at")).alias("_starts"))  # at most a document's words
 
     def joined(batches):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_join, materialize
 
 # Kind, pattern, group holding the value, least characters of the value.
 BASE = [
@@ -69,7 +69,7 @@ def scan(docs: DataFrame, repository, owner) -> DataFrame:
     # Partial sums over (value, owner, repository) come first, so a value held everywhere stays small.
     held = values.groupBy("_value", "owner", "repository").count().groupBy("_value", "owner").agg(F.count("*").alias("r"))
     held = held.groupBy("_value").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"))
-    per_doc = values.select("_row", "_value").join(held.hint("merge"), "_value").groupBy("_row").agg(
+    per_doc = hot_join(values.select("_row", "_value"), held, "_value").groupBy("_row").agg(
         F.collect_set(F.when(F.col("owners") >= SHARED_OWNERS, F.col("_value"))).alias("_copied"), F.max("repositories").alias("most_repositories")
     )  # at most a document's own values
     out = found.join(per_doc.hint("merge"), "_row", "left")
