@@ -1,24 +1,29 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped in one pass into lines, one per block of text. Known boilerplate (navigation, adverts, forms, comments
-and the like, told by element, role or a whole class or id name of a container) leaves empty lines in its place, and so
-does, outside an article or main element, the edge of each container. Each line weighs its characters outside links. The
-weights are summed over sliding windows of lines: text surges where a sum reaches SURGE, goes on as long as windows do,
-and dives where they fall below it; a window full of links only is a dive wherever it lies. The lines between surge and
-dive are the text. A page whose largest sum is below SURGE surges at that sum, so short articles are kept. Where a page
-has an article or main element with text, lines outside count nothing and any text inside is a surge.
-
-A form that wraps the whole page is no boilerplate. Null or empty html gives an empty text; repeated rows have a result
-each; an empty table gives no rows; very long pages are read whole, in time that grows with their length; a page's other
-columns are ignored.
+Markup is stripped in one pass into lines, one per block of text, each with its place among the page's containers. Boilerplate told by
+element, role or hiding leaves empty lines in its place, and so do containers whose class or id says so: comments, adverts,
+menus, notices and the like always, looser names (share, social, widget) only where the container has no surge of its own.
+
+Each line weighs its characters outside links, and the weights are summed over sliding windows of lines of one container: text
+surges where a sum reaches SURGE (or the page's largest sum, if that is less) and dives where windows fall below it. The text is
+what lies between surge and dive: the innermost container of several lines that holds SHARE of the surging weight is taken whole,
+with its short lines, and so is the last main heading before it and what surges elsewhere. Where no container holds the text
+together, windows run over container edges, and short lines between surges stay. A run of lines of links only is a dive
+wherever it lies, but not in an article element. Where a page has an article or main element with text, lines outside
+count nothing and any text inside is a surge.
+
+If names leave no text, they count nothing; a form that wraps the whole page is no boilerplate. Null or empty html gives an empty
+text; repeated rows have a result each; an empty table gives no rows; very long pages are read whole, in time that grows with
+their length; a page's other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from html import unescape
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,22 +34,26 @@ RAW = frozenset("script style noscript template svg math iframe object canvas te
 ASIDE = frozenset("nav header footer aside form button dialog menu head".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul br".split())
 CONTAINER = frozenset("div section ul ol dl table details fieldset figure center".split())  # class and id tell on these only
-EDGE = frozenset("div section fieldset details center".split())  # containers that part the text, outside an article
+PLACES = frozenset("div section fieldset details center td th".split())  # containers that part the text, outside an article
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-# Words of class and id names. A name tells boilerplate if all its words are known and one is of the first kind.
+# Words of class and id names.
+# Each of these tells comments or adverts as a part of a name.
+PARTS = frozenset("comments commentlist commentform replies disqus ad ads adslot adbox adunit advert adverts advertisement advertisements advertising adsense".split())
+# A name whose words are all known, one of them of these, tells boilerplate ...
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe"
-    " signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations share sharing social comment comments replies disqus respond"
-    " footer header masthead copyright pagination pager toolbar skip".split()
+    "cookie cookies consent gdpr popup newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar related recommended recommendations respond footer pagination pager"
+    " copyright skip sponsor sponsored sponsors".split()
 )
-NEUTRAL = frozenset("site page main top bottom left right global primary secondary box bar list container wrapper wrap block area section slot unit link links item items inner outer content post posts article thread form bg".split())
-NAME_WORDS = re.compile(r"[-_]+").split
+# ... and of these only where it holds no surge of its own.
+LOOSE = frozenset("banner promo promotion notice modal overlay widget widgets share sharing social comment header masthead toolbar".split())
+NEUTRAL = frozenset("site page main top bottom left right global primary secondary box bar list container wrapper wrap block area section slot unit link links item items inner outer content post posts article thread form bg row reader user".split())
+NAME_WORDS = re.compile(r"[-_]+|(?<=[a-z])(?=\d)|\d+x?\d*").split
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 NEXT_IN_TAG = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WINDOW, SURGE = 3, 80  # lines in a window; characters outside links that make a surge
+WINDOW, SURGE, SHARE = 3, 80, 0.8  # lines in a window; characters outside links that make a surge; share of the main container
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
@@ -105,32 +114,61 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
     yield "".join(pieces), "", "", ""
 
 
-def named(value: str) -> bool:
+SURE, MAYBE = 2, 1
+
+
+def named(value: str) -> int:
+    """SURE for boilerplate, MAYBE for what is if it holds no surge, 0 for others."""
+    found = 0
     for token in value.lower().split():
         words = [w for w in NAME_WORDS(token) if w]
-        if any(w in BOILERPLATE for w in words) and all(w in BOILERPLATE or w in NEUTRAL for w in words):
-            return True
-    return False
+        if any(w in PARTS for w in words) or words[-2:] == ["comment", "list"]:
+            return SURE
+        if words and all(w in BOILERPLATE or w in LOOSE or w in NEUTRAL for w in words):
+            found = max(found, SURE if any(w in BOILERPLATE for w in words) else MAYBE if any(w in LOOSE for w in words) else 0)
+    return found
 
 
-def boilerplate(name: str, attributes: str) -> bool:
+def boilerplate(name: str, attributes: str, names: bool) -> int:
     if name in ASIDE:
-        return True
+        return SURE
     if not attributes.strip() or name in ("html", "body", "article", "main"):
-        return False
+        return 0
     values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in (values.get("style") or "").replace(" ", "").lower():
-        return True
-    return (values.get("role") or "").lower() in ROLES or name in CONTAINER and any(named(values.get(k) or "") for k in ("class", "id"))
+        return SURE
+    if (values.get("role") or "").lower() in ROLES:
+        return SURE
+    return max(named(values.get(k) or "") for k in ("class", "id")) if names and name in CONTAINER else 0
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int = 0  # characters of it in links
+    main: bool = False  # inside article or main
+    article: bool = False
+    heading: bool = False
+    path: tuple = ()  # the containers around it, outermost first
+    element: str = ""  # the innermost block element
+
+    @property
+    def weight(self) -> int:
+        return len(self.text) - self.linked
+
+    def joins(self, other: Line, across: bool) -> bool:
+        """May a window hold both? In one container, or, across edges, as texts of like elements in containers side by side."""
+        return self.path == other.path or across and bool(self.path and other.path) and (self.path[:-1], self.element) == (other.path[:-1], other.element)
 
 
 class Lines:
-    """The stack of open elements, and the lines so far: (text, characters of it in links, inside article or main)."""
+    """The stack of open elements, and the lines so far."""
 
-    def __init__(self, keep: frozenset):
-        self.keep, self.out, self.own, self.linked = keep, [], [], 0
-        self.stack, self.where = [], defaultdict(list)  # (name, drops); places in the stack by name
-        self.dropped = self.inside = self.links = 0
+    def __init__(self, keep: frozenset, names: bool):
+        self.keep, self.names, self.out, self.own, self.linked = keep, names, [], [], 0
+        self.stack, self.where, self.blocks = [], defaultdict(list), []  # (name, drops, line at its start); places by name, of blocks
+        self.dropped = self.inside = self.articles = self.links = self.heads = self.serial = 0
+        self.path: list[int] = []
+        self.surge = -1  # the last line known to begin a stretch that surges
 
     def add(self, text: str) -> None:
         if text and not self.dropped:
@@ -139,25 +177,36 @@ class Lines:
 
     def flush(self) -> None:
         if self.own and (text := " ".join(unescape("".join(self.own)).split())):
-            self.out.append((text, min(self.linked, len(text)), self.inside > 0))
+            self.out.append(Line(text, min(self.linked, len(text)), self.inside > 0, self.articles > 0, self.heads > 0, tuple(self.path), self.stack[self.blocks[-1]][0] if self.blocks else ""))
         self.own.clear()
         self.linked = 0
 
     def gap(self) -> None:
         """Empty lines as deep as the window; one gap is as good as many."""
-        if self.out and self.out[-1][0]:
-            self.out.extend([("", 0, False)] * WINDOW)
+        if self.out and self.out[-1].text:
+            self.out.extend([Line("")] * WINDOW)
 
     def pop(self, upto: int) -> None:
         while len(self.stack) > upto:
-            name, drops = self.stack.pop()
-            self.where[name].pop()
-            if name in BLOCK:
+            if self.stack[-1][0] in BLOCK:
                 self.flush()
-            self.dropped -= drops
+                self.blocks.pop()
+            name, drops, start = self.stack.pop()
+            self.where[name].pop()
+            self.dropped -= drops == SURE
             self.inside -= name in ("article", "main")
+            self.articles -= name == "article"
             self.links -= name == "a"
-            if drops or name in EDGE and not self.inside:
+            self.heads -= name in ("h1", "h2")
+            if name in PLACES:
+                self.path.pop()
+            if drops == MAYBE and not self.dropped and self.surge < start:  # else one inside surges already
+                if any(surging(self.out[start:], SURGE)):
+                    self.surge = start
+                else:
+                    del self.out[start:]
+                    self.gap()
+            elif drops == SURE:
                 self.gap()
 
     def last(self, *names: str) -> int:
@@ -165,7 +214,7 @@ class Lines:
 
     def close(self, name: str) -> None:
         known = self.last(name)
-        if known >= 0 and (name in BLOCK or name in ASIDE or not any(s[0] in BLOCK for s in self.stack[known + 1 :][:8])):
+        if known >= 0 and (name in BLOCK or name in ASIDE or not self.blocks or self.blocks[-1] <= known):
             self.pop(known)
         elif name in BLOCK and not self.dropped:
             self.flush()
@@ -183,22 +232,29 @@ class Lines:
             self.pop(a)
         if name in VOID or attributes.endswith("/"):
             return
-        drops = name not in self.keep and boilerplate(name, attributes)
+        drops = 0 if name in self.keep else boilerplate(name, attributes, self.names)
         if not (drops or name in BLOCK or name == "a"):
             return  # other inline elements change nothing
-        if drops and not self.dropped or name in EDGE and not self.inside:
+        if drops == SURE and not self.dropped:
             self.flush()
             self.gap()
-        self.dropped += drops
+        self.dropped += drops == SURE
         self.inside += name in ("article", "main")
+        self.articles += name == "article"
         self.links += name == "a"
+        self.heads += name in ("h1", "h2")
+        if name in PLACES:
+            self.serial += 1
+            self.path.append(self.serial)
         self.where[name].append(len(self.stack))
-        self.stack.append((name, drops))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, drops, len(self.out)))
 
 
-def lines_of(html: str, keep: frozenset = frozenset()) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, inside article or main) per line; boilerplate and container edges give empty lines."""
-    lines = Lines(keep)
+def lines_of(html: str, keep: frozenset = frozenset(), names: bool = True) -> list[Line]:
+    """The lines of a page; boilerplate leaves empty ones."""
+    lines = Lines(keep, names)
     for text, slash, name, attributes in tokens(html):
         lines.add(text)
         if slash:
@@ -210,31 +266,84 @@ def lines_of(html: str, keep: frozenset = frozenset()) -> list[tuple[str, int, b
     return lines.out
 
 
-def surged(weights: list[int], surge: int, window: int = WINDOW) -> list[bool]:
-    """Which lines lie between a surge and the dive that ends it: those of any window whose sum reaches `surge`."""
-    sums, total = [], 0
-    for i, w in enumerate(weights):
-        total += w - (weights[i - window] if i >= window else 0)
-        sums.append(total)  # of the window that ends here
-    return [any(s >= surge for s in sums[i : i + window]) for i in range(len(weights))]
+def surged(weights: list[int], surge: int, joined: Callable[[int, int], bool] = lambda i, j: True) -> list[bool]:
+    """Which lines lie between a surge and the dive that ends it: those of any window whose sum reaches `surge`. A window ends where
+    neighbours aren't joined."""
+    on = [False] * len(weights)
+    for i in range(len(weights)):
+        total, j = weights[i], i
+        while j > 0 and i - j + 1 < WINDOW and joined(j - 1, j):
+            j -= 1
+            total += weights[j]
+        if total >= surge:
+            on[j : i + 1] = [True] * (i + 1 - j)
+    return on
+
+
+def surging(lines: list[Line], surge: int, across: bool = False) -> list[bool]:
+    return surged([line.weight for line in lines], surge, lambda i, j: lines[i].joins(lines[j], across))
+
+
+def main_container(lines: list[Line], on: list[bool]) -> tuple:
+    """The path of the innermost container of several lines that holds SHARE of the surging weight; none: ()."""
+    weight, count = defaultdict(int), defaultdict(int)
+    for line, surges in zip(lines, on, strict=True):
+        for k in range(1, len(line.path) + 1) if line.text else ():
+            count[line.path[k - 1]] += 1
+            weight[line.path[k - 1]] += line.weight if surges else 0
+    total = sum(line.weight for line, surges in zip(lines, on, strict=True) if surges)
+    for line, surges in zip(lines, on, strict=True):
+        if surges:
+            held = [k for k, c in enumerate(line.path, 1) if weight[c] >= SHARE * total and count[c] > 1]
+            if held:
+                return line.path[: held[-1]]
+    return ()
+
+
+def chosen(lines: list[Line]) -> list[bool]:
+    """Which lines are the text, of a page without article and main."""
+    on, surge = surging(lines, SURGE), SURGE
+    if not any(on):  # the most that any window holds
+        low, surge = 1, SURGE - 1
+        while low < surge:
+            mid = (low + surge + 1) // 2
+            low, surge = (mid, surge) if any(surging(lines, mid)) else (low, mid - 1)
+        on = surging(lines, surge)
+    inner = main_container(lines, on)
+    if inner:
+        on = [kept or line.path[: len(inner)] == inner for kept, line in zip(on, lines, strict=True)]
+    else:
+        on, last = surging(lines, surge, across=True), None
+        for i, line in enumerate(lines):
+            if on[i]:
+                if last is not None:
+                    on[last:i] = [True] * (i - last)
+                last = i
+            elif not line.text:
+                last = None
+    first = on.index(True) if True in on else 0
+    head = next((i for i in range(first - 1, -1, -1) if lines[i].heading), None)
+    if head is not None:
+        on[head] = True
+    return on
 
 
 def main_text(html: str) -> str:
-    for keep in (frozenset(), frozenset({"form"})):
-        lines = lines_of(html, keep)
-        if any(text for text, _, _ in lines):
+    for keep, names in ((frozenset(), True), (frozenset(), False), (frozenset({"form"}), False)):
+        lines = lines_of(html, keep, names)
+        if any(line.text for line in lines):
             break
-    within = any(main and text for text, _, main in lines)
-    if within:
-        lines = [line if line[2] else ("", 0, False) for line in lines]
-    weights = [len(text) - linked for text, linked, _ in lines]
-    best = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
-    on = surged(weights, 1 if within else min(SURGE, max(1, best)))
-    only_links = [bool(text) and linked >= len(text) for text, linked, _ in lines]
+    else:
+        return ""
+    if any(line.main and line.text for line in lines):
+        on = [line.main for line in lines]
+    else:
+        on = chosen(lines)
+    only_links = [bool(line.text) and not line.weight and not line.article for line in lines]
     for i in range(len(lines) - WINDOW + 1):
         if all(only_links[i : i + WINDOW]):
             on[i : i + WINDOW] = [False] * WINDOW
-    return "\n".join(text for (text, _, _), kept in zip(lines, on, strict=True) if kept and text)
+    return "\n".join(line.text for line, kept in zip(lines, on, strict=True) if kept and line.text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
