@@ -142,13 +142,22 @@ def boilerplate(name: str, attributes: str, names: bool) -> int:
     return max(named(values.get(k) or "") for k in ("class", "id")) if names and name in CONTAINER else 0
 
 
+class Place:
+    """A container: its parent, its depth, and how many came before it."""
+
+    __slots__ = ("parent", "depth", "serial")
+
+    def __init__(self, parent: Place | None, serial: int):
+        self.parent, self.serial, self.depth = parent, serial, parent.depth + 1 if parent else 1
+
+
 class Line(NamedTuple):
     text: str
     linked: int = 0  # characters of it in links
     main: bool = False  # inside article or main
     article: bool = False
     heading: bool = False
-    path: tuple = ()  # the containers around it, outermost first
+    place: Place | None = None  # the innermost container around it
     element: str = ""  # the innermost block element
 
     @property
@@ -157,7 +166,9 @@ class Line(NamedTuple):
 
     def joins(self, other: Line, across: bool) -> bool:
         """May a window hold both? In one container, or, across edges, as texts of like elements in containers side by side."""
-        return self.path == other.path or across and bool(self.path and other.path) and (self.path[:-1], self.element) == (other.path[:-1], other.element)
+        if self.place is other.place:
+            return True
+        return across and self.place is not None and other.place is not None and self.place.parent is other.place.parent and self.element == other.element
 
 
 class Lines:
@@ -167,7 +178,7 @@ class Lines:
         self.keep, self.names, self.out, self.own, self.linked = keep, names, [], [], 0
         self.stack, self.where, self.blocks = [], defaultdict(list), []  # (name, drops, line at its start); places by name, of blocks
         self.dropped = self.inside = self.articles = self.links = self.heads = self.serial = 0
-        self.path: list[int] = []
+        self.places: list[Place] = []
         self.surge = -1  # the last line known to begin a stretch that surges
 
     def add(self, text: str) -> None:
@@ -177,7 +188,7 @@ class Lines:
 
     def flush(self) -> None:
         if self.own and (text := " ".join(unescape("".join(self.own)).split())):
-            self.out.append(Line(text, min(self.linked, len(text)), self.inside > 0, self.articles > 0, self.heads > 0, tuple(self.path), self.stack[self.blocks[-1]][0] if self.blocks else ""))
+            self.out.append(Line(text, min(self.linked, len(text)), self.inside > 0, self.articles > 0, self.heads > 0, self.places[-1] if self.places else None, self.stack[self.blocks[-1]][0] if self.blocks else ""))
         self.own.clear()
         self.linked = 0
 
@@ -199,7 +210,7 @@ class Lines:
             self.links -= name == "a"
             self.heads -= name in ("h1", "h2")
             if name in PLACES:
-                self.path.pop()
+                self.places.pop()
             if drops == MAYBE and not self.dropped and self.surge < start:  # else one inside surges already
                 if any(surging(self.out[start:], SURGE)):
                     self.surge = start
@@ -245,7 +256,7 @@ class Lines:
         self.heads += name in ("h1", "h2")
         if name in PLACES:
             self.serial += 1
-            self.path.append(self.serial)
+            self.places.append(Place(self.places[-1] if self.places else None, self.serial))
         self.where[name].append(len(self.stack))
         if name in BLOCK:
             self.blocks.append(len(self.stack))
@@ -284,20 +295,30 @@ def surging(lines: list[Line], surge: int, across: bool = False) -> list[bool]:
     return surged([line.weight for line in lines], surge, lambda i, j: lines[i].joins(lines[j], across))
 
 
-def main_container(lines: list[Line], on: list[bool]) -> tuple:
-    """The path of the innermost container of several lines that holds SHARE of the surging weight; none: ()."""
-    weight, count = defaultdict(int), defaultdict(int)
-    for line, surges in zip(lines, on, strict=True):
-        for k in range(1, len(line.path) + 1) if line.text else ():
-            count[line.path[k - 1]] += 1
-            weight[line.path[k - 1]] += line.weight if surges else 0
-    total = sum(line.weight for line, surges in zip(lines, on, strict=True) if surges)
+def inside_main(lines: list[Line], on: list[bool]) -> list[bool] | None:
+    """Which lines lie in the innermost container of several lines that holds SHARE of the surging weight; none if there is none."""
+    weight, count, places = defaultdict(int), defaultdict(int), {}
     for line, surges in zip(lines, on, strict=True):
-        if surges:
-            held = [k for k, c in enumerate(line.path, 1) if weight[c] >= SHARE * total and count[c] > 1]
-            if held:
-                return line.path[: held[-1]]
-    return ()
+        place = line.place
+        if line.text and place is not None:
+            count[place.serial] += 1
+            weight[place.serial] += line.weight if surges else 0
+        while place is not None and place.serial not in places:
+            places[place.serial] = place
+            place = place.parent
+    for serial in sorted(places, reverse=True):  # a parent comes before its children
+        if (parent := places[serial].parent) is not None:
+            count[parent.serial] += count[serial]
+            weight[parent.serial] += weight[serial]
+    least = SHARE * sum(line.weight for line, surges in zip(lines, on, strict=True) if surges)
+    held = [p for s, p in places.items() if weight[s] >= max(1, least) and count[s] > 1]
+    if not held:
+        return None
+    inner, within = max(held, key=lambda p: p.depth), set()
+    for serial in sorted(places):
+        if serial == inner.serial or places[serial].parent is not None and places[serial].parent.serial in within:
+            within.add(serial)
+    return [line.place is not None and line.place.serial in within for line in lines]
 
 
 def chosen(lines: list[Line]) -> list[bool]:
@@ -309,9 +330,9 @@ def chosen(lines: list[Line]) -> list[bool]:
             mid = (low + surge + 1) // 2
             low, surge = (mid, surge) if any(surging(lines, mid)) else (low, mid - 1)
         on = surging(lines, surge)
-    inner = main_container(lines, on)
+    inner = inside_main(lines, on)
     if inner:
-        on = [kept or line.path[: len(inner)] == inner for kept, line in zip(on, lines, strict=True)]
+        on = [kept or within for kept, within in zip(on, inner, strict=True)]
     else:
         on, last = surging(lines, surge, across=True), None
         for i, line in enumerate(lines):
