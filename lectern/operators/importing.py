@@ -152,9 +152,14 @@ class Imported:
 
 
 def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
-    """Raw books of files (path, content), each by its format; unknown formats and what can't be read are rejected."""
+    """Raw books of files (path, content), each by its format; unknown formats and what can't be read are rejected.
+
+    Files of equal content are one book: that of the least path.
+    """
     name = F.substring_index("path", "/", -1)
     rows = files.select("path", "content", book_format(name, F.lit("") if mime is None else mime).alias("format"), N.file_title(name).alias("title"), content_id(F.col("content")).alias("book"))
+    unknown = rows.filter("format is null").select("path")
+    rows = rows.filter("format is not null").groupBy("book").agg(F.min_by(F.struct("path", "content", "format", "title"), "path").alias("f")).select("book", "f.*")
     tree = written(structured(rows.filter(F.col("format").isin("epub", "html", "markdown"))), "parsed-files")  # each file is parsed once
     texts = rows.filter("format = 'txt'").select("book", "path", "title", decoded("content").alias("text"))
     lines = texts.select("book", "title", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_index", "text"))
@@ -178,7 +183,7 @@ def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
     facts = tree.filter("failed is null").select("book", "path", "title", "author", "language").unionByName(texts.select("book", "path", "title", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("language")))
     facts = facts.unionByName(read.filter("failed is null").select("book", "path", "title", "author", F.lit(None).cast("string").alias("language")))
     books = facts.withColumn("author", F.coalesce("author", F.lit("Unknown author"))).withColumn("language", F.coalesce("language", F.lit("und")))
-    rejected = rows.filter("format is null").select("path", F.lit("unsupported format").alias("why"))
+    rejected = unknown.select("path", F.lit("unsupported format").alias("why"))
     for d in (tree, read):
         rejected = rejected.unionByName(d.filter("failed is not null").select("path", F.col("failed").alias("why")))
     warnings = tree.select("book", F.explode("warnings").alias("w")).select("book", "w.section", "w.code")
@@ -298,12 +303,56 @@ def epub_sections(spark, sf_dir):
 
 def import_files(spark, sf_dir):
     """Text files, pages and files of no known kind, imported to the end: clean blocks with their sections."""
-    docs = _t(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 10 == 3, ".bin").otherwise(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    pages = _t(spark, sf_dir, "pages").filter("html is not null").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    docs, pages = _sample_files(spark, sf_dir)
     blocks, _ = finalized(parsed(docs.unionByName(pages)))
     return blocks.select("book", "section", "block", "kind", "text")
 
 
+def _sample_files(spark, sf_dir, said: str = "text"):
+    """Documents as text files, every tenth of an unknown kind, and pages."""
+    docs = _t(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 10 == 3, ".bin").otherwise(".txt")).alias("path"), F.encode(F.expr(said), "UTF-8").alias("content"))
+    pages = _t(spark, sf_dir, "pages").filter("html is not null").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return docs, pages
+
+
+def import_books(spark, sf_dir):
+    """What becomes of each file: a book with its title and language, or the reason why not; equal files are one book."""
+    docs, pages = _sample_files(spark, sf_dir)
+    raw = parsed(docs.unionByName(pages))
+    none = F.lit(None).cast("string")
+    return raw.books.select("path", "title", "author", "language", none.alias("why")).unionByName(raw.rejected.select("path", none.alias("title"), none.alias("author"), none.alias("language"), "why"))
+
+
+def import_warnings(spark, sf_dir):
+    """Characters dropped from each text file with planted ones, told by the whole import."""
+    docs, _ = _sample_files(spark, sf_dir, text.DIRTY)
+    raw = parsed(docs)
+    _, warnings = finalized(raw)
+    rows = warnings.filter("code = 'dropped-chars'").groupBy("book").agg(F.sum("n").alias("n"))
+    return rows.join(raw.books.select("book", "path"), "book").select("path", "n")
+
+
+def metadata_texts(spark, sf_dir):
+    """Titles as strings, lists, and objects with a language."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("  "), "lang", F.lit(" \n "), "source", F.lit(" ")))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit('["'), "lang", F.lit('", " ", {"#text": "'), "source", F.lit('"}]')))
+        .when(F.col("doc_id") % 5 == 2, F.concat(F.lit('{"value": "'), "source", F.lit('", "x-default": "'), "lang", F.lit('"}')))
+        .when(F.col("doc_id") % 5 == 3, F.concat(F.lit('"'), "lang", F.lit(' \\"x\\""'))).otherwise(F.lit("[]")).alias("said"))
+    return docs.select("doc_id", N.metadata_text(F.col("said")).alias("title"))
+
+
+def cover_facts(spark, sf_dir):
+    """Sizes and data URLs of picture files made of each document's numbers and first words."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(1900)).alias("w"), (F.coalesce("n_chars", F.lit(0)) % 70000 + 1).alias("h"), F.coalesce(F.substring("text", 1, 30), F.lit("")).alias("own"))
+    number = lambda c, n: F.lpad(F.hex(c), n, "0")
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(F.col("w") + 1, 8), number(F.col("h"), 8))
+    jpeg = F.concat(F.lit("FFD8FFE000041111FFC2001108"), number(F.col("h") % 60000 + 1, 4), number(F.col("w") + 1, 4))
+    head = F.when(F.col("doc_id") % 3 == 0, png).when(F.col("doc_id") % 3 == 1, jpeg).otherwise(F.lit("00FF"))
+    files = docs.select("doc_id", F.concat(F.unhex(head), F.encode("own", "UTF-8")).alias("content"), F.when(F.col("doc_id") % 3 == 0, "image/png").otherwise("image/jpeg").alias("kind"))
+    size = N.cover_size(F.col("content"))
+    return files.select("doc_id", size["width"].alias("width"), size["height"].alias("height"), F.replace(N.data_url(F.col("content"), F.col("kind")), F.lit("\r\n"), F.lit("")).alias("url"))
+
+
 def content_ids(spark, sf_dir):
     """Ids of files by their bytes: texts in two encodings."""
     docs = _t(spark, sf_dir, "documents").filter("text is not null")
@@ -342,7 +391,7 @@ def pdf_lines(spark, sf_dir):
     return lines.select(F.col("book").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), F.col("line").cast("long").alias("line"), "text")
 
 
-QUERIES = {"pdf_lines": pdf_lines, "content_ids": content_ids, "decoded_texts": decoded_texts, "page_titles": page_titles, "html_blocks": html_blocks, "epub_sections": epub_sections, "import_files": import_files}
+QUERIES = {"pdf_lines": pdf_lines, "content_ids": content_ids, "decoded_texts": decoded_texts, "page_titles": page_titles, "html_blocks": html_blocks, "epub_sections": epub_sections, "import_books": import_books, "import_warnings": import_warnings, "metadata_texts": metadata_texts, "cover_facts": cover_facts, "import_files": import_files}
 
 # Marks for the tags of the sample pages: what begins with h, p, l or d is a block, \x02 is a break.
 _SQL_MARKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -353,7 +402,32 @@ _SQL_ENTITIES = "{}"
 for _from, _to in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
     _SQL_ENTITIES = f"replace({_SQL_ENTITIES}, '{_from}', '{_to}')"
 
+_SQL_LANGUAGE = "regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1)"
+
 ORACLE_SQL = {
+    "import_books": f"""
+        with t as (select min(concat('d/', cast(doc_id as varchar), '.txt')) as path from documents where text is not null and doc_id % 10 <> 3 group by text),
+        h as (select html, min(concat('p/', cast(page_id as varchar), '.html')) as path from pages where html is not null group by html)
+        select path, replace(replace(path, 'd/', ''), '.txt', '') as title, 'Unknown author' as author, 'und' as language, null as why from t
+        union all select path, trim({_SQL_ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}), 'Unknown author', {_SQL_LANGUAGE}, null from h
+        union all select concat('d/', cast(doc_id as varchar), '.bin'), null, null, null, 'unsupported format' from documents where text is not null and doc_id % 10 = 3
+    """,
+    "import_warnings": f"""
+        with d as (select doc_id, {text.DIRTY} as text from documents where text is not null and doc_id % 10 <> 3),
+        o as (select min(concat('d/', cast(doc_id as varchar), '.txt')) as path, text from d group by text),
+        n as (select path, cast(sum(dropped) as bigint) as n from {text._sql_normalized("select path, text from o", "path")} group by path)
+        select path, n from n where n > 0
+    """,
+    "metadata_texts": """
+        select doc_id, case doc_id % 5 when 0 then concat(lang, ' ', source) when 1 then concat(lang, ', ', source) when 2 then lang when 3 then concat(lang, ' "x"') end as title from documents
+    """,
+    "cover_facts": """
+        with d as (select doc_id, doc_id % 1900 + 1 as w, coalesce(n_chars, 0) % 70000 + 1 as h, coalesce(substring(text, 1, 30), '') as own from documents),
+        f as (select *, case doc_id % 3 when 0 then concat('89504E470D0A1A0A0000000D49484452', lpad(hex(w), 8, '0'), lpad(hex(h), 8, '0'))
+            when 1 then concat('FFD8FFE000041111FFC2001108', lpad(hex(h % 60000 + 1), 4, '0'), lpad(hex(w), 4, '0')) else '00FF' end as head from d)
+        select doc_id, cast(case when doc_id % 3 < 2 then w end as int) as width, cast(case doc_id % 3 when 0 then h when 1 then h % 60000 + 1 end as int) as height,
+            concat('data:image/', case when doc_id % 3 = 0 then 'png' else 'jpeg' end, ';base64,', to_base64(unhex(head) || encode(own))) as url from f
+    """,
     "pdf_lines": """
         with l as (select doc_id, unnest(generate_series(1, len(parts))) as i, unnest(parts) as text from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null)),
         k as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as k, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from l where trim(text) <> '')

@@ -300,6 +300,19 @@ def corpus_digest(spark, sf_dir):
     return corpus_signature(_talks(spark, sf_dir), "conv_id")
 
 
+def opened_books(spark, sf_dir):
+    """Bookmarks of documents with a stored lesson of fifty characters: kept at its start, snapped to it from inside, planned anew beyond it
+    or where the text has another signature, ended at the book's end."""
+    books = _books(spark, sf_dir)
+    first = books.filter("block = 0 and length(text) >= 60").select("doc_id", F.length("text").alias("n"))
+    last = books.filter("text <> ''").groupBy("doc_id").agg(F.max_by(F.struct("block", F.length("text").alias("n")), "block").alias("l"))
+    char, at_end = F.col("doc_id") % 60, F.col("doc_id") % 7 == 3
+    stored = F.lit('{"signature": "s", "frontier": {"start": [0, 0, 0], "end": [0, 0, 50], "target": 100, "version": 1}, "history": []}')
+    marks = first.join(last, "doc_id").select("doc_id", F.lit(0).alias("section"), F.when(at_end, F.col("l.block")).otherwise(0).alias("block"), F.when(at_end, F.col("l.n")).otherwise(char).alias("char"),
+        F.when(F.col("doc_id") % 5 == 0, "other").otherwise("s").alias("signature"), F.when(F.col("doc_id") % 11 != 0, stored).alias("navigation"))
+    return opened(books.join(marks.select("doc_id"), "doc_id", "left_semi"), marks, "doc_id", 100).select("doc_id", "outcome", "block", "char")
+
+
 def book_digests(spark, sf_dir):
     """Documents as books of a section for each twenty lines, in leaves of eight."""
     rows = _books(spark, sf_dir).withColumn("section", F.floor(F.col("block") / 20)).withColumn("block", F.col("block") % 20)
@@ -318,7 +331,7 @@ def word_states(spark, sf_dir):
 
 QUERIES = {
     "lesson_chain": lesson_chain, "first_lesson": first_lesson, "recent_lessons": recent_lessons, "canonical_places": canonical_places, "typing_replay": typing_replay,
-    "corpus_digest": corpus_digest, "book_digests": book_digests, "word_states": word_states,
+    "corpus_digest": corpus_digest, "book_digests": book_digests, "opened_books": opened_books, "word_states": word_states,
 }
 
 # Ends of words and blocks with the characters typed before them; a lesson goes from one to the next that the rules name.
@@ -377,6 +390,15 @@ ORACLE_SQL = {
         h as (select conv_id, list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: cast(unicode(c) as hugeint))), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) as h from b)
         select conv_id, lpad(lower(hex(cast(h as ubigint))), 16, '0') as signature from h
     """,
+    "opened_books": """
+        with p as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null),
+        b as (select doc_id, unnest(generate_series(0, len(l) - 1)) as block, unnest(l) as text from p),
+        e as (select doc_id, max(block) as eb, max_by(length(text), block) as ec from b where text <> '' group by doc_id),
+        m as (select e.doc_id, eb, ec, case when e.doc_id % 7 = 3 then eb else 0 end as block, case when e.doc_id % 7 = 3 then ec else e.doc_id % 60 end as c,
+            e.doc_id % 5 <> 0 and e.doc_id % 11 <> 0 as fine from e join b on b.doc_id = e.doc_id and b.block = 0 and length(b.text) >= 60),
+        o as (select *, fine and block = 0 and c < 50 as usable, block > eb or (block = eb and c >= ec) as ended from m)
+        select doc_id, case when usable and c = 0 then 'kept' when usable then 'snapped' when ended then 'ended' else 'seeded' end as outcome, block, case when usable then 0 else c end as "char" from o
+    """,
     "book_digests": f"""
         with l as (select doc_id, unnest(generate_series(0, len(parts) - 1)) as i, unnest(parts) as text from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null)),
         b as (select doc_id, i // 20 as section, i % 20 as block, {_sql_framed("'paragraph'", "cast(length(text) as varchar)", "'true'", "sha256(text)")} as said from l),

@@ -262,8 +262,10 @@ def store_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.put(book_meta=docs.drop("text"), books=docs.filter("book_id % 13 <> 0").select("book_id", "at", "text"))
     store.put(progress=docs.filter("book_id % 3 = 0").select("book_id", "at", (F.col("book_id") % 100).alias("completed")))
     store.delete_books(docs.filter("book_id % 9 = 0"))
+    store.migrate({"settings": "key string, at int", "books": "other string"})  # adds the one, leaves the other
     whole = books_with_content(store.read("book_meta"), store.read("books").drop("at"))
-    return whole.join(store.read("progress").select("book_id", "completed"), "book_id", "left").select("book_id", "title", F.length("text").alias("chars"), "completed")
+    whole = whole.join(store.read("progress").select("book_id", "completed"), "book_id", "left").join(store.read("settings"), F.col("key") == F.col("title"), "left_anti")
+    return whole.select("book_id", "title", F.length("text").alias("chars"), "completed")
 
 
 def payload_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
