@@ -284,8 +284,35 @@ def banded_lists(crowd: DataFrame, n: int, sets: DataFrame) -> DataFrame:
     return with_lists(rows, shared)
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def prefix_lists(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """value (a shingle), class_id, n_shingles, most, component: an exact way for crowds. Linked sets share THRESHOLD of either one's
+    shingles, so they share one of those left when that many less one are taken off; the rarest of the crowd are left, and shingles
+    of one class alone take places but meet nothing."""
+    schema = "class_id binary, n_shingles long, most long, component binary, shingle long"
+
+    def run(batches):
+        for c, n, most, component, own in (row for part in slices(batches, "class_id", "n_shingles", "most", "component", "shingles", rows=64) for row in zip(*part, strict=True)):
+            h = np.frombuffer(own, np.int64)
+            yield arrow(schema, [[c] * len(h), [n] * len(h), [most] * len(h), [component] * len(h), h])
+
+    rows = crowd.join(sets.hint("merge"), "class_id").mapInArrow(run, schema)
+    rows = materialize(rows, "crowd-shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    often = often.select(F.col("shingle").alias("value"), "often", (F.col("lo") != F.col("hi")).alias("meets"))
+    known = with_lists(rows.withColumnRenamed("shingle", "value").withColumn("_shingle", F.col("value")), often).withColumnRenamed("_shingle", "shingle")
+    one = F.struct("often", "shingle", "meets")
+    own = known.groupBy("class_id", "n_shingles", "most", "component").agg(F.array_sort(F.collect_list(one)).alias("rare"))  # a class's own shingles
+    upto = (F.col("n_shingles") - F.ceil(F.col("n_shingles") * THRESHOLD / 100) + 1).cast("int")
+    met = own.select("class_id", "n_shingles", "most", "component", F.explode(F.slice("rare", F.lit(1), upto)).alias("r")).filter("r.meets")
+    return met.select(F.col("r.shingle").alias("value"), "class_id", "n_shingles", "most", "component")
+
+
+def near_groups(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    `exact` compares the classes of crowded lists by prefixes of their full sets, which miss no link, in place of bands, which miss one with
+    a chance of MISSED; it takes more candidates where texts share much and are not alike.
+    """
     rows = materialize(classes_of(docs), "classes")
     full = rows.filter("class_id is not null")
     reps = materialize(full.groupBy("class_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "reps")
@@ -328,7 +355,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     crowd = materialize(matchable(rows_left.filter("crowded")).groupBy("class_id", "n_shingles", "component").agg(F.max("most").alias("most")), "crowd")
     rows_left = rows_left.filter("not crowded").select("value", "before", "class_id", "n_shingles", "most", "component")
     if n := crowd.count():
-        rows_left = rows_left.unionByName(banded_lists(crowd, n, sets).withColumn("before", F.lit(None).cast("long")))
+        again = prefix_lists(crowd, sets) if exact else banded_lists(crowd, n, sets)
+        rows_left = rows_left.unionByName(again.withColumn("before", F.lit(None).cast("long")))
     x, y = (rows_left.toDF("value", *(f"{k}_{side}" for k in fields)) for side in "xy")
     # With at most `most` shingles in common, similarity can reach the threshold; for whole sets this is the rule on sizes.
     first = F.coalesce(F.col("before_x") != F.col("before_y"), F.lit(True))  # else the pair meets at that value too
