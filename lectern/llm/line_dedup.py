@@ -51,10 +51,15 @@ def cleaned(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     covered = later.groupBy("_id", "_text").agg(F.collect_set("_at").alias("_starts"))  # at most a document's lines
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_key"))
     out = rows.join(covered.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + width - 1))))
-    out = out.select("row", gone.alias("_gone"))
-    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return out.select("row", F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(kept).alias("text"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+    out = out.select("row", F.array_sort("_starts").alias("_starts"), F.split("row.text", "\n", -1).alias("_lines"))
+    # What stays lies before the first window, between windows and after the last: slices, so long texts take time in proportion.
+    since = F.concat(F.array(F.lit(0)), F.transform("_starts", lambda s: s + width))
+    upto = F.concat(F.col("_starts"), F.array(F.size("_lines")))
+    parts = F.filter(F.zip_with(since, upto, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] < p["b"])
+    kept = F.flatten(F.transform(parts, lambda p: F.slice("_lines", p["a"] + 1, p["b"] - p["a"])))
+    out = out.select("row", "_starts", "_lines", F.when(F.col("_starts").isNotNull(), kept).alias("_kept"))
+    whole = F.col("_starts").isNull()
+    return out.select("row", F.when(whole, F.col("row.text")).otherwise(F.array_join("_kept", "\n")).alias("text"), F.when(whole, 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
