@@ -254,3 +254,27 @@ def test_repeated_passages_against_brute_force(spark):
 def test_html_keeps_text_by_names_that_only_look_like_boilerplate():
     page = "<html><head><meta charset=utf-8><title>t</title><body><h2 id='related-work'>Related work</h2><p id=side-effects>Rare ones.</p><div class=sidebar>side</div></body></html>"
     assert html_text.main_text(page) == "Related work\nRare ones."
+
+
+def test_rows_of_a_hot_key_are_split(spark):
+    """A key in a third of the rows, joined with what an aggregation knows of it: the plain join can't be split, hot_join can."""
+    from lectern.llm.common import hot_join
+
+    conf = {
+        "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(60_000, numPartitions=16).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("long").alias("k"))
+        known = rows.groupBy("k").agg(F.count("*").alias("n"))
+        plans = {}
+        for name, out in (("plain", rows.join(known.hint("merge"), "k")), ("hot", hot_join(rows, known, "k"))):
+            assert len(out.collect()) == 60_000
+            plans[name] = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plans["hot"] and "skew=true" not in plans["plain"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
