@@ -14,6 +14,7 @@ from lectern.sources import html as H
 # Fixed values.
 PACKAGE, NCX, COVERS = "application/oebps-package+xml", "application/x-dtbncx+xml", ("image/jpeg", "image/png")
 LARGEST_COVER = 8 << 20
+COVER_WORDS = frozenset(("cover", "frontcover"))  # words of an id or file name
 DECLARED = re.compile(rb"<\?xml[^>]*\bencoding\s*=\s*[\"']([^\"']+)[\"']", re.I)
 META_CHARSET = re.compile(rb"<meta[^>]*\bcharset\s*=\s*[\"']?([a-zA-Z0-9_-]+)", re.I)
 
@@ -195,7 +196,7 @@ def cover_of(package, path: str, manifest: dict[str, Item], archive: Archive) ->
             pass
     wanted = [
         next((i for i in items if "cover-image" in i.properties), None), manifest.get(named), next((i for i in items if i.path in (guide, wrapped)), None),
-        next((i for i in items if re.search(r"(^|[^a-z])(front[-_ ]?)?cover([^a-z]|$)", f"{i.id} {i.href}", re.I)), None),
+        next((i for i in items if COVER_WORDS & set(re.split("[^a-z]+", f"{i.id} {i.href}".lower()))), None),
     ]
     for item in wanted:
         content = archive.get(item.path) if item and item.kind in COVERS else None
