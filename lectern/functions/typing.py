@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 # Keys that are no characters, and what to do about errors.
 ENTER, BACKSPACE, DELETE_WORD = "Enter", "Backspace", "DeleteWord"
@@ -133,15 +135,14 @@ def active_ms(times: list[int], idle: int = IDLE_MS, paused: int | None = None)
 
 
 def samples(times: list[int], keys: list[bool], idle: int = IDLE_MS, step: int = 1000) -> list[float]:
-    """Raw words a minute of each full step while the clock runs; ticks count from the first activity."""
+    """Raw words a minute of each full step while the clock runs; ticks count from the first activity. Times come in order."""
     if not times:
         return []
-    out, first, last = [], times[0], times[-1]
-    for tick in range(first + step, last + 1, step):
-        before = [t for t in times if t < tick]
-        if tick - before[-1] < idle:
-            n = sum(k for t, k in zip(times, keys, strict=True) if tick - step <= t < tick)
-            out.append(n / 5 / (step / 60000))
+    out, typed = [], [0, *accumulate(map(int, keys))]
+    for tick in range(times[0] + step, times[-1] + 1, step):
+        upto = bisect_left(times, tick)
+        if tick - times[upto - 1] < idle:
+            out.append((typed[upto] - typed[bisect_left(times, tick - step)]) / 5 / (step / 60000))
     return out
 
 
