@@ -43,7 +43,8 @@ def raw_trim(spark, sf_dir):
 
 def display_labels(spark, sf_dir):
     """Sizes, durations, per cents and a clamped, floored and squared number of each event."""
-    e = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") * F.col("event_id") * F.col("event_id")).alias("n"), F.col("value"))
+    wide = F.col("event_id").cast("decimal(19,0)").cast("decimal(38,0)")  # the cube of an id past 2,097,151 is no long
+    e = _t(spark, sf_dir, "events").select("event_id", (wide * F.col("event_id") * F.col("event_id")).cast("decimal(38,0)").alias("n"), F.col("value"))
     return e.select(
         "event_id", N.size_label(F.col("n")).alias("size"), N.duration_label(F.col("event_id") * 997).alias("duration"), N.percent_label(F.col("event_id") % 1000 / 7).alias("share"),
         N.percent_done(F.col("event_id"), F.lit(5000)).alias("done"), N.whole(F.col("value") - 20).alias("whole"), N.clamped(F.col("event_id") % 50, 10, 30).alias("clamped"),
