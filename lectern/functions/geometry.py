@@ -12,6 +12,7 @@ ROW_SLACK, LEAST_SLACK, SPACE_SHARE, LEAST_SPACE = 0.35, 1.5, 0.12, 0.5
 COLUMN_GAP, COLUMN_FONTS, ORDER_GAP, ORDER_FONTS, WIDTH_PER_CHAR = 48, 5, 80, 6, 0.5
 GAP_RATIO, GAP_FONTS, FONT_RATIO, INDENT_FONTS, ALIGN_FONTS = 1.55, 1.45, 1.28, 1.2, 0.9
 WIDE, PROSE_WIDE, CONTINUED, CAPITALIZED, RAGGED, VERSE_WIDE = 0.68, 0.67, 0.5, 0.75, 0.38, 0.75
+ROUNDING = 1e-9  # of the widest line: a width that is just its share is not parted from it by the unit it is measured in
 
 
 class Item(NamedTuple):
@@ -125,10 +126,10 @@ def is_prose(run: list[Line]) -> bool:
     spread = lambda values: max(values) - min(values)
     aligned = spread([line.x for line in (run[1:] if len(run) > 2 else run)]) <= middle(line.font for line in run) * ALIGN_FONTS
     most, inside = max(line.width for line in run), run[:-1]
-    wide = sum(line.width >= most * WIDE for line in inside) / max(1, len(inside))
+    wide = sum(line.width >= most * (WIDE - ROUNDING) for line in inside) / max(1, len(inside))
     continued = sum(not re.search(r"[.!?][\"')\]]?$", line.text.strip()) for line in inside) / max(1, len(inside))
     capital = sum(bool(re.match(r"[\"'(\[]*[A-Z]", line.text.strip())) for line in run) / len(run)
-    ragged = spread([line.width for line in run]) > most * RAGGED
+    ragged = spread([line.width for line in run]) > most * (RAGGED + ROUNDING)
     verse = len(run) >= 3 and capital >= CAPITALIZED and (ragged or wide < VERSE_WIDE)
     return aligned and wide >= PROSE_WIDE and continued >= CONTINUED and not verse
 

@@ -1,7 +1,8 @@
-"""What failed on larger tables: ids past the cube root of a long."""
+"""What failed or was slow on larger tables."""
 
 from pyspark.sql import functions as F
 
+from lectern.functions import geometry as G
 from lectern.operators import labels
 
 
@@ -11,3 +12,10 @@ def test_labels_of_large_ids(spark, tmp_path):
     got = {r.event_id: r["size"] for r in labels.display_labels(spark, str(tmp_path)).collect()}
     tb = lambda i: f"{int(i**3 / 1024**4 + 0.5)} TB"
     assert got == {7: "343 B", **{i: tb(i) for i in (2_097_151, 2_097_152, 6_000_000, 2**30)}}
+
+
+def test_ties_of_width_in_any_unit():
+    """25 and 17 are just the share that counts as wide, in characters and in points."""
+    for unit in (1.0, 7.0, 0.1):
+        lines = [G.Line("a" * n, 0.0, 100.0 - 12 * k, n * unit, 10.0) for k, n in enumerate((25, 17, 17, 17))]
+        assert [kind for kind, _ in G.blocks_of(lines)] == ["paragraph"], unit
