@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 # White space of raw text, as a character class.
 SPACE_CLASS = " \\t\\n\\r\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ANY_SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+ANY_SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 UNITS = ("KB", "MB", "GB", "TB")
 LESSON_LENGTHS, LESSON_DEFAULT = (100, 125, 150, 175, 200), 100
 VISIBLE_LINES, VISIBLE_DEFAULT = (2, 8), 3
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_class(col: Column) -> Column:
     """Raw text without white space at its ends."""
     return F.regexp_replace(col, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
 
 
 def any_trim(col: Column) -> Column:
-    return F.regexp_replace(col, f"^{ANY_SPACE}+|{ANY_SPACE}+$", "")
+    return F.btrim(col, F.lit(ANY_SPACES))
 
 
 def squeezed(col: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.bloom import Bloom
-from lectern.functions.names import ANY_SPACE, SPACE_CLASS
+from lectern.functions.names import SPACE_CLASS, any_trim, once
 from lectern.operators.scalar import heading_key
 from lectern.operators.text import is_noise, is_page_number, vocabulary
 from lectern.plans.stages import written
@@ -24,7 +24,8 @@ ABBREVIATIONS = (
 ).split()
 VERSE_NUMBER, LEAST_VERSES = f"^([0-9]{{1,4}})[{SPACE_CLASS}]{{2,}}", 3
 FOOTNOTE_MARKS = "[†‡§¶]"
-SENTENCE_END = "(?<!(?<![A-Za-z])(?i:" + "|".join(ABBREVIATIONS) + "|[a-z]) {0,3})([.!?][\"'”’)\\]]*)\\s+(?=[\"'“‘(\\[]*[A-Z0-9])"
+# What stands before the mark is looked at only where a mark and what follows it were met.
+SENTENCE_END = "([.!?])(?=[\"'”’)\\]]*\\s+[\"'“‘(\\[]*[A-Z0-9])(?<!(?<![A-Za-z])(?i:" + "|".join(ABBREVIATIONS) + "|[a-z]) {0,3}[.!?])([\"'”’)\\]]*)\\s+(?=[\"'“‘(\\[]*[A-Z0-9])"
 
 
 def held_words(candidates: DataFrame, words: DataFrame, book: str) -> DataFrame:
@@ -143,9 +144,9 @@ def without_verse_numbers(blocks: DataFrame, section: str, order: str) -> DataFr
 
 def sentences(text: Column) -> Column:
     """Array of sentences; abbreviations and single letters end none."""
-    marked = F.regexp_replace(text, SENTENCE_END, "$1\u0001")
-    parts = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.regexp_replace(s, f"^{ANY_SPACE}+|{ANY_SPACE}+$", "")), lambda s: s != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    marked = F.regexp_replace(text, SENTENCE_END, "$1$2\u0001")
+    parts = F.filter(F.transform(F.split(marked, "\u0001"), any_trim), lambda s: s != "")
+    return once(parts, lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(text)))
 
 
 def word_chunks(text: Column, size: int = LONGEST) -> Column:

@@ -1,9 +1,11 @@
 """What failed or was slow on larger tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
-from lectern.operators import labels
+from lectern.operators import clean, labels
 
 
 def test_labels_of_large_ids(spark, tmp_path):
@@ -19,3 +21,18 @@ def test_ties_of_width_in_any_unit():
     for unit in (1.0, 7.0, 0.1):
         lines = [G.Line("a" * n, 0.0, 100.0 - 12 * k, n * unit, 10.0) for k, n in enumerate((25, 17, 17, 17))]
         assert [kind for kind, _ in G.blocks_of(lines)] == ["paragraph"], unit
+
+
+def times_in_plan(spark, what, name):
+    return spark.range(1).select(F.lit("a").alias("t")).select(what(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString().count(name)
+
+
+def test_sentences_are_marked_once(spark):
+    """One pass of the pattern, with the same cuts as the pattern that looks back at every place."""
+    assert times_in_plan(spark, clean.sentences, "regexp_replace(") == 1
+    old = "(?<!(?<![A-Za-z])(?i:" + "|".join(clean.ABBREVIATIONS) + "|[a-z]) {0,3})([.!?][\"'”’)\\]]*)\\s+(?=[\"'“‘(\\[]*[A-Z0-9])"
+    rng = random.Random(5)
+    texts = [("".join(rng.choice(["Mr", "vs", "a", "Word", "x.", "!", "?\"", ".)", " ", "  ", "\n", "(A", "'B", "9", "”", "“"]) for _ in range(60)),) for _ in range(300)]
+    rows = spark.createDataFrame(texts, "t string")
+    ways = [F.regexp_replace("t", old, "$1\u0001"), F.regexp_replace("t", clean.SENTENCE_END, "$1$2\u0001")]
+    assert rows.filter(ways[0] != ways[1]).count() == 0 and rows.filter(F.contains(ways[0], F.lit("\u0001"))).count() > 100
