@@ -180,8 +180,7 @@ def short_blocks(text: Column) -> Column:
         put = F.struct(F.when(full, flushed(acc)).otherwise(acc["out"]).alias("out"), F.when(full | (acc["now"] == ""), s).otherwise(F.concat_ws(" ", acc["now"], s)).alias("now"))
         return F.when(F.length(s) > LONGEST, alone).otherwise(put)
 
-    parts = sentences(text)
-    split = F.when(F.size(parts) < 2, word_chunks(text)).otherwise(F.aggregate(parts, start, step, flushed))
+    split = once(sentences(text), lambda parts: F.when(F.size(parts) < 2, word_chunks(text)).otherwise(F.aggregate(parts, start, step, flushed)))
     return F.when(F.length(text) <= LONGEST, F.array(text)).otherwise(split)
 
 

@@ -36,3 +36,7 @@ def test_sentences_are_marked_once(spark):
     rows = spark.createDataFrame(texts, "t string")
     ways = [F.regexp_replace("t", old, "$1\u0001"), F.regexp_replace("t", clean.SENTENCE_END, "$1$2\u0001")]
     assert rows.filter(ways[0] != ways[1]).count() == 0 and rows.filter(F.contains(ways[0], F.lit("\u0001"))).count() > 100
+
+
+def test_long_blocks_are_cut_once(spark):
+    assert times_in_plan(spark, clean.short_blocks, "regexp_replace(") == 1
