@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.names import ANY_SPACE, any_trim
+from lectern.functions.names import ANY_SPACE, any_trim, once
 
 # Sequences that UTF-8 read as CP1252 shows, and the letters of CP1252 by byte.
 SIGNATURES = ["â€™", "â€œ", "â€", "â€”", "â€“", "â€˜", "â€¦", "â€¢", "Ã©", "Ã¨", "Ã¤", "Ã¶", "Ã¼", "Ã±", "Ã§", "Ã ", "Ãº", "Ã­", "Â«", "Â»", "Â£", "Â©", "Â®", "Â°"]
@@ -50,13 +50,18 @@ def paragraphs(text: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
 
     def step(acc, s):
-        piece = F.concat(acc["now"], s["said"])
-        last, enough = s["run"].isNull(), F.length(any_trim(piece)) >= LEAST_PARAGRAPH
-        done = F.when(last, F.length(any_trim(piece)) > 0).otherwise(enough)
-        return F.struct(F.when(done, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"), F.when(done | last, F.lit("")).otherwise(F.concat(piece, s["run"])).alias("now"))
+        last = s["run"].isNull()
+
+        def put(p):
+            piece, done = p["piece"], p["done"]
+            return F.struct(F.when(done, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"), F.when(done | last, F.lit("")).otherwise(F.concat(piece, s["run"])).alias("now"))
+
+        enough = lambda p: F.length(any_trim(p)) >= F.when(last, 1).otherwise(LEAST_PARAGRAPH)
+        return once(once(F.concat(acc["now"], s["said"]), lambda p: F.struct(p.alias("piece"), enough(p).alias("done"))), put)
 
     cut = F.aggregate(steps, start, step)["out"]
-    return F.when((F.length(text) >= RECOVER_FROM) & (F.size(cut) >= 2), cut).otherwise(F.array(text))
+    whole = F.array(text)
+    return F.when(F.length(text) >= RECOVER_FROM, once(cut, lambda own: F.when(F.size(own) >= 2, own).otherwise(whole))).otherwise(whole)
 
 
 def recovered(blocks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
-from lectern.operators import clean, labels
+from lectern.operators import clean, labels, repair
 
 
 def test_labels_of_large_ids(spark, tmp_path):
@@ -40,3 +40,7 @@ def test_sentences_are_marked_once(spark):
 
 def test_long_blocks_are_cut_once(spark):
     assert times_in_plan(spark, clean.short_blocks, "regexp_replace(") == 1
+
+
+def test_paragraphs_are_found_once(spark):
+    assert times_in_plan(spark, repair.paragraphs, "regexp_extract_all(") == 1
