@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
+from lectern.functions import names as N
 from lectern.operators import clean, labels, repair
 
 
@@ -44,3 +45,12 @@ def test_long_blocks_are_cut_once(spark):
 
 def test_paragraphs_are_found_once(spark):
     assert times_in_plan(spark, repair.paragraphs, "regexp_extract_all(") == 1
+
+
+def test_trims_without_patterns(spark):
+    """The same characters go as by the class of white space, at the ends only."""
+    assert times_in_plan(spark, N.any_trim, "regexp") == 0
+    chars = [chr(c) for c in range(1, 0xFFFF) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(f"{c}a{c} b{c}",) for c in chars], "t string")
+    old = F.regexp_replace("t", f"^{N.ANY_SPACE}+|{N.ANY_SPACE}+$", "")
+    assert rows.filter(old != N.any_trim(F.col("t"))).count() == 0
