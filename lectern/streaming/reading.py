@@ -166,7 +166,7 @@ def with_rocksdb(spark: SparkSession, run: Callable[[], None]) -> None:
 
 
 def typing_totals(keys: DataFrame, session: str, stop: str = T.OFF, ttl_ms: int | None = None) -> DataFrame:
-    """session, seq (the last key's), TOTALS of a stream of keys (session, seq, key, texts: the session's blocks).
+    """session, seq (the last key's), TOTALS of a stream of keys (session, seq, key, texts: the session's blocks, or null but in the first batch).
 
     The state is a session's blocks, states and counters; a session without keys for `ttl_ms` is forgotten. With a limit
     the stream makes batches as long as it runs, so it needs a trigger that repeats. Keys count in the order of their batches: one
@@ -179,8 +179,11 @@ def typing_totals(keys: DataFrame, session: str, stop: str = T.OFF, ttl_ms: int
             state.remove()
             return
         own, last = pickle.loads(state.get[0]) if state.exists else (None, -1)
-        for row in pd.concat(list(parts)).sort_values("seq").itertuples():
-            own = own or T.Session(list(row.texts), stop)
+        rows = pd.concat(list(parts)).sort_values("seq")
+        if own is None:
+            said = rows["texts"].dropna()
+            own = T.Session(list(said.iloc[0]) if len(said) else [], stop)
+        for row in rows.itertuples():
             if row.seq > last:
                 own.key(row.key)
                 last = int(row.seq)
@@ -249,13 +252,18 @@ def stateful_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared(spark, "keys")
     keys, turns = lessons.replay_keys(spark, sf_dir)
     texts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("own")).select("conv_id", F.transform("own", lambda b: b["text"]).alias("texts"))
-    rows = keys.join(texts, "conv_id").withColumn("half", (F.col("seq") % 1_000_000_000 >= 400).cast("int") + F.floor(F.col("seq") / 1_000_000_000) * 2)
-    cut = rows.groupBy("conv_id").agg((F.max("half") / 2).alias("_cut"))
-    rows = rows.join(cut, "conv_id").withColumn("late", F.col("half") > F.col("_cut")).drop("half", "_cut")
-    for late in (False, True):
-        rows.filter(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.drop("late").schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = latest(typing_totals(stream, "conv_id"), "conv_id", "seq", f"{folder}-out")
+    half = lambda seq: (seq % 1_000_000_000 >= 400).cast("int") + F.floor(seq / 1_000_000_000) * 2
+    cut = keys.groupBy("conv_id").agg((F.max(half(F.col("seq"))) / 2).alias("_cut"))
+    rows = keys.join(cut, "conv_id").withColumn("late", half(F.col("seq")) > F.col("_cut")).drop("_cut")
+    # A session's blocks come with a row of their own, not with each key: its key is none.
+    first = texts.select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("key"), F.lit(False).alias("late"), "texts")
+    rows = rows.withColumn("texts", F.lit(None).cast("array<string>")).unionByName(first)
+    rows.write.partitionBy("late").parquet(folder)
+    stream, out = spark.readStream.schema(rows.drop("late").schema), None
+    for late in ("false", "true"):
+        spark.read.schema(rows.drop("late").schema).parquet(f"{folder}/late={late}").write.mode("append").parquet(f"{folder}-in")
+        with_rocksdb(spark, lambda: latest(typing_totals(stream.parquet(f"{folder}-in"), "conv_id"), "conv_id", "seq", f"{folder}-out"))
+    out = Store(spark, f"{folder}-out", {"latest": "conv_id"}).read("latest")
     return out.select("conv_id", "total", "right", "block", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
 
 

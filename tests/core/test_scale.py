@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import geometry as G
 from lectern.functions import names as N
 from lectern.operators import clean, labels, repair
+from lectern.streaming import reading
 
 
 def test_labels_of_large_ids(spark, tmp_path):
@@ -54,3 +55,14 @@ def test_trims_without_patterns(spark):
     rows = spark.createDataFrame([(f"{c}a{c} b{c}",) for c in chars], "t string")
     old = F.regexp_replace("t", f"^{N.ANY_SPACE}+|{N.ANY_SPACE}+$", "")
     assert rows.filter(old != N.any_trim(F.col("t"))).count() == 0
+
+
+def test_blocks_of_a_session_come_once(spark, tmp_path):
+    """Keys bring no copy of their session's blocks; those come with a row of their own, and later batches need none."""
+    kind, folder = "s long, seq long, key string, texts array<string>", f"{tmp_path}/in"
+    put = lambda *own: spark.createDataFrame(list(own), kind).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: reading.latest(reading.typing_totals(spark.readStream.schema(kind).parquet(folder), "s"), "s", "seq", f"{tmp_path}/out")
+    put((1, 0, "a", None), (1, -1, None, ["ab", "c"]), (1, 1, "x", None))
+    run()
+    put((1, 2, "Enter", None), (1, 3, "c", None))
+    assert [(r.seq, r.total, r.right, r.block, r.correct, r.incorrect) for r in run().collect()] == [(3, 4, 3, 1, 2, 1)]
