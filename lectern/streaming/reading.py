@@ -89,8 +89,8 @@ def latest(stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:
 class Quiet(StatefulProcessor):
     """Stretches of activity of a key that end when nothing came for `gap` microseconds of event time.
 
-    The state is the open stretches by start; a timer at a stretch's end closes it once the watermark is there. Rows that
-    come out of order open, lengthen or join stretches, whichever batch brings them.
+    The state is one value, the open stretches by start; one timer, at the end of the stretch that ends first, closes what the
+    watermark has passed. Rows that come out of order open, lengthen or join stretches, whichever batch brings them.
     """
 
     def __init__(self, gap: int, key: str):
@@ -98,14 +98,13 @@ class Quiet(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", "last long, n long, value long")
+        self.open = handle.getValueState("open", "whole array<struct<start: long, last: long, n: long, value: long>>, timer long")
 
     def _timer(self, last: int) -> int:
         return -(-(last + self.gap) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = [(k[0], *v) for k, v in self.open.iterator()] if self.open.exists() else []
-        before = {f[0]: f for f in found}
+        found, timer = self._held()
         for part in rows:
             found += [(t, t, 1, v) for t, v in zip(part["us"].tolist(), part["value"].tolist(), strict=True)]
         whole: list[tuple] = []
@@ -115,25 +114,29 @@ class Quiet(StatefulProcessor):
                 whole[-1] = (s, max(l, last), m + n, value if last > l else max(v, value) if last == l else v)
             else:
                 whole.append((start, last, n, value))
-        kept = {w[0]: w for w in whole}
-        for start, old in before.items():
-            if kept.get(start) != old:
-                self.open.removeKey((start,))
-                self.handle.deleteTimer(self._timer(old[1]))
-        for start, own in kept.items():
-            if before.get(start) != own:
-                self.open.updateValue((start,), own[1:])
-        for own in kept.values():
-            self.handle.registerTimer(self._timer(own[1]))
+        self._keep(whole, timer)
         return iter(())
 
+    def _held(self) -> tuple[list[tuple], int | None]:
+        """(open stretches, the timer that is set)"""
+        own = self.open.get() if self.open.exists() else None
+        return ([tuple(s) for s in own[0]], own[1]) if own else ([], None)
+
+    def _keep(self, whole: list[tuple], timer: int | None) -> None:
+        first = min((self._timer(w[1]) for w in whole), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.open.clear()
+            return
+        self.open.update((whole, first))
+        if timer != first:
+            self.handle.registerTimer(first)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for k, v in list(self.open.iterator()):
-            start, (last, n, value) = k[0], v
-            if self._timer(last) <= now:
-                out.append((key[0], start, last + self.gap, last + self.gap - start, n, value))
-                self.open.removeKey((start,))
+        now, (found, _) = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._held()
+        out = [(key[0], start, last + self.gap, last + self.gap - start, n, value) for start, last, n, value in found if self._timer(last) <= now]
+        self._keep([s for s in found if self._timer(s[1]) > now], None)  # the timer that is due is gone by itself
         if out:
             yield pd.DataFrame(out, columns=[self.key, "started", "paused", "active_us", "events", "value"])
 
@@ -231,11 +234,11 @@ def stream_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     eighth = F.least(F.lit(7), F.floor(8 * (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)))))
+    # An eighth is a batch, however many files it has: no more batches on larger tables.
     for k in range(8):
         events.filter(eighth == k).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    rows = quiet(stream, "user_id", "ts", "event_id", GAP_US, f"{LATE_DAYS} days")
-    with_rocksdb(spark, lambda: run_to_end(rows, "append", lambda out, batch: out.write.mode("overwrite").parquet(f"{folder}-out/batch={batch}"), f"{folder}-checkpoint"))
+        rows = quiet(spark.readStream.schema(events.schema).parquet(folder), "user_id", "ts", "event_id", GAP_US, f"{LATE_DAYS} days")
+        with_rocksdb(spark, lambda: run_to_end(rows, "append", lambda out, batch: out.write.mode("overwrite").parquet(f"{folder}-out/batch={batch}"), f"{folder}-checkpoint"))
     return spark.read.schema(rows.schema).parquet(f"{folder}-out").select(*rows.columns)
 
 

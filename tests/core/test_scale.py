@@ -66,3 +66,14 @@ def test_blocks_of_a_session_come_once(spark, tmp_path):
     run()
     put((1, 2, "Enter", None), (1, 3, "c", None))
     assert [(r.seq, r.total, r.right, r.block, r.correct, r.incorrect) for r in run().collect()] == [(3, 4, 3, 1, 2, 1)]
+
+
+def test_pauses_take_as_many_batches_of_more_files(spark, tmp_path):
+    """An eighth of the time is a batch, of however many files."""
+    import glob
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/pauses-*-out/batch=*"))
+    reading.stream_pauses(spark, str(tmp_path))
+    assert 8 <= len(set(glob.glob(f"{shared}/pauses-*-out/batch=*")) - before) <= 17
