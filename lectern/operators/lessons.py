@@ -146,27 +146,30 @@ def opened(blocks: DataFrame, bookmarks: DataFrame, book: str, target: int) -> D
     """
     kind = blocks.schema[book].dataType.simpleString()
 
-    def open_(rows, own):
-        out = []
-        it = book_of(rows) if len(rows) else None
-        for r in own.itertuples():
-            at, said = (int(r.section), int(r.block), int(r.char)), json.loads(r.navigation) if r.navigation else None
+    def open_(rows):
+        """Rows of a book: (0, section, block, included, kind, text, ...) for blocks, then (1, section, block, ..., char, signature, navigation)."""
+        own = [r for r in rows if r[0]]
+        if not own:
+            return []
+        it, out = book_of(r[1:6] for r in rows if not r[0]) if not rows[0][0] else None, []
+        for _, section, block, _, _, _, char, signature, navigation in own:
+            at, said = (section, block, char), json.loads(navigation) if navigation else None
             if it is None or not it.open:
-                out.append((own.iloc[0, 0], "empty", *at, 0))
-                continue
-            name, end = own.iloc[0, 0], last_place(it)
-            if usable(it, at, r.signature, said):
+                out.append(("empty", *at, 0))
+            elif usable(it, at, signature, said):
                 start = tuple(said["frontier"]["start"])
-                out.append((name, "kept" if at == start else "snapped", *start, len(said["history"])))
-            elif at >= end:
-                out.append((name, "ended", *at, 0))
+                out.append(("kept" if at == start else "snapped", *start, len(said["history"])))
+            elif at >= last_place(it):
+                out.append(("ended", *at, 0))
             else:
-                out.append((name, "seeded", *it.anchor(at, target).start, len(it.recent(at, target))))
-        return pd.DataFrame(out, columns=[book, "outcome", "section", "block", "char", "history"])
+                out.append(("seeded", *it.anchor(at, target).start, len(it.recent(at, target))))
+        return out
 
-    left = blocks.select(book, "section", "block", "included", "kind", "text").groupBy(book)
-    right = bookmarks.select(F.col(book).alias("book_"), "section", "block", "char", "signature", "navigation").groupBy("book_")
-    return left.cogroup(right).applyInPandas(open_, f"{book} {kind}, outcome string, section long, block long, char long, history long")
+    place = [F.col(c).cast("long").alias(c) for c in ("section", "block")]
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    left = blocks.select(book, F.lit(0).alias("_side"), *place, "included", "kind", "text", none("char", "long"), none("signature", "string"), none("navigation", "string"))
+    right = bookmarks.select(book, F.lit(1).alias("_side"), *place, none("included", "boolean"), none("kind", "string"), none("text", "string"), F.col("char").cast("long").alias("char"), "signature", "navigation")
+    return folded(left.unionByName(right), [book], ["_side", "section", "block"], open_, f"{book} {kind}, outcome string, section long, block long, char long, history long")
 
 
 def replayed(keys: DataFrame, blocks: DataFrame, session: str, stop: str = T.OFF) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import names as N
-from lectern.operators import clean, labels, repair
+from lectern.operators import clean, labels, lessons, repair
 from lectern.streaming import reading
 
 
@@ -77,3 +77,13 @@ def test_pauses_take_as_many_batches_of_more_files(spark, tmp_path):
     before = set(glob.glob(f"{shared}/pauses-*-out/batch=*"))
     reading.stream_pauses(spark, str(tmp_path))
     assert 8 <= len(set(glob.glob(f"{shared}/pauses-*-out/batch=*")) - before) <= 17
+
+
+def test_books_are_opened_without_a_frame_each(spark):
+    """Books stream through sorted partitions; null and long keys, and sides without the other, as before."""
+    big = 2**53 + 1
+    blocks = spark.createDataFrame([(b, 0, 0, True, "paragraph", "one two three. " * 20) for b in (big, None, 5)], "book long, section int, block int, included boolean, kind string, text string")
+    marks = spark.createDataFrame([(big, 0, 0, 4, "s", None), (None, 0, 0, 9999, "s", None), (8, 1, 2, 3, "s", None)], "book long, section int, block int, char int, signature string, navigation string")
+    out = lessons.opened(blocks, marks, "book", 100)
+    assert "CoGroup" not in out._jdf.queryExecution().toString()
+    assert {r.book: (r.outcome, r.section, r.block, r.char) for r in out.collect()} == {big: ("seeded", 0, 0, 4), None: ("ended", 0, 0, 9999), 8: ("empty", 1, 2, 3)}
