@@ -90,6 +90,7 @@ def structured(files: DataFrame) -> DataFrame:
 
 
 PDF_ITEMS = "book string, page int, place long, text string, x double, y double, width double, height double"
+ITEMS = 5000  # of many pages go on together
 PDF_FACTS = "book string, path string, title string, author string, pages int, failed string, outline array<struct<title: string, page: int>>"
 
 
@@ -114,6 +115,7 @@ def pdf_items(files: DataFrame) -> DataFrame:
     """PDF_ITEMS of PDF files that can be read: each shown string with its place."""
 
     def run(batches):
+        names, out = ["book", "page", "place", "text", "x", "y", "width", "height"], []
         for batch in batches:
             for r in batch.itertuples(index=False):
                 try:
@@ -121,7 +123,12 @@ def pdf_items(files: DataFrame) -> DataFrame:
                 except ValueError:
                     continue
                 for k, page in enumerate(own.pages):
-                    yield pd.DataFrame([(r.book, k, i, *item) for i, item in enumerate(page.items)], columns=["book", "page", "place", "text", "x", "y", "width", "height"])
+                    out += [(r.book, k, i, *item) for i, item in enumerate(page.items)]
+                    if len(out) >= ITEMS:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return files.select("book", "content").mapInPandas(run, PDF_ITEMS)
 
