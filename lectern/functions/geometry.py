@@ -7,11 +7,14 @@ import re
 from statistics import median
 from typing import NamedTuple
 
+import numpy as np
+
 # Fixed values.
 ROW_SLACK, LEAST_SLACK, SPACE_SHARE, LEAST_SPACE = 0.35, 1.5, 0.12, 0.5
 COLUMN_GAP, COLUMN_FONTS, ORDER_GAP, ORDER_FONTS, WIDTH_PER_CHAR = 48, 5, 80, 6, 0.5
 GAP_RATIO, GAP_FONTS, FONT_RATIO, INDENT_FONTS, ALIGN_FONTS = 1.55, 1.45, 1.28, 1.2, 0.9
 WIDE, PROSE_WIDE, CONTINUED, CAPITALIZED, RAGGED, VERSE_WIDE = 0.68, 0.67, 0.5, 0.75, 0.38, 0.75
+LONG_ROW = 64  # items; the sums of longer rows are made one by one
 ROUNDING = 1e-9  # of the widest line: a width that is just its share is not parted from it by the unit it is measured in
 
 
@@ -95,7 +98,11 @@ def lines_of(items: list[Item]) -> list[Line]:
         for g in groups:
             left = min(i.x for i in g)
             lines.append(Line(said(g), left, y, max(i.right for i in g) - left, middle(i.font for i in g)))
-    lines = [line for line in lines if line.text]
+    return in_order([line for line in lines if line.text], parted)
+
+
+def in_order(lines: list[Line], parted: bool) -> list[Line]:
+    """Lines as they are read: from the top, of two columns (some row was parted) the left one first."""
     if parted and len(lines) >= 4:
         xs = sorted(line.x for line in lines)
         gap, at = max(((b - a, -k) for k, (a, b) in enumerate(zip(xs, xs[1:], strict=False))), default=(0, 0))
@@ -105,6 +112,96 @@ def lines_of(items: list[Item]) -> list[Line]:
     return sorted(lines, key=lambda line: (-line.y, line.x))
 
 
+def middles(values: np.ndarray, groups: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The median of each group; groups are numbered and lie together."""
+    if values[0] == values.min() == values.max():
+        return np.full(len(starts), values[0])
+    own = values[np.lexsort((values, groups))]
+    low, high = own[starts + (sizes - 1) // 2], own[starts + sizes // 2]
+    return np.where(sizes % 2 == 1, low, (low + high) / 2)
+
+
+def sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each group, added from its first value on, as a running sum has it."""
+    by = np.argsort(-sizes, kind="stable")
+    out, begin, size = np.zeros(len(starts)), starts[by], sizes[by]
+    for k in range(min(int(size[0]), LONG_ROW)):
+        n = int(np.searchsorted(-size, -k))  # those of more than k
+        out[:n] += values[begin[:n] + k]
+    for k in range(int(np.searchsorted(-size, -LONG_ROW))):
+        out[k] = np.cumsum(np.concatenate((out[k : k + 1], values[begin[k] + LONG_ROW : begin[k] + size[k]])))[-1]
+    back = np.empty_like(out)
+    back[by] = out
+    return back
+
+
+def lines_of_pages(page: np.ndarray, text: list, x: np.ndarray, y: np.ndarray, width: np.ndarray, height: np.ndarray, place: np.ndarray):
+    """(page, line, text, x, y, width, font) as columns: lines_of() of many pages, whose items lie together; no value is NaN.
+
+    Where rows are far apart and each within the slack, a row is a run of items from the top; pages with other rows go through
+    lines_of() one by one, and of pages with several columns the order of their lines.
+    """
+    keep = np.fromiter((bool(t) and not t.isspace() for t in text), bool, len(text))
+    at = np.flatnonzero(keep)
+    if not len(at):
+        return page[:0], page[:0], [], x[:0], x[:0], x[:0], x[:0]
+    page, x, y, width, height, place = (c[at] for c in (page, x, y, width, height, place))
+    font, n = np.maximum(1.0, np.abs(height)), len(at)
+    starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    own = np.repeat(np.arange(len(starts)), sizes)
+    slack = np.maximum(LEAST_SLACK, middles(font, own, starts, sizes) * ROW_SLACK)
+    order = np.lexsort((place, x, -y, own))
+    down = y[order]
+    # A running mean may leave its values by so much, through rounding.
+    doubt = (4e-16 * (sizes + 4) * np.maximum.reduceat(np.abs(y), starts))[own]
+    gap, most = np.r_[np.inf, down[:-1] - down[1:]], slack[own]
+    gap[starts] = np.inf
+    top = np.flatnonzero(gap > most)
+    many = np.diff(np.r_[top, n])
+    spread = down[top] - down[top + many - 1]
+    odd = np.zeros(len(starts), bool)
+    odd[own[np.abs(gap - most) <= doubt]] = True
+    odd[own[top[spread > most[top] - doubt[top]]]] = True
+    mean = sums(down, top, many) / many
+    row = np.repeat(np.arange(len(top)), many)
+    # `order` lists items by row; now from left to right in it.
+    order = order[np.lexsort((place[order], x[order], row))]
+    left, right, size = x[order], (x + np.maximum(0.0, width))[order], font[order]
+    begins = np.r_[True, row[1:] != row[:-1]]
+    away, larger, smaller = np.r_[np.inf, left[1:] - right[:-1]], np.r_[1.0, np.maximum(size[1:], size[:-1])], np.r_[1.0, np.minimum(size[1:], size[:-1])]
+    begins |= away > np.maximum(COLUMN_GAP, larger * COLUMN_FONTS)
+    apart = ~begins & (away > np.maximum(LEAST_SPACE, smaller * SPACE_SHARE))
+    first = np.flatnonzero(begins)
+    length = np.diff(np.r_[first, n])
+    of = np.repeat(np.arange(len(first)), length)
+    said_ = [f" {text[k]}" if a else text[k] for k, a in zip(at[order].tolist(), apart.tolist(), strict=True)]
+    texts = [" ".join("".join(said_[a:b]).split()) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+    lines_page, lines_x, lines_y = own[first], left[first], mean[row[first]]
+    lines_width, lines_font = np.maximum.reduceat(right, first) - lines_x, middles(size, of, first, length)
+    several = np.bincount(lines_page, minlength=len(starts)) > np.bincount(own[top], minlength=len(starts))
+    special = np.flatnonzero(odd | several)
+    if len(special):
+        ends = np.searchsorted(lines_page, np.arange(len(starts) + 1))
+        line_of = lambda k: Line(texts[k], float(lines_x[k]), float(lines_y[k]), float(lines_width[k]), float(lines_font[k]))
+        made = {}
+        for p in special.tolist():
+            if odd[p]:
+                rows = range(starts[p], starts[p] + sizes[p])
+                made[p] = lines_of([Item(text[at[k]], float(x[k]), float(y[k]), float(width[k]), float(height[k]), int(place[k])) for k in rows])
+            else:
+                made[p] = in_order([line_of(k) for k in range(ends[p], ends[p + 1])], True)
+        plain = ~(odd | several)[lines_page]
+        texts = [t for t, p in zip(texts, plain.tolist(), strict=True) if p] + [line.text for lines in made.values() for line in lines]
+        more = np.array([line[1:] for lines in made.values() for line in lines], float).reshape(-1, 4)
+        lines_page = np.r_[lines_page[plain], np.repeat(np.array(list(made)), [len(lines) for lines in made.values()])]
+        lines_x, lines_y, lines_width, lines_font = (np.r_[c[plain], more[:, k]] for k, c in enumerate((lines_x, lines_y, lines_width, lines_font)))
+        by = np.argsort(lines_page, kind="stable")
+        texts, lines_page, lines_x, lines_y, lines_width, lines_font = [texts[k] for k in by.tolist()], lines_page[by], lines_x[by], lines_y[by], lines_width[by], lines_font[by]
+    begun = np.searchsorted(lines_page, lines_page)
+    return page[starts][lines_page], np.arange(len(lines_page)) - begun, texts, lines_x, lines_y, lines_width, lines_font
+
+
 def runs_of(lines: list[Line]) -> list[list[Line]]:
     """Lines from top to bottom, cut at wide gaps, changes of font and, from the third line on, indents."""
     lines = sorted(lines, key=lambda line: (-line.y, line.x))

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import names as N
-from lectern.plans.stages import folded
+from lectern.plans.stages import folded, folded_tables
 
 # Fixed values.
 EDGE, EDGE_LENGTH, LEAST_PAGES, SHARE_OF_PAGES = 2, 120, 3, 0.6
 OUTLINE, RANGE = 80, 20
+ITEM = (("text", "string"), ("x", "double"), ("y", "double"), ("width", "double"), ("height", "double"), ("place", "long"))
+RUN = 64  # words
 LINE = "text string, x double, y double, width double, font double"
 
 
@@ -21,16 +26,42 @@ def _number(value) -> float:
     return math.nan if value is None else value
 
 
-def page_lines(items: DataFrame, *keys: str) -> DataFrame:
-    """keys, line (from 0), text, x, y, width, font of items (keys, place, text, x, y, width, height); a page is a task's unit."""
-
-    def fold(rows):
-        own = [G.Item(text, _number(x), _number(y), width, _number(height), place) for text, x, y, width, height, place in rows]
-        return [(k, *line) for k, line in enumerate(G.lines_of(own))]
+def page_lines(items: DataFrame, *keys: str, gathered: bool = False) -> DataFrame:
+    """keys, line (from 0), text, x, y, width, font of items (keys, place, text, x, y, width, height); a page is a task's unit.
+
+    Items may come as rows or as rows of several (keys, items: an array of the other columns). `gathered`: those of a page
+    already lie one after the other in one partition.
+    """
+
+    def fold(table, groups):
+        if "items" in table.column_names:
+            lists = table["items"].combine_chunks()
+            groups = np.repeat(groups, pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            table = pa.Table.from_arrays(lists.flatten().flatten(), names=[name for name, _ in ITEM])
+        numbers = [table[c].combine_chunks() for c in ("x", "y", "width", "height")]
+        values = [pc.fill_null(n, math.nan).to_numpy(zero_copy_only=False) for n in numbers]
+        # Pages with a number that is missing or none go one by one.
+        odd = np.unique(groups[~np.logical_and.reduce([np.isfinite(v) for v in values]) | pc.is_null(table["place"]).to_numpy()])
+        text = table["text"].to_numpy().tolist()
+        own = np.flatnonzero(~np.isin(groups, odd)) if len(odd) else np.arange(len(groups))
+        texts = text if len(own) == len(text) else [text[k] for k in own.tolist()]
+        page, *out = G.lines_of_pages(groups[own], texts, *(v[own] for v in values), pc.fill_null(table["place"], 0).to_numpy()[own])
+        if not len(odd):
+            return page, *out
+        made = []
+        for g in odd.tolist():
+            rows = [(text[k], *(_number(n[k].as_py()) for n in numbers[:2]), numbers[2][k].as_py(), _number(numbers[3][k].as_py()), table["place"][k].as_py()) for k in np.flatnonzero(groups == g).tolist()]
+            made += [(g, k, *line) for k, line in enumerate(G.lines_of([G.Item(*r) for r in rows]))]
+        more = list(zip(*made, strict=True)) or [()] * (len(out) + 1)
+        return np.r_[page, np.array(more[0], int)], *([*a, *b] for a, b in zip(out, more[1:], strict=True))
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "line int", LINE])
-    return folded(items.select(*keys, "text", "x", "y", "width", "height", "place"), list(keys), ["place"], fold, schema)
+    if "items" in items.columns:
+        rows = items.select(*keys, F.col("items").cast(f"array<struct<{', '.join(f'{name}: {kind}' for name, kind in ITEM)}>>").alias("items"))
+    else:
+        rows = items.select(*keys, *(F.col(name).cast(kind).alias(name) for name, kind in ITEM))
+    return folded_tables(rows, list(keys), fold, schema, gathered)
 
 
 def page_blocks(lines: DataFrame, *keys: str) -> DataFrame:
@@ -103,12 +134,25 @@ def repeated_edge_keys(spark, sf_dir):
     return repeated_edges(at_edges(_lines(spark, sf_dir), "source", "doc_id", "line"), "source", "doc_id")
 
 
+def _begun(words: Column) -> Column:
+    """Where each word begins, a space after each: by runs of words, so that a long line is not copied for every word."""
+    begun = lambda sizes, at: F.aggregate(sizes, F.struct(F.array().cast("array<int>").alias("out"), at.alias("at")), lambda acc, n: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + n).alias("at")), lambda acc: acc["out"])
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / RUN).cast("int")), lambda k: F.transform(F.slice(words, k * RUN + 1, RUN), lambda w: F.length(w) + 1))
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
+    return N.once(runs, lambda own: F.flatten(F.zip_with(own, begun(F.transform(own, total), F.lit(0)), begun)))
+
+
 def lines_of_items(spark, sf_dir):
     """Each word a piece at its own place, rows wavering by less than the slack; the lines come out again."""
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "said")).select("doc_id", "i", F.posexplode(F.split("said", " ")).alias("k", "text"))
-    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    items = words.select("doc_id", "text", (before * 7.0).alias("x"), (F.lit(1e6) - F.col("i") * 20 + F.col("k") % 2).alias("y"), (F.length("text") * 7.0).alias("width"), F.lit(10.0).alias("height"), (F.col("i") * 100_000 + F.col("k")).cast("long").alias("place"))
-    return page_lines(items, "doc_id").select("doc_id", F.col("line").cast("long").alias("line"), "text", "x", "width")
+    docs = _docs(spark, sf_dir).repartition("doc_id").sortWithinPartitions("doc_id")  # dealt as whole texts; what comes of one stays together
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "said"))
+
+    def pieces(words):
+        item = lambda w, k, at: F.struct(w.alias("text"), (at * 7.0).alias("x"), (F.lit(1e6) - F.col("i") * 20 + k % 2).alias("y"), (F.length(w) * 7.0).alias("width"), F.lit(10.0).alias("height"), (F.col("i") * 100_000 + k).cast("long").alias("place"))
+        return N.once(_begun(words), lambda begun: F.transform(words, lambda w, k: item(w, k, F.get(begun, k))))
+
+    items = lines.select("doc_id", N.once(F.split("said", " "), pieces).alias("items"))
+    return page_lines(items, "doc_id", gathered=True).select("doc_id", F.col("line").cast("long").alias("line"), "text", "x", "width")
 
 
 def blocks_of_lines(spark, sf_dir):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -57,3 +59,53 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str
             yield packed(out)
 
     return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def begins(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row's keys differ from those of the row before; a null is equal to a null. The first row begins."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        here, before = c.slice(1), c.slice(0, max(0, len(c) - 1))
+        out[1:] |= pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.xor(pc.is_null(here), pc.is_null(before))).to_numpy(zero_copy_only=False)
+    return out
+
+
+def folded_tables(rows: DataFrame, keys: list[str], fold, schema: str, gathered: bool = False) -> DataFrame:
+    """As folded(), for folds over columns: fold(table, groups) for tables of many whole groups at once, in no order within a group.
+
+    `groups` numbers each row's group from 0; fold returns the group of each row of its own and then its columns.
+    `gathered` says that the rows of a key already lie one after the other in one partition: they are not dealt and sorted again.
+    """
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    own = [f.name for f in shape][len(keys) :]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # all of one key, of which more may come
+
+        def done(parts):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            starts = begins([table[k].combine_chunks() for k in keys])
+            group, *columns = fold(table, np.cumsum(starts) - 1)
+            at = pa.array(np.flatnonzero(starts)[group])
+            made = [table[k].take(at).combine_chunks().cast(shape.field(k).type) for k in keys]
+            made += [c if isinstance(c, pa.Array) else pa.array(c, shape.field(n).type) for n, c in zip(own, columns, strict=True)]
+            return pa.RecordBatch.from_arrays(made, schema=shape)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch]
+            starts = np.flatnonzero(begins([pa.concat_arrays([p.column(k) for p in parts]) for k in keys])[len(parts) - 1 :])
+            if not len(starts):
+                held.append(batch)
+                continue
+            last = int(starts[-1])
+            whole, held = [*held, batch.slice(0, last)], [batch.slice(last)]
+            if any(p.num_rows for p in whole):
+                yield done(whole)
+        if held:
+            yield done(held)
+
+    rows = rows if gathered else rows.repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, schema)

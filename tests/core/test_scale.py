@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import names as N
 from lectern.operators import clean, labels, lessons, repair
+from lectern.operators.geometry import page_lines
 from lectern.streaming import reading
 
 
@@ -87,3 +89,34 @@ def test_books_are_opened_without_a_frame_each(spark):
     out = lessons.opened(blocks, marks, "book", 100)
     assert "CoGroup" not in out._jdf.queryExecution().toString()
     assert {r.book: (r.outcome, r.section, r.block, r.char) for r in out.collect()} == {big: ("seeded", 0, 0, 4), None: ("ended", 0, 0, 9999), 8: ("empty", 1, 2, 3)}
+
+
+def test_lines_of_many_pages_are_those_of_each():
+    """Columns of many pages give what lines_of() gives page by page: wavering rows, columns, ties, blanks, long rows."""
+    rng, pages = random.Random(8), []
+    for p in range(300):
+        rows = rng.choice([1, 3, 8])
+        step = rng.choice([1.0, 2.5, 4.0, 20.0])
+        pages.append([
+            (p, rng.choice(["a", "bc ", " d", "e\xa0f", " ", "", "wörter"]), rng.choice([0.0, 50.0, 400.0]) + rng.randrange(9) * 12.5, 700 - rng.randrange(rows) * step + rng.random() * rng.choice([0, 1, 3]), rng.choice([0.0, 10.0, 14.5]), rng.choice([10.0, 10.0, -12.0]), k)
+            for k in range(rng.choice([0, 1, 5, 40, 200]))
+        ])
+    expected = [(p, k, *line) for p, own in enumerate(pages) for k, line in enumerate(G.lines_of([G.Item(*i[1:]) for i in own]))]
+    columns = list(zip(*[i for own in pages for i in own]))
+    got = G.lines_of_pages(np.array(columns[0]), list(columns[1]), *map(np.array, columns[2:]))
+    assert list(zip(*(c.tolist() if isinstance(c, np.ndarray) else c for c in got))) == expected
+
+
+def test_items_in_rows_or_arrays(spark):
+    """Null keys are one page; a page goes on over batches; items with a number missing are read as before."""
+    rows = [(k, "w%d" % i, float(i * 60 % 7), 500.0 - i * 3, None if i == 5 else 9.0, 10.0, i) for k in (None, 2**53, 2**53 + 1) for i in range(40)]
+    kinds = "k long, text string, x double, y double, width double, height double, place long"
+    expected = sorted(((k is not None, k or 0, n, *line) for k in (None, 2**53, 2**53 + 1) for n, line in enumerate(G.lines_of([G.Item(*r[1:]) for r in rows if r[0] == k]))))
+    items = spark.createDataFrame(rows, kinds)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        nested = items.groupBy("k", F.col("place") % 3).agg(F.collect_list(F.struct("text", "x", "y", "width", "height", "place")).alias("items")).select("k", "items")
+        for own in (page_lines(items, "k"), page_lines(nested, "k")):
+            assert sorted((r[0] is not None, r[0] or 0, *r[1:]) for r in own.collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
