@@ -41,22 +41,36 @@ def group_kinds(groups: DataFrame, *keys: str, order: str = "line_index") -> Dat
         n.alias("lines"), F.max("w").alias("most"), F.min("w").alias("least"), (F.count_if(F.col("inside") & (F.col("w") >= F.col("most") * WIDE)) / inside).alias("wide"),
         (F.count_if(F.col("inside") & ~F.col("ends")) / inside).alias("continued"), (F.count_if("begins") / n).alias("capitalized"),
     )
+    return by.select(*keys, "lines", _group_kind().alias("kind"))
+
+
+def _group_kind() -> Column:
+    """The kind of a group by its lines, most, least, wide, continued, capitalized."""
     ragged = F.col("most") - F.col("least") > F.col("most") * RAGGED
     verse = ((F.col("lines") >= 2) & (F.col("most") < VERSE_WIDTH)) | ((F.col("lines") >= 3) & (F.col("capitalized") >= CAPITALIZED) & (ragged | (F.col("wide") < VERSE_WIDE)))
     prose = (F.col("wide") >= PROSE_WIDE) & (F.col("continued") >= CONTINUED) & ~verse
-    return by.select(*keys, "lines", F.when((F.col("lines") <= 1) | prose, "paragraph").otherwise("verse").alias("kind"))
+    return F.when((F.col("lines") <= 1) | prose, "paragraph").otherwise("verse")
 
 
 def text_blocks(lines: DataFrame, book: str, order: str = "line_index") -> DataFrame:
-    """book, section, block (the place of its first line), kind, text: headings, joined paragraphs, lines of verse."""
-    rows = grouped_lines(lines, book, order)
-    kinds = group_kinds(rows.filter("not heading"), book, "group", order=order)
-    body = rows.filter("not heading").join(kinds, [book, "group"])
-    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda r: N.any_trim(r["text"])), " ")
-    alone = body.filter("lines = 1 or kind = 'verse'").select(book, "section", F.col(order).alias("block"), F.when(F.col("lines") == 1, "paragraph").otherwise("verse").alias("kind"), "text")
-    joined = body.filter("lines > 1 and kind = 'paragraph'").groupBy(book, "section", "group").agg(F.min(order).alias("block"), one.alias("text"))
-    heads = rows.filter("heading").select(book, "section", F.col(order).alias("block"), F.lit("heading").alias("kind"), "text")
-    return heads.unionByName(alone).unionByName(joined.select(book, "section", "block", F.lit("paragraph").alias("kind"), "text"))
+    """book, section, block (the place of its first line), kind, text: headings, joined paragraphs, lines of verse.
+
+    A group, which a heading is as well, is put together once; it is dealt by its book as its lines are, so these move once.
+    """
+    said = N.any_trim(F.col("text"))
+    line = F.struct(F.col(order).alias("block"), "text", F.length(said).alias("w"), N.ends_sentence(F.col("text")).alias("ends"))
+    by = grouped_lines(lines, book, order).groupBy(book, "section", "group").agg(
+        F.array_sort(F.collect_list(line)).alias("own"), F.max("heading").alias("heading"), F.count("*").alias("lines"), F.max(F.length(said)).alias("most"), F.min(F.length(said)).alias("least"),
+        (F.count_if(N.begins_uppercase(F.col("text"))) / F.count("*")).alias("capitalized"),
+    )
+    inside = F.slice("own", F.lit(1), F.size("own") - 1)
+    share = lambda holds: F.size(F.filter(inside, holds)) / F.greatest(F.lit(1), F.size("own") - 1)
+    by = by.withColumn("wide", share(lambda l: l["w"] >= F.col("most") * WIDE)).withColumn("continued", share(lambda l: ~l["ends"]))
+    block = lambda at, kind, text: F.struct(at.alias("block"), F.lit(kind).alias("kind"), text.alias("text"))
+    each = lambda kind: F.transform("own", lambda l: block(l["block"], kind, l["text"]))
+    one = F.array(block(F.get("own", F.lit(0))["block"], "paragraph", F.array_join(F.transform("own", lambda l: N.any_trim(l["text"])), " ")))
+    made = F.when(F.col("heading"), each("heading")).when(F.col("lines") == 1, each("paragraph")).when(_group_kind() == "verse", each("verse")).otherwise(one)
+    return by.select(book, "section", F.inline(made))
 
 
 def numbered_sections(blocks: DataFrame, book: str, prefix: str, title: Column) -> DataFrame:

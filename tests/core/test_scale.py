@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import names as N
-from lectern.operators import clean, labels, lessons, repair
+from lectern.operators import clean, labels, lessons, repair, sections
 from lectern.operators.geometry import page_lines
 from lectern.streaming import reading
 
@@ -120,3 +120,11 @@ def test_items_in_rows_or_arrays(spark):
             assert sorted((r[0] is not None, r[0] or 0, *r[1:]) for r in own.collect()) == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def exchanges(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_lines_of_books_move_once(spark):
+    assert exchanges(sections.text_book_blocks(spark, "/root/testdata/sf0.001")) == 1
