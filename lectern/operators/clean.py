@@ -41,7 +41,8 @@ def dehyphenated(blocks: DataFrame, words: DataFrame, book: str, key: str) -> Da
 
     A break before or, and, to, nor, but stays; one whose halves make a word of the book is joined; others close the gap.
     """
-    broken = blocks.filter(F.col("text").rlike(BREAK))
+    breaks = F.coalesce(F.contains("text", F.lit("- ")) & F.col("text").rlike(BREAK), F.lit(False))
+    broken, plain = blocks.filter(breaks), blocks.filter(~breaks)  # whole blocks do not move
     parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(BREAK), 1).alias("a"), F.regexp_extract_all("text", F.lit(BREAK), 2).alias("b"))
     each = broken.select(book, key, F.posexplode(parts).alias("at", "p")).select(book, key, "at", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     each = each.withColumn("word", F.lower(F.concat("a", "b")))
@@ -51,7 +52,8 @@ def dehyphenated(blocks: DataFrame, words: DataFrame, book: str, key: str) -> Da
     put = known.select(key, F.struct("at", put.alias("put")).alias("s")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("_puts"))  # at most a block's breaks
     gaps = F.split("text", BREAK, -1)
     mended = F.array_join(F.zip_with(gaps, "_puts", lambda g, p: F.concat(g, F.coalesce(p["put"], F.lit("")))), "")
-    return blocks.join(put, key, "left").withColumn("text", F.when(F.col("_puts").isNull(), F.col("text")).otherwise(mended)).drop("_puts")
+    done = broken.join(put, key, "left").withColumn("text", F.when(F.col("_puts").isNull(), F.col("text")).otherwise(mended)).drop("_puts")
+    return plain.unionByName(done)
 
 
 def joined_blocks(blocks: DataFrame, words: DataFrame, book: str, section: str, order: str) -> DataFrame:
@@ -61,15 +63,18 @@ def joined_blocks(blocks: DataFrame, words: DataFrame, book: str, section: str,
     word, so its follower may meet the word begun at any earlier token: all these words are looked up at once (at most as many of
     a block as the longest word of the vocabulary has pairs of letters), and a fold over an island's blocks then takes those that count.
     """
-    by = Window.partitionBy(book, section).orderBy(order)
-    prev, text = F.lag("text").over(by), F.col("text")
-    may = F.coalesce((F.lag("kind").over(by) == F.col("kind")) & prev.rlike("[A-Za-z]{2,}-$") & text.rlike("^[a-z]{2,}"), F.lit(False))
-    marked = blocks.select(book, section, order, "kind", "text", may.alias("_may"))
-    marked = marked.withColumn("_next", F.coalesce(F.lead("_may").over(by), F.lit(False)))
-    marked = written(marked.withColumn("_island", F.sum((~F.col("_may")).cast("long")).over(by)), "islands")
-    plain = marked.filter("not _may and not _next").select(book, section, order, "kind", "text")
+    by, text = Window.partitionBy(book, section).orderBy(order), F.col("text")
+    # Which blocks could join is told by their ends; only what is found, the islands, meets the blocks.
+    ends = blocks.select(book, section, order, "kind", text.rlike("[A-Za-z]{2,}-$").alias("_cut"), text.rlike("^[a-z]{2,}").alias("_goes"))
+    may = F.coalesce((F.lag("kind").over(by) == F.col("kind")) & F.lag("_cut").over(by) & F.col("_goes"), F.lit(False))
+    ends = ends.select(book, section, order, may.alias("_may")).withColumn("_next", F.coalesce(F.lead("_may").over(by), F.lit(False)))
+    ends = ends.withColumn("_island", F.sum((~F.col("_may")).cast("long")).over(by)).filter("_may or _next")
+    ends = written(ends.select(F.col(book).alias("_b"), F.col(section).alias("_s"), F.col(order).alias("_o"), "_island"), "islands")
+    met = F.col(book).eqNullSafe(F.col("_b")) & F.col(section).eqNullSafe(F.col("_s")) & F.col(order).eqNullSafe(F.col("_o"))
+    plain = blocks.join(ends, met, "left_anti").select(book, section, order, "kind", "text")
+    marked = written(blocks.join(ends, met).select(book, section, order, "kind", "text", "_island"), "island-blocks")
     block = F.struct(F.col(order).alias("order"), "kind", "text")
-    own = marked.filter("_may or _next").groupBy(book, section, "_island").agg(F.array_sort(F.collect_list(block)).alias("bs"))
+    own = marked.groupBy(book, section, "_island").agg(F.array_sort(F.collect_list(block)).alias("bs"))
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     # Of each block: the letters at its end, the ones at its start, and the first block whose word it can go on.
     letters = F.transform("bs", lambda b: F.regexp_extract(b["text"], "([A-Za-z]{2,})-$", 1))
@@ -120,6 +125,7 @@ def without_running_heads(blocks: DataFrame, targets: DataFrame, structured: Dat
     """
     own = F.col("section") if "section" in targets.columns else F.lit(None)
     keys = targets.filter(F.trim("target") != "").join(structured.filter("structured"), book).select(F.col(book).alias("_b"), heading_key(F.col("target")).alias("_k"), own.alias("_s")).distinct()
+    keys = written(keys, "running-heads")  # mostly few, so that blocks need not move to meet them
     says = (F.col(book) == F.col("_b")) & (heading_key(F.col("text")) == F.col("_k")) & (F.col("kind") != "heading") & (F.length("text") <= HEAD_LENGTH)
     if "section" in targets.columns:
         says = says & (F.col("_s").isNull() | (F.col("_s") == F.col("section")))

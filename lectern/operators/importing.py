@@ -6,6 +6,9 @@ a book's facts and its sections' names come beside them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -152,56 +155,83 @@ def pdf_blocks(files: DataFrame) -> DataFrame:
 
 
 class Imported:
-    """books (book, path, title, author, language), sections (book, section, id, title, kind, included), blocks, warnings, rejected files."""
+    """books (book, path, title, author, language), sections (book, section, id, title, kind, included), blocks, warnings, rejected files.
+
+    Sections and blocks are made, and what they need is written, when they are first asked for.
+    """
+
+    def __init__(self, books: DataFrame, texts: Callable[[], tuple[DataFrame, DataFrame]], warnings: DataFrame, rejected: DataFrame):
+        self.books, self.warnings, self.rejected, self._texts = books, warnings, rejected, texts
+
+    @cached_property
+    def _both(self) -> tuple[DataFrame, DataFrame]:
+        return self._texts()
 
-    def __init__(self, books: DataFrame, sections: DataFrame, blocks: DataFrame, warnings: DataFrame, rejected: DataFrame):
-        self.books, self.sections, self.blocks, self.warnings, self.rejected = books, sections, blocks, warnings, rejected
+    @property
+    def sections(self) -> DataFrame:
+        return self._both[0]
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._both[1]
 
 
 def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
     """Raw books of files (path, content), each by its format; unknown formats and what can't be read are rejected.
 
-    Files of equal content are one book: that of the least path.
+    Files of equal content are one book: that of the least path. Which file stands for a book is told by names and hashes only;
+    a content moves once, with those of its format.
     """
     name = F.substring_index("path", "/", -1)
     rows = files.select("path", "content", book_format(name, F.lit("") if mime is None else mime).alias("format"), N.file_title(name).alias("title"), content_id(F.col("content")).alias("book"))
     unknown = rows.filter("format is null").select("path")
-    rows = rows.filter("format is not null").groupBy("book").agg(F.min_by(F.struct("path", "content", "format", "title"), "path").alias("f")).select("book", "f.*")
-    tree = written(structured(rows.filter(F.col("format").isin("epub", "html", "markdown"))), "parsed-files")  # each file is parsed once
-    texts = rows.filter("format = 'txt'").select("book", "path", "title", decoded("content").alias("text"))
-    lines = texts.select("book", "title", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line_index", "text"))
-    txt = text_blocks(lines, "book").join(texts.select("book", "title").distinct(), "book")
-    named = numbered_sections(txt, "book", "text", F.col("title")).withColumn("href", F.concat(F.lit("#"), F.col("id"))).drop("blocks")
-
-    pdfs = rows.filter("format = 'pdf'")
+    rows = rows.filter("format is not null")
+    chosen = written(rows.groupBy("book").agg(F.min_by(F.struct("path", "format", "title"), "path").alias("f")).select("book", "f.*"), "chosen-files")
+
+    def of(*formats: str) -> DataFrame:
+        """Each book of these formats that is the least of all its files; the least of a format is that one or none."""
+        own = rows.filter(F.col("format").isin(*formats)).groupBy("book").agg(F.min_by(F.struct("path", "content", "format", "title"), "path").alias("f")).select("book", "f.*")
+        return own.join(chosen.filter(F.col("format").isin(*formats)).select("book"), "book", "left_semi")
+
+    tree = written(structured(of("epub", "html", "markdown")), "parsed-files")  # each file is parsed once
+    pdfs = of("pdf")
     read = written(pdf_facts(pdfs), "pdf-facts")
-    ranges = pdf_sections(read).withColumn("section", F.row_number().over(Window.partitionBy("book").orderBy("start")) - 1)
-    paged = pdf_blocks(pdfs).join(ranges.select(F.col("book").alias("_b"), "section", "start", "stop"), (F.col("book") == F.col("_b")) & (F.col("page") >= F.col("start")) & (F.col("page") < F.col("stop")))
-    paged = paged.select("book", F.col("section").cast("long").alias("section"), (F.col("page") * 100_000 + F.col("block")).cast("long").alias("block"), "kind", "text")
-    place = (F.col("start") + 1).cast("string")
-    marked = ranges.select("book", F.col("section").cast("long").alias("section"), F.concat(F.lit("pdf-"), place).alias("id"), "title", F.concat(F.lit("#page="), place).alias("href"))
-
-    spread = tree.filter("failed is null").select("book", F.posexplode("sections").alias("section", "s"))
-    sections = spread.select("book", F.col("section").cast("long").alias("section"), "s.id", "s.title", "s.href").unionByName(named.select("book", "section", "id", "title", "href")).unionByName(marked)
-    kind = section_kind(F.col("id"), F.col("href"), F.col("title"))
-    sections = sections.withColumn("kind", F.when(F.col("href").startswith("#"), "body").otherwise(kind)).withColumn("included", included(F.col("kind")))
-    blocks = spread.select("book", F.col("section").cast("long").alias("section"), F.posexplode("s.blocks").alias("block", "b")).select("book", "section", F.col("block").cast("long").alias("block"), "b.kind", "b.text")
-    blocks = blocks.unionByName(txt.select("book", "section", F.col("block").cast("long").alias("block"), "kind", "text")).unionByName(paged)
-    facts = tree.filter("failed is null").select("book", "path", "title", "author", "language").unionByName(texts.select("book", "path", "title", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("language")))
-    facts = facts.unionByName(read.filter("failed is null").select("book", "path", "title", "author", F.lit(None).cast("string").alias("language")))
+    none = F.lit(None).cast("string")
+
+    def texts() -> tuple[DataFrame, DataFrame]:
+        lines = of("txt").select("book", F.posexplode(F.split(decoded("content"), "\r\n|\r|\n")).alias("line_index", "text"))
+        txt = written(text_blocks(lines, "book"), "text-blocks")
+        named = numbered_sections(txt, "book", "text", none).join(chosen.select("book", F.col("title").alias("_t")), "book")
+        named = named.select("book", "section", "id", F.coalesce("title", "_t").alias("title"), F.concat(F.lit("#"), F.col("id")).alias("href"))
+
+        ranges = pdf_sections(read).withColumn("section", F.row_number().over(Window.partitionBy("book").orderBy("start")) - 1)
+        paged = written(pdf_blocks(pdfs), "pdf-blocks").join(ranges.select(F.col("book").alias("_b"), "section", "start", "stop"), (F.col("book") == F.col("_b")) & (F.col("page") >= F.col("start")) & (F.col("page") < F.col("stop")))
+        paged = paged.select("book", F.col("section").cast("long").alias("section"), (F.col("page") * 100_000 + F.col("block")).cast("long").alias("block"), "kind", "text")
+        place = (F.col("start") + 1).cast("string")
+        marked = ranges.select("book", F.col("section").cast("long").alias("section"), F.concat(F.lit("pdf-"), place).alias("id"), "title", F.concat(F.lit("#page="), place).alias("href"))
+
+        spread = tree.filter("failed is null").select("book", F.posexplode("sections").alias("section", "s"))
+        sections = spread.select("book", F.col("section").cast("long").alias("section"), "s.id", "s.title", "s.href").unionByName(named).unionByName(marked)
+        kind = section_kind(F.col("id"), F.col("href"), F.col("title"))
+        sections = sections.withColumn("kind", F.when(F.col("href").startswith("#"), "body").otherwise(kind)).withColumn("included", included(F.col("kind")))
+        blocks = spread.select("book", F.col("section").cast("long").alias("section"), F.posexplode("s.blocks").alias("block", "b")).select("book", "section", F.col("block").cast("long").alias("block"), "b.kind", "b.text")
+        return sections, blocks.unionByName(txt.select("book", "section", F.col("block").cast("long").alias("block"), "kind", "text")).unionByName(paged)
+
+    facts = tree.filter("failed is null").select("book", "path", "title", "author", "language").unionByName(chosen.filter("format = 'txt'").select("book", "path", "title", none.alias("author"), none.alias("language")))
+    facts = facts.unionByName(read.filter("failed is null").select("book", "path", "title", "author", none.alias("language")))
     books = facts.withColumn("author", F.coalesce("author", F.lit("Unknown author"))).withColumn("language", F.coalesce("language", F.lit("und")))
     rejected = unknown.select("path", F.lit("unsupported format").alias("why"))
     for d in (tree, read):
         rejected = rejected.unionByName(d.filter("failed is not null").select("path", F.col("failed").alias("why")))
     warnings = tree.select("book", F.explode("warnings").alias("w")).select("book", "w.section", "w.code")
-    return Imported(books, sections, blocks, warnings, rejected)
+    return Imported(books, texts, warnings, rejected)
 
 
 def finalized(raw: Imported, accents: bool = True) -> tuple[DataFrame, DataFrame]:
     """(clean blocks: book, section, block, kind, text; warnings: book, section, code, n), from repair to the last split."""
-    blocks = written(raw.blocks.filter("text is not null"), "raw-blocks")
-    flags = repair.garbled_books(blocks, "book")
-    pieces = written(repair.recovered(repair.repaired(blocks, "book")), "pieces")
+    blocks = raw.blocks.filter("text is not null")
+    garbled = written(repair.garbled_books(blocks, "book").filter("garbled"), "garbled-books")  # few: blocks need not move to meet them
+    pieces = repair.recovered(repair.repaired(blocks, "book", garbled))
     order = F.col("block") * 1_000_000 + F.col("part")
     normal = written(text.normalized(pieces.withColumn("block", order).drop("part"), accents), "normal-blocks")
     dropped = normal.groupBy("book", "section").agg(F.sum("dropped").alias("n")).filter("n > 0").withColumn("code", F.lit("dropped-chars"))
@@ -214,7 +244,7 @@ def finalized(raw: Imported, accents: bool = True) -> tuple[DataFrame, DataFrame
     quiet = clean.without_noise(mended)
     targets = raw.books.select("book", F.explode(F.array("title", "author")).alias("target")).withColumn("section", F.lit(None).cast("long"))
     targets = targets.unionByName(raw.sections.select("book", F.col("title").alias("target"), "section"))
-    headless = written(clean.without_running_heads(quiet, targets, paged, "book"), "headless-blocks")
+    headless = clean.without_running_heads(quiet, targets, paged, "book")
     last = clean.split_long(headless).withColumn("block", F.col("block") * 1000 + F.col("part")).drop("part")
 
     def fewer(before: DataFrame, after: DataFrame, code: str, sign: int = 1) -> DataFrame:
@@ -222,9 +252,9 @@ def finalized(raw: Imported, accents: bool = True) -> tuple[DataFrame, DataFrame
         both = count(before, "x").join(count(after, "y"), ["book", "section"], "left")
         return both.select("book", "section", (sign * (F.col("x") - F.coalesce("y", F.lit(0)))).alias("n")).filter("n > 0").withColumn("code", F.lit(code))
 
-    moji = flags.filter("garbled").select("book", F.lit(None).cast("long").alias("section"), F.col("hits").alias("n"), F.lit("mojibake-repaired").alias("code"))
+    moji = garbled.select("book", F.lit(None).cast("long").alias("section"), F.col("hits").alias("n"), F.lit("mojibake-repaired").alias("code"))
     empty = raw.sections.select("book", "section").join(last, ["book", "section"], "left_anti").select("book", "section", F.lit(1).cast("long").alias("n"), F.lit("empty-section").alias("code"))
-    parts = [dropped, fewer(blocks, pieces, "paragraphs-recovered", -1), fewer(mended, quiet, "noise-dropped"), fewer(quiet, headless, "running-heads-removed"), fewer(headless, last, "blocks-split", -1), moji, empty]
+    parts = [dropped, fewer(blocks, normal, "paragraphs-recovered", -1), fewer(mended, quiet, "noise-dropped"), fewer(quiet, headless, "running-heads-removed"), fewer(headless, last, "blocks-split", -1), moji, empty]
     warnings = parts[0].select("book", "section", "code", F.col("n").cast("long").alias("n"))
     for p in parts[1:]:
         warnings = warnings.unionByName(p.select("book", "section", "code", F.col("n").cast("long").alias("n")))

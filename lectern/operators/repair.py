@@ -36,10 +36,10 @@ def garbled_books(blocks: DataFrame, book: str) -> DataFrame:
     return by.select(book, "hits", ((F.col("hits") >= LEAST_HITS) & (F.col("hits") / F.greatest(F.lit(1.0), F.col("size") / PER) >= LEAST_DENSITY)).alias("garbled"))
 
 
-def repaired(blocks: DataFrame, book: str) -> DataFrame:
-    """Blocks with the text of garbled books undone where it can be."""
-    flags = garbled_books(blocks, book).select(book, "garbled")
-    out = blocks.join(flags, book)
+def repaired(blocks: DataFrame, book: str, garbled: DataFrame | None = None) -> DataFrame:
+    """Blocks with the text of garbled books undone where it can be; `garbled` are these books, if they are known."""
+    flags = (garbled_books(blocks, book) if garbled is None else garbled).select(book, "garbled")
+    out = blocks.join(flags, book, "inner" if garbled is None else "left")
     return out.withColumn("text", F.when(F.col("garbled"), F.coalesce(undone(F.col("text")), F.col("text"))).otherwise(F.col("text"))).drop("garbled")
 
 

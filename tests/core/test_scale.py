@@ -1,13 +1,14 @@
 """What failed or was slow on larger tables."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
 from lectern.functions import names as N
-from lectern.operators import clean, labels, lessons, repair, sections
+from lectern.operators import clean, importing, labels, lessons, repair, sections
 from lectern.operators.geometry import page_lines
 from lectern.streaming import reading
 
@@ -128,3 +129,29 @@ def exchanges(rows):
 
 def test_lines_of_books_move_once(spark):
     assert exchanges(sections.text_book_blocks(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_texts_of_an_import_move_once(spark, monkeypatch):
+    """Blocks are written as they are read, normal and mended, and meet what is told of few of them without moving."""
+    seen, write = set(), importing.written
+
+    def noted(rows, name):
+        seen.add(name)
+        return write(rows, name)
+
+    for module in (importing, clean):
+        monkeypatch.setattr(module, "written", noted)
+    importing.import_files(spark, "/root/testdata/sf0.001")
+    assert not {"raw-blocks", "pieces", "headless-blocks"} & seen
+    blocks = spark.createDataFrame([("b", "x")], "book string, text string")
+    garbled = write(spark.createDataFrame([("c", True)], "book string, garbled boolean"), "garbled-books")
+    assert not re.search("(?<!Broadcast)Exchange ", repair.repaired(blocks, "book", garbled)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_the_least_path_of_equal_files_of_any_format(spark):
+    one, two = b"<p>One</p>", b"<p>Two</p>"
+    files = spark.createDataFrame([("b.html", one), ("a.txt", one), ("c.txt", one), ("d.txt", two), ("c.html", two), ("a.bin", two)], "path string, content binary")
+    raw = importing.parsed(files)
+    assert sorted(r.path for r in raw.books.collect()) == ["a.txt", "c.html"]
+    assert sorted(r.text for r in raw.blocks.collect()) == ["<p>One</p>", "Two"]
+    assert [(r.path, r.why) for r in raw.rejected.collect()] == [("a.bin", "unsupported format")]
