@@ -332,7 +332,7 @@ def _packed(talks: DataFrame) -> DataFrame:
 
 def epub_sections(spark, sf_dir):
     talks = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    raw = parsed(_packed(talks))
+    raw = parsed(written(_packed(talks), "packed-files"))  # read several times
     said = raw.blocks.groupBy("book", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda b: N.squeezed(b["text"])), "|").alias("said"))
     rows = raw.books.join(raw.sections, "book").select("book", "section", F.regexp_extract("path", "([0-9]+)\\.epub$", 1).cast("long").alias("conv_id"), "id", raw.sections["title"].alias("title"), "kind")
     return rows.join(said, ["book", "section"], "left").select("conv_id", "section", "id", "title", "kind", F.coalesce("said", F.lit("")).alias("said"))

@@ -155,3 +155,7 @@ def test_the_least_path_of_equal_files_of_any_format(spark):
     assert sorted(r.path for r in raw.books.collect()) == ["a.txt", "c.html"]
     assert sorted(r.text for r in raw.blocks.collect()) == ["<p>One</p>", "Two"]
     assert [(r.path, r.why) for r in raw.rejected.collect()] == [("a.bin", "unsupported format")]
+
+
+def test_books_are_packed_once(spark):
+    assert "FlatMapGroupsInPandas" not in importing.epub_sections(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
