@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
@@ -131,7 +132,8 @@ def test_lines_of_books_move_once(spark):
     assert exchanges(sections.text_book_blocks(spark, "/root/testdata/sf0.001")) == 1
 
 
-def test_texts_of_an_import_move_once(spark, monkeypatch):
+@pytest.mark.parametrize("query", ["import_files", "import_warnings"])
+def test_texts_of_an_import_move_once(spark, monkeypatch, query):
     """Blocks are written as they are read, normal and mended, and meet what is told of few of them without moving."""
     seen, write = set(), importing.written
 
@@ -141,7 +143,7 @@ def test_texts_of_an_import_move_once(spark, monkeypatch):
 
     for module in (importing, clean):
         monkeypatch.setattr(module, "written", noted)
-    importing.import_files(spark, "/root/testdata/sf0.001")
+    importing.QUERIES[query](spark, "/root/testdata/sf0.001")
     assert not {"raw-blocks", "pieces", "headless-blocks"} & seen
     blocks = spark.createDataFrame([("b", "x")], "book string, text string")
     garbled = write(spark.createDataFrame([("c", True)], "book string, garbled boolean"), "garbled-books")
