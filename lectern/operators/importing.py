@@ -188,9 +188,10 @@ def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
     rows = rows.filter("format is not null")
     chosen = written(rows.groupBy("book").agg(F.min_by(F.struct("path", "format", "title"), "path").alias("f")).select("book", "f.*"), "chosen-files")
 
-    def of(*formats: str) -> DataFrame:
-        """Each book of these formats that is the least of all its files; the least of a format is that one or none."""
-        own = rows.filter(F.col("format").isin(*formats)).groupBy("book").agg(F.min_by(F.struct("path", "content", "format", "title"), "path").alias("f")).select("book", "f.*")
+    def of(*formats: str, content: Column | None = None) -> DataFrame:
+        """Each book of these formats that is the least of all its files; the least of a format is that one or none. `content`: what moves in its place."""
+        own = rows.filter(F.col("format").isin(*formats)).withColumn("content", F.col("content") if content is None else content)
+        own = own.groupBy("book").agg(F.min_by(F.struct("path", "content", "format", "title"), "path").alias("f")).select("book", "f.*")
         return own.join(chosen.filter(F.col("format").isin(*formats)).select("book"), "book", "left_semi")
 
     tree = written(structured(of("epub", "html", "markdown")), "parsed-files")  # each file is parsed once
@@ -199,7 +200,8 @@ def parsed(files: DataFrame, mime: Column | None = None) -> Imported:
     none = F.lit(None).cast("string")
 
     def texts() -> tuple[DataFrame, DataFrame]:
-        lines = of("txt").select("book", F.posexplode(F.split(decoded("content"), "\r\n|\r|\n")).alias("line_index", "text"))
+        said = of("txt", content=decoded("content"))  # read before it moves: after an Arrow function rows no longer count as dealt by book
+        lines = said.select("book", F.posexplode(F.split("content", "\r\n|\r|\n")).alias("line_index", "text"))
         txt = written(text_blocks(lines, "book"), "text-blocks")
         named = numbered_sections(txt, "book", "text", none).join(chosen.select("book", F.col("title").alias("_t")), "book")
         named = named.select("book", "section", "id", F.coalesce("title", "_t").alias("title"), F.concat(F.lit("#"), F.col("id")).alias("href"))

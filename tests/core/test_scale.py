@@ -150,6 +150,22 @@ def test_texts_of_an_import_move_once(spark, monkeypatch, query):
     assert not re.search("(?<!Broadcast)Exchange ", repair.repaired(blocks, "book", garbled)._jdf.queryExecution().executedPlan().toString())
 
 
+def test_text_files_move_once_and_are_written_tightly(spark, monkeypatch):
+    """From the files to the blocks of text books there is one move by book; stages are written with zstd."""
+    moves, files, write = {}, [], importing.written
+
+    def noted(rows, name):
+        moves[name] = len(re.findall("(?<!Broadcast)Exchange ", rows._jdf.queryExecution().executedPlan().toString()))
+        out = write(rows, name)
+        files.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(importing, "written", noted)
+    importing.import_warnings(spark, "/root/testdata/sf0.001")
+    assert moves["text-blocks"] == 1
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_the_least_path_of_equal_files_of_any_format(spark):
     one, two = b"<p>One</p>", b"<p>Two</p>"
     files = spark.createDataFrame([("b.html", one), ("a.txt", one), ("c.txt", one), ("d.txt", two), ("c.html", two), ("a.bin", two)], "path string, content binary")
