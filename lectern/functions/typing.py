@@ -40,8 +40,16 @@ class Session:
         return (block, start) in self.extra_words or any(self.wrong[block][start:stop])
 
     def key(self, key: str) -> None:
-        if self.blocks:
-            {ENTER: self.enter, BACKSPACE: self.backspace, DELETE_WORD: self.delete_word}.get(key, lambda: self.char(key) if len(key) == 1 else None)()
+        if not self.blocks:
+            return
+        if len(key) == 1:
+            self.char(key)
+        elif key == ENTER:
+            self.enter()
+        elif key == BACKSPACE:
+            self.backspace()
+        elif key == DELETE_WORD:
+            self.delete_word()
 
     def char(self, typed: str) -> None:
         block, c = self.at

@@ -283,20 +283,32 @@ def canonical_places(spark, sf_dir):
 _WRONG = "~"
 
 
-def replay_keys(spark, sf_dir):
-    """(keys, blocks) of every turn typed to its end: each seventh character wrong, put right where its place is even; Enter between turns."""
-    turns = _talks(spark, sf_dir).filter("text <> ''")
-    chars = turns.select("conv_id", F.col("section").alias("b"), "text", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "c"))
-    wrong = (F.col("i") % 7 == 3) & (F.col("c") != " ")
-    keys = F.when(wrong & (F.col("i") % 2 == 0), F.array(F.lit(_WRONG), F.lit(T.BACKSPACE), F.col("c"))).when(wrong, F.array(F.lit(_WRONG))).otherwise(F.array("c"))
-    last = F.when(F.col("i") == F.length("text") - 1, F.concat(keys, F.array(F.lit(T.ENTER)))).otherwise(keys)
-    rows = chars.select("conv_id", "b", "i", F.posexplode(last).alias("k", "key"))
-    keys = rows.select("conv_id", (F.col("b") * 10**9 + F.col("i") * 10 + F.col("k")).alias("seq"), "key")
-    return keys, turns.select("conv_id", F.col("section").alias("block"), "text")
+def replay_turns(spark, sf_dir):
+    return _talks(spark, sf_dir).filter("text <> ''").select("conv_id", F.col("section").alias("block"), "text")
+
+
+def replay_bursts(turns, *kept):
+    """conv_id, half (two for a turn, numbered on), typed (an array of seq, key) and the columns `kept`: every turn typed to its end in two bursts, up to its fortieth character
+    and after it; each seventh character wrong, put right where its place is even; Enter between turns. Turns are dealt evenly first."""
+    dealt = turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "block")
+    texts = dealt.select("conv_id", "block", *kept, F.length("text").alias("n"), F.filter(F.split("text", ""), lambda c: c != "").alias("chars"))
+    parts = F.slice("chars", 1, 40), F.slice("chars", 41, F.greatest(F.col("n"), F.lit(1)))
+    halves = texts.select("conv_id", "block", "n", *kept, F.posexplode(F.array(*parts)).alias("part", "chars")).filter("size(chars) > 0")
+
+    def keys(c, i):
+        i = i + F.col("part") * 40
+        wrong = (i % 7 == 3) & (c != " ")
+        own = F.when(wrong & (i % 2 == 0), F.array(F.lit(_WRONG), F.lit(T.BACKSPACE), c)).when(wrong, F.array(F.lit(_WRONG))).otherwise(F.array(c))
+        own = F.when(i == F.col("n") - 1, F.concat(own, F.array(F.lit(T.ENTER)))).otherwise(own)
+        return F.transform(own, lambda key, k: F.struct((F.col("block").cast("long") * 10**9 + i * 10 + k).alias("seq"), key.alias("key")))
+
+    return halves.select("conv_id", (F.col("block") * 2 + F.col("part")).alias("half"), F.flatten(F.transform("chars", keys)).alias("typed"), *kept)
 
 
 def typing_replay(spark, sf_dir):
-    return replayed(*replay_keys(spark, sf_dir), "conv_id").select("conv_id", "total", "right", "block", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
+    turns = replay_turns(spark, sf_dir)
+    keys = replay_bursts(turns).select("conv_id", F.inline("typed"))
+    return replayed(keys, turns, "conv_id").select("conv_id", "total", "right", "block", T.CORRECT, T.INCORRECT, T.CORRECTED, T.PENDING, "extras")
 
 
 def corpus_digest(spark, sf_dir):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType
 
 from lectern.functions import typing as T
 from lectern.operators import lessons
@@ -171,25 +172,27 @@ def with_rocksdb(spark: SparkSession, run: Callable[[], None]) -> None:
 def typing_totals(keys: DataFrame, session: str, stop: str = T.OFF, ttl_ms: int | None = None) -> DataFrame:
     """session, seq (the last key's), TOTALS of a stream of keys (session, seq, key, texts: the session's blocks, or null but in the first batch).
 
+    A row is a key, or a burst of keys where seq and key are arrays: a row costs far more on its way to the fold than a key in it.
     The state is a session's blocks, states and counters; a session without keys for `ttl_ms` is forgotten. With a limit
     the stream makes batches as long as it runs, so it needs a trigger that repeats. Keys count in the order of their batches: one
     whose number is under the last one of an earlier batch comes too late and is left out.
     """
-    kind = keys.schema[session].dataType.simpleString()
+    kind, bursts = keys.schema[session].dataType.simpleString(), isinstance(keys.schema["seq"].dataType, ArrayType)
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         own, last = pickle.loads(state.get[0]) if state.exists else (None, -1)
-        rows = pd.concat(list(parts)).sort_values("seq")
+        rows = pd.concat(list(parts))
+        seqs, typed = ([x for own in rows[c] for x in own.tolist()] if bursts else rows[c].tolist() for c in ("seq", "key"))
         if own is None:
             said = rows["texts"].dropna()
             own = T.Session(list(said.iloc[0]) if len(said) else [], stop)
-        for row in rows.itertuples():
-            if row.seq > last:
-                own.key(row.key)
-                last = int(row.seq)
+        for seq, pressed in sorted(zip(seqs, typed, strict=True), key=lambda k: k[0]):
+            if seq > last:
+                own.key(pressed)
+                last = seq
         if own is not None:
             state.update((pickle.dumps((own, last)),))
             if ttl_ms is not None:
@@ -251,16 +254,17 @@ def stream_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stateful_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of the typing replay in two files, the second one after the first: counters go on from the state."""
+    """The keys of the typing replay in two parts, as bursts, the second part after the first: counters go on from the state."""
     folder = shared(spark, "keys")
-    keys, turns = lessons.replay_keys(spark, sf_dir)
+    turns = lessons.replay_turns(spark, sf_dir)
     texts = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("own")).select("conv_id", F.transform("own", lambda b: b["text"]).alias("texts"))
-    half = lambda seq: (seq % 1_000_000_000 >= 400).cast("int") + F.floor(seq / 1_000_000_000) * 2
-    cut = keys.groupBy("conv_id").agg((F.max(half(F.col("seq"))) / 2).alias("_cut"))
-    rows = keys.join(cut, "conv_id").withColumn("late", half(F.col("seq")) > F.col("_cut")).drop("_cut")
-    # A session's blocks come with a row of their own, not with each key: its key is none.
-    first = texts.select("conv_id", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("key"), F.lit(False).alias("late"), "texts")
-    rows = rows.withColumn("texts", F.lit(None).cast("array<string>")).unionByName(first)
+    # A session's later half begins after the middle of its half turns.
+    cut = turns.groupBy("conv_id").agg((F.max(F.col("block") * 2 + (F.length("text") > 40).cast("int")) / 2).alias("_cut"))
+    bursts = lessons.replay_bursts(turns.join(cut, "conv_id"), "_cut")
+    rows = bursts.select("conv_id", F.col("typed.seq").alias("seq"), F.col("typed.key").alias("key"), (F.col("half") > F.col("_cut")).alias("late"), F.lit(None).cast("array<string>").alias("texts"))
+    # A session's blocks come with a row of their own, not with each burst: it has no keys.
+    first = texts.select("conv_id", F.array().cast("array<bigint>").alias("seq"), F.array().cast("array<string>").alias("key"), F.lit(False).alias("late"), "texts")
+    rows = rows.unionByName(first)
     rows.write.partitionBy("late").parquet(folder)
     stream, out = spark.readStream.schema(rows.drop("late").schema), None
     for late in ("false", "true"):

@@ -72,6 +72,30 @@ def test_blocks_of_a_session_come_once(spark, tmp_path):
     assert [(r.seq, r.total, r.right, r.block, r.correct, r.incorrect) for r in run().collect()] == [(3, 4, 3, 1, 2, 1)]
 
 
+def test_keys_come_in_bursts(spark, tmp_path):
+    """A row may bring many keys; a key that comes again or late counts once, whichever burst brings it."""
+    kind, folder = "s long, seq array<long>, key array<string>, texts array<string>", f"{tmp_path}/in"
+    put = lambda *own: spark.createDataFrame(list(own), kind).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: reading.latest(reading.typing_totals(spark.readStream.schema(kind).parquet(folder), "s"), "s", "seq", f"{tmp_path}/out")
+    put((1, [1], ["x"], None), (1, [], [], ["ab", "c"]), (1, [0, 1], ["a", "x"], None))
+    run()
+    put((1, [1, 2, 3], ["q", "Enter", "c"], None))
+    assert [(r.seq, r.total, r.right, r.block, r.correct, r.incorrect) for r in run().collect()] == [(3, 4, 3, 1, 2, 1)]
+
+
+def test_turns_are_typed_in_bursts(spark, tmp_path):
+    """Two rows a turn at most, that hold each key in order."""
+    text = "abcdefgh ijk mnopqrstuvwxyz abcdefghijklmnopqrstuv xyz"
+    turns = spark.createDataFrame([(1, 7, text), (1, 8, "ab")], "conv_id long, block int, text string")
+    rows = sorted(lessons.replay_bursts(turns).collect(), key=lambda r: r.half)
+    assert [r.half for r in rows] == [14, 15, 16]
+    assert [k.seq for k in rows[2].typed] == [8_000_000_000, 8_000_000_010, 8_000_000_011] and [k.key for k in rows[2].typed] == ["a", "b", "Enter"]
+    typed = rows[0].typed + rows[1].typed
+    assert rows[1].typed[0].seq == 7_000_000_400 and [k.seq for k in typed] == sorted({k.seq for k in typed})
+    for key, at in (("Backspace", [101, 241, 381, 521]), ("~", [30, 100, 170, 240, 310, 380, 450, 520]), ("Enter", [531])):
+        assert [k.seq - 7 * 10**9 for k in typed if k.key == key] == at
+
+
 def test_pauses_take_as_many_batches_of_more_files(spark, tmp_path):
     """An eighth of the time is a batch, of however many files."""
     import glob
