@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -30,6 +32,15 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
 
 
+def dealt(rows: DataFrame, keys: list[str], order: Sequence[str] = ()) -> DataFrame:
+    """The rows of each key in one partition, sorted by `keys` and then `order`.
+
+    Dealt by a hash of the keys, not by the keys: Spark leaves out a move by the keys where a join or a union below already deals by
+    them, and may then join small partitions of each side of the union, or split large ones of the join, as nothing above asks for whole keys.
+    """
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def folded(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
     """fold(list of rows) for the rows of each key in order, streamed through sorted partitions: no frame per group.
 
@@ -58,7 +69,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str
         if held and (out := [(*key, *x) for x in fold(held)]):
             yield packed(out)
 
-    return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt(rows.select(*keys, *rest), keys, order).mapInArrow(run, schema)
 
 
 def begins(columns: list[pa.Array]) -> np.ndarray:
@@ -107,5 +118,5 @@ def folded_tables(rows: DataFrame, keys: list[str], fold, schema: str, gathered:
         if held:
             yield done(held)
 
-    rows = rows if gathered else rows.repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows if gathered else dealt(rows, keys)
     return rows.mapInArrow(run, schema)

@@ -133,6 +133,16 @@ def test_books_are_opened_without_a_frame_each(spark):
     assert {r.book: (r.outcome, r.section, r.block, r.char) for r in out.collect()} == {big: ("seeded", 0, 0, 4), None: ("ended", 0, 0, 9999), 8: ("empty", 1, 2, 3)}
 
 
+def test_books_meet_their_bookmarks_however_these_were_dealt(spark):
+    """Both sides come dealt by the book; Spark took their union as dealt, joined small partitions of each side on its own, and no book met its bookmark."""
+    blocks = spark.createDataFrame([(k, 0, 0, True, "paragraph", "one two three. " * 20) for k in range(40)], "book long, section int, block int, included boolean, kind string, text string")
+    marks = spark.createDataFrame([(k, 0, 0, 4, "s", None) for k in range(40)], "book long, section int, block int, char int, signature string, navigation string")
+    out = lessons.opened(blocks.repartition("book"), marks.repartition("book"), "book", 100)
+    lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert any("Exchange" in x for x in lines[: next(k for k, x in enumerate(lines) if "Union" in x)])
+    assert {r.outcome for r in out.collect()} == {"seeded"}
+
+
 def test_lines_of_many_pages_are_those_of_each():
     """Columns of many pages give what lines_of() gives page by page: wavering rows, columns, ties, blanks, long rows."""
     rng, pages = random.Random(8), []
