@@ -248,7 +248,8 @@ def verse_number_strip(spark, sf_dir):
 
 
 def sentence_split(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.expr(_POINTS).alias("text"))
+    """Sentences of each document; one without any has no row."""
+    docs = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.expr(_POINTS).alias("text")).filter(any_trim(F.col("text")) != "")
     return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("i", "sentence")).select("doc_id", F.col("i").cast("long").alias("i"), "sentence")
 
 

@@ -44,6 +44,12 @@ def test_sentences_are_marked_once(spark):
     assert rows.filter(ways[0] != ways[1]).count() == 0 and rows.filter(F.contains(ways[0], F.lit("\u0001"))).count() > 100
 
 
+def test_blank_texts_have_no_sentence(spark, tmp_path):
+    texts = [(1, ""), (2, " \n\t "), (3, "\u00a0"), (4, " One. Two "), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, clean.sentence_split(spark, str(tmp_path)).collect())) == [(4, 0, "One."), (4, 1, "Two")]
+
+
 def test_long_blocks_are_cut_once(spark):
     assert times_in_plan(spark, clean.short_blocks, "regexp_replace(") == 1
 
