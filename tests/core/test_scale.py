@@ -118,15 +118,15 @@ def test_pauses_are_windows_and_take_no_empty_batches(spark, tmp_path):
     import glob
 
     day, gap = 86_400_000_000, reading.GAP_US
-    times = [(1, 0), (1, gap - 1), (1, 2 * gap - 1), (1, 3 * gap), (2, 20 * day), (3, day), (3, day)]
+    times = [(1, 0), (1, gap - 1), (1, 2 * gap - 1), (1, 3 * gap), (2, 20 * day), (3, day), (3, day), *((4, d * day) for d in range(1, 20))]
     rows = spark.createDataFrame([(i, u, day + t) for i, (u, t) in enumerate(times)], "event_id long, user_id long, us long").withColumn("ts", F.timestamp_micros("us"))
     rows.write.parquet(f"{tmp_path}/events.parquet")
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     before = set(glob.glob(f"{shared}/pauses-*-out/batch=*"))
     got = sorted(tuple(r) for r in reading.stream_pauses(spark, str(tmp_path)).select("user_id", F.col("started") - day, F.col("paused") - day, "active_us", "events", "value").collect())
     assert len(set(glob.glob(f"{shared}/pauses-*-out/batch=*")) - before) <= 9
-    assert got == [(1, 0, 2 * gap - 1, 2 * gap - 1, 2, 1), (1, 2 * gap - 1, 3 * gap - 1, gap, 1, 2), (1, 3 * gap, 4 * gap, gap, 1, 3), (3, day, day + gap, gap, 2, 6)]
-    assert "InPandas" not in reading.quiet(rows, "user_id", "ts", "event_id", gap, "8 days")._jdf.queryExecution().analyzed().toString()
+    assert got == [(1, 0, 2 * gap - 1, 2 * gap - 1, 2, 1), (1, 2 * gap - 1, 3 * gap - 1, gap, 1, 2), (1, 3 * gap, 4 * gap, gap, 1, 3), (3, day, day + gap, gap, 2, 6), *((4, d * day, d * day + gap, gap, 1, 6 + d) for d in range(1, 12))]
+    assert "WithState" not in reading.quiet(rows, "user_id", "ts", "event_id", gap, "8 days")._jdf.queryExecution().analyzed().toString()
 
 
 def test_books_are_opened_without_a_frame_each(spark):
